@@ -41,7 +41,10 @@ def same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join per-key columns back onto the rows, keeping the rows' own key columns."""
     if not keys:
-        return df.crossJoin(F.broadcast(stats))  # one row: the aggregate of the whole frame
+        whole = stats.select(F.struct(*stats.columns)).scalar()  # the one row of a global aggregate
+        return df.withColumn("_whole", whole).select(
+            *df.columns, *[F.col(f"_whole.{c}").alias(c) for c in stats.columns]
+        )
     renamed = stats.select(
         *[F.col(k).alias(f"_{k}") for k in keys], *[c for c in stats.columns if c not in keys]
     )

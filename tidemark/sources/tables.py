@@ -135,8 +135,8 @@ def recipes(customer: DataFrame, orders: DataFrame) -> DataFrame:
         F.when(key % 103 == 9, 3.0).when(key % 7 != 3, flag(key % 5 == 0)).alias("wasteless"),
         F.when(key % 9 != 1, flag(F.col("c_nationkey") < 5)).alias("clove"),
         flag(key % 400 == 1).alias("rare herb"),
-        F.coalesce("has_f", F.lit(0.0)).alias("22-minute meals"),
-        F.col("has_urgent").alias("bon appétit"),
+        F.coalesce("has_f", F.lit(0.0)).alias("quick-22 meals"),
+        F.col("has_urgent").alias("appetite & more"),
         F.when(key % 19 != 6, flag(F.col("c_mktsegment") == "BUILDING")).alias("dessert"),
     )
 
@@ -188,8 +188,8 @@ recipes AS (
          THEN CASE WHEN c_custkey % 5 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS wasteless,
     CASE WHEN c_custkey % 9 <> 1 THEN CASE WHEN c_nationkey < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS clove,
     CASE WHEN c_custkey % 400 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rare_herb,
-    coalesce(has_f, 0.0)::DOUBLE AS c22_minute_meals,
-    CAST(has_urgent AS DOUBLE) AS bon_appetit,
+    coalesce(has_f, 0.0)::DOUBLE AS quick_22_meals,
+    CAST(has_urgent AS DOUBLE) AS appetite_and_more,
     CASE WHEN c_custkey % 19 <> 6
          THEN CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS dessert
   FROM customer LEFT JOIN (
