@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ def with_capacity_gib(days: DataFrame) -> DataFrame:
     return days.withColumn("capacity_gib", gibibytes(F.col("capacity_bytes")))
 
 
-def failure_rate(days: DataFrame, keys: list[str] = ["model"]) -> DataFrame:  # noqa: B006
+def failure_rate(days: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """Failures per drive-day of the groups that had a failure, counted in one pass."""
     counted = days.groupBy(*keys).agg(F.count("*").alias("drive_days"), F.count_if(F.col("failure") == 1).alias("failures"))
     rate = ratio(F.col("failures"), F.col("drive_days"))

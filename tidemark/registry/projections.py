@@ -177,10 +177,10 @@ def drop_null_rows(t: Tables):
 
 @query(
     "drop_all_null_rows",
-    RECIPES + " SELECT title FROM recipes WHERE cakeweek IS NOT NULL OR wasteless IS NOT NULL OR clove IS NOT NULL",
+    RECIPES + " SELECT title FROM recipes WHERE cakeweek IS NOT NULL OR clove IS NOT NULL",
 )
 def drop_all_null_rows(t: Tables):
-    return lined_recipes(t).dropna(how="all", subset=["cakeweek", "wasteless", "clove"]).select("title")
+    return lined_recipes(t).dropna(how="all", subset=["cakeweek", "clove"]).select("title")
 
 
 @query(
