@@ -32,12 +32,12 @@ def join_inner_using(t: Tables):
 @query(
     "join_left_chain",
     """SELECT s_suppkey, n_name, r_name FROM supplier
-       LEFT JOIN (FROM nation WHERE n_nationkey < 20) ON s_nationkey = n_nationkey
-       LEFT JOIN (FROM region WHERE r_regionkey > 0) ON n_regionkey = r_regionkey""",
+       LEFT JOIN (FROM nation WHERE n_name <> 'NATION_7') ON s_nationkey = n_nationkey
+       LEFT JOIN (FROM region WHERE r_name <> 'ASIA') ON n_regionkey = r_regionkey""",
 )
 def join_left_chain(t: Tables):
-    nations = t.nation.where("n_nationkey < 20").withColumnRenamed("n_nationkey", "s_nationkey")
-    regions = t.region.where("r_regionkey > 0").withColumnRenamed("r_regionkey", "n_regionkey")
+    nations = t.nation.where("n_name <> 'NATION_7'").withColumnRenamed("n_nationkey", "s_nationkey")
+    regions = t.region.where("r_name <> 'ASIA'").withColumnRenamed("r_regionkey", "n_regionkey")
     chained = t.supplier.join(nations, "s_nationkey", "left").join(regions, "n_regionkey", "left")
     return chained.select("s_suppkey", "n_name", "r_name")
 
@@ -110,12 +110,12 @@ def join_left_semi(t: Tables):
 @query(
     "join_sql_left",
     f"""{DRIVES} SELECT d.model, drive_days, failures FROM (SELECT model, count(*) AS drive_days FROM drives GROUP BY 1) d
-        LEFT JOIN (SELECT model, count(*) AS failures FROM drives WHERE failure = 1 AND model > 'M14' GROUP BY 1) f ON d.model = f.model""",
+        LEFT JOIN (SELECT model, count(*) AS failures FROM drives WHERE failure = 1 AND date = DATE '2024-01-03' GROUP BY 1) f ON d.model = f.model""",
 )
 def join_sql_left(t: Tables):
     days = drive_days(t.events)
     totals = days.groupBy("model").agg(F.count("*").alias("drive_days"))
-    failures = days.where("failure = 1 and model > 'M14'").groupBy("model").agg(F.count("*").alias("failures"))
+    failures = days.where("failure = 1 and date = date'2024-01-03'").groupBy("model").agg(F.count("*").alias("failures"))
     with named_views(totals=totals, failed=failures) as v:
         return t.spark.sql(
             f"""SELECT {v.totals}.model, drive_days, failures
