@@ -64,3 +64,10 @@ def modal_capacity(days: DataFrame) -> DataFrame:
 def with_modal_capacity(days: DataFrame) -> DataFrame:
     """Drive days with the capacity replaced by the commonest one of the model."""
     return attach(days.drop("capacity_bytes"), modal_capacity(days).drop("occurrences"), ["model"])
+
+
+def capacity_on_first_days(days: DataFrame) -> DataFrame:
+    """Total capacity on the first day of each month, in TiB."""
+    firsts = days.selectExpr("cast(date as date) AS date", "capacity_bytes").where("extract(day from date) = 1")
+    total = F.sum("capacity_bytes") / F.pow(F.lit(1024), 4)
+    return firsts.groupBy("date").agg(total.alias("capacity_tib")).orderBy("date")
