@@ -63,12 +63,25 @@ def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
 
 
 def _earlier_pieces(placed: DataFrame, keys: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """Totals of the earlier pieces of each group; as many rows per group as pieces."""
+    """Totals of the earlier pieces of a group, for the pieces that have any.
+
+    Pieces are ranges of (keys, order), so a boundary cuts at most one group: there are fewer rows
+    here than pieces, however many groups there are.
+    """
     per_piece = placed.groupBy(*keys, "_piece").agg(*[c.alias(n) for n, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    return per_piece.select(
-        *keys, "_piece", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums]
+    group = Window.partitionBy(*keys).orderBy("_piece")
+    before = group.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_piece.select(
+        *keys, "_piece", F.row_number().over(group).alias("_nth"), *[F.sum(n).over(before).alias(f"_before_{n}") for n in sums]
     )
+    return offsets.where("_nth > 1").drop("_nth")
+
+
+def _with_offsets(local: DataFrame, offsets: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Raise the named columns of a piece by what the earlier pieces of its group hold."""
+    joined = attach(local, F.broadcast(offsets), [*keys, "_piece"], "left")  # fewer rows than pieces
+    raised = {n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in names}
+    return joined.withColumns(raised).drop("_piece", *[f"_before_{n}" for n in names])
 
 
 def number_rows(
@@ -86,13 +99,10 @@ def number_rows(
     marked = df.withColumn("_mark", F.monotonically_increasing_id())
     order = [*order, F.col("_mark")]
     placed = _pieces(marked, keys, order)
-    offsets = _earlier_pieces(placed, keys, {"_offset": F.count("*")})
-    local = placed.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_piece").orderBy(*order)))
-    return (
-        attach(local, offsets, [*keys, "_piece"])
-        .withColumn(name, (F.col(name) + F.col("_offset")).cast("bigint"))
-        .drop("_offset", "_mark", "_piece")
-    )
+    offsets = _earlier_pieces(placed, keys, {name: F.count("*")})
+    within = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    local = placed.withColumn(name, F.row_number().over(within).cast("bigint"))
+    return _with_offsets(local, offsets, keys, [name]).drop("_mark")
 
 
 def ladder(
@@ -112,33 +122,26 @@ def ladder(
     sums = sums or {}
     steps = df.groupBy(*keys, value).agg(F.count("*").alias("peers"), *[c.alias(n) for n, c in sums.items()])
     order = [F.col(value).desc() if descending else F.col(value).asc()]
-    if fits_one_task(steps, keys, limit):
-        group = Window.partitionBy(*keys).orderBy(*order)
+
+    def climbed(frame: DataFrame, group_keys: Sequence[str]) -> DataFrame:
+        group = Window.partitionBy(*group_keys).orderBy(*order)
         upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return steps.select(
+        return frame.select(
             "*",
             (F.sum("peers").over(upto) - F.col("peers")).alias("below"),
             F.row_number().over(group).cast("bigint").alias("rung"),
             *[F.sum(n).over(upto).alias(f"{n}_upto") for n in sums],
         )
+
+    if fits_one_task(df, keys, limit):
+        return climbed(steps, keys)
+    steps = settled(steps)
+    if fits_one_task(steps, keys, limit):  # many copies, but few distinct values
+        return climbed(steps, keys)
     placed = _pieces(steps, keys, order)
-    earlier = {"_peers": F.sum("peers"), "_rungs": F.count("*"), **{f"_{n}": F.sum(n) for n in sums}}
-    offsets = _earlier_pieces(placed, keys, earlier)
-    group = Window.partitionBy(*keys, "_piece").orderBy(*order)
-    upto = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed.select(
-        "*",
-        (F.sum("peers").over(upto) - F.col("peers")).alias("below"),
-        F.row_number().over(group).cast("bigint").alias("rung"),
-        *[F.sum(n).over(upto).alias(f"{n}_upto") for n in sums],
-    )
-    joined = attach(local, offsets, [*keys, "_piece"])
-    return joined.select(
-        *steps.columns,
-        (F.col("below") + F.col("_peers")).alias("below"),
-        (F.col("rung") + F.col("_rungs")).alias("rung"),
-        *[(F.col(f"{n}_upto") + F.col(f"_{n}")).alias(f"{n}_upto") for n in sums],
-    )
+    totals = {"below": F.sum("peers"), "rung": F.count("*"), **{f"{n}_upto": F.sum(n) for n in sums}}
+    offsets = _earlier_pieces(placed, keys, totals)
+    return _with_offsets(climbed(placed, [*keys, "_piece"]), offsets, keys, list(totals))
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "group_rows") -> DataFrame:
@@ -159,7 +162,7 @@ def exact_quantiles(
     """
     known = df.where(F.col(value).isNotNull())
     steps = ladder(known, keys, value, limit=limit)
-    sized = attach(steps, group_sizes(known, keys), keys)
+    sized = attach(steps, steps.groupBy(*keys).agg(F.sum("peers").alias("group_rows")), keys)
     picks = []
     for name, share in shares.items():
         target = F.lit(float(share)) * (F.col("group_rows") - 1)

@@ -46,7 +46,8 @@ def with_ranks(
             cume_dist: F.cume_dist().over(w),
         }
         return df.select("*", *[c.alias(n) for n, c in wanted.items() if n is not None])
-    steps = attach(ladder(df, keys, value, limit=limit, descending=descending), group_sizes(df, keys, "_n"), keys)
+    steps = ladder(df, keys, value, limit=limit, descending=descending)
+    steps = attach(steps, steps.groupBy(*keys).agg(F.sum("peers").alias("_n")), keys)
     below, peers, n = F.col("below"), F.col("peers"), F.col("_n")
     wanted = {
         rank: below + 1,

@@ -18,7 +18,7 @@ from tidemark.operators.columns import with_tidy_names
 from tidemark.operators.profile import percentiles, rare_columns
 from tidemark.operators.reuse import reused
 from tidemark.operators.rowsets import split_rows
-from tidemark.storage import new_folder
+from tidemark.storage import new_folder, settled
 
 # Energy in kilocalories per gram, and the caps set for a data set by looking at it.
 KCAL_PER_GRAM = {"protein": 4.0, "fat": 9.0}
@@ -78,7 +78,7 @@ def telling_binaries(df: DataFrame, roles: Roles = ROLES, at_least: int = 10) ->
 
 def featured(raw: DataFrame, roles: Roles = ROLES, bounds: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
     """Cleaned rows with caps and ratios, and the binary columns worth keeping."""
-    clean = cleaned(raw, roles)
+    clean = settled(cleaned(raw, roles))  # read several times below
     capped_rows = with_caps(clean, upper_bounds(clean, roles.imputed) if bounds is None else bounds)
     kept = telling_binaries(capped_rows, roles)
     rows = with_ratios(capped_rows, roles.ratios)

@@ -12,7 +12,7 @@ from tidemark.plans import recipes as R
 from tidemark.registry import query
 from tidemark.registry.projections import tidy_recipes
 from tidemark.sources.tables import RECIPES_SQL, Tables, recipes
-from tidemark.storage import new_folder
+from tidemark.storage import new_folder, settled
 
 RECIPES = f"WITH {RECIPES_SQL} "
 MEASURES = ["protein", "fat", "sodium"]
@@ -216,7 +216,7 @@ def ml_custom_persist(t: Tables):
 
 
 def custom_rows(t: Tables):
-    clean = R.cleaned(recipes(t.customer, t.orders), fill_binaries=False)
+    clean = settled(R.cleaned(recipes(t.customer, t.orders), fill_binaries=False))
     return P.with_ratios(clean, R.RATIOS, filler=None), R.telling_binaries(clean)
 
 

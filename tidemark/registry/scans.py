@@ -101,7 +101,7 @@ def scan_jsonl(t: Tables):
 def scan_json_multiline(t: Tables):
     path = new_folder(t.spark, "json-files")
     document = F.struct("o_orderkey", "o_totalprice", "o_orderpriority")
-    pages = collect_pages(t.orders, ["o_orderpriority"], ["o_orderkey"], document, page_rows=2_000)
+    pages = collect_pages(t.orders, ["o_orderpriority"], ["o_orderkey"], document, page_rows=100_000)
     # One page becomes one file that holds a JSON array over many lines.
     pages.select(F.to_json("items", {"pretty": "true"})).write.option("maxRecordsPerFile", 1).text(path)
     return files.read_json(t.spark, f"{path}/*.txt", whole_files=True)

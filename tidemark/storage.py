@@ -33,7 +33,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Write the frame to reliable storage, so later reads see the very same rows."""
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write the frame once as a Parquet table and read it from there.
+
+    Later reads see the very same rows, need no earlier stage again after an executor is lost,
+    and still prune columns.
+    """
+    path = new_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
