@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.functions import numbers as N
 from tidemark.functions.nested import first_item, last_item
-from tidemark.functions.text import LETTERS_ANYWHERE, is_number, tokens
+from tidemark.functions.text import is_number, tokens
 from tidemark.operators.windows import with_group_stats
 from tidemark.registry import query
 from tidemark.registry.projections import tidy_recipes
@@ -43,7 +43,7 @@ def str_regexp_extract(t: Tables):
     TOKENS_SQL + "SELECT regexp_extract(lower(token), '[a-z'']+', 0) AS word, count(*) AS n FROM tokens GROUP BY 1",
 )
 def str_regexp_extract_any(t: Tables):
-    word = F.regexp_extract(F.lower("token"), LETTERS_ANYWHERE, 0)
+    word = F.regexp_extract(F.lower("token"), "[a-z']+", 0)
     return tokens(t.documents, "text").groupBy(word.alias("word")).agg(F.count("*").alias("n"))
 
 
