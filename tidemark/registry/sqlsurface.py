@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.reuse import reused
 from tidemark.operators.views import named_views
-from tidemark.plans.drives import failure_rate
-from tidemark.plans.views import temp_view_names
+from tidemark.plans import words as W
+from tidemark.plans.drives import failure_rate, most_reliable, reliability
+from tidemark.plans.views import plan_text, sql_or_none, temp_view_names
 from tidemark.registry import query
+from tidemark.registry.rowsets import RATES_SQL
 from tidemark.sources.tables import DRIVES_SQL, Tables, drive_days
 
 DRIVES = f"WITH {DRIVES_SQL}"
@@ -84,3 +87,54 @@ def catalog_list_drop(t: Tables):
     return counted.select(
         F.explode(F.array(*[F.struct(F.lit(m).alias("moment"), F.lit(x).alias("listed")) for m, x in moments])).alias("e"), "n"
     ).select("e.moment", "e.listed", "n")
+
+
+@query(
+    "sql_missing_view",
+    """SELECT 'there' AS place, true AS found, count(*) AS n FROM part UNION ALL SELECT 'gone', false, count(*) FROM part""",
+)
+def sql_missing_view(t: Tables):
+    with named_views(part=t.part) as v:
+        text = f"SELECT count(*) AS n FROM {v.part}"
+        counted = sql_or_none(t.spark, text)
+    places = [("there", counted is not None), ("gone", sql_or_none(t.spark, text) is not None)]
+    entries = F.array(*[F.struct(F.lit(p).alias("place"), F.lit(x).alias("found")) for p, x in places])
+    return counted.select(F.inline(entries), "n")
+
+
+@query("fetch", "SELECT count(*) AS n, max(value) AS top, min(value) AS low FROM events")
+def fetch(t: Tables):
+    # Only the aggregated row comes to the driver.
+    facts = t.events.agg(F.count("*").alias("n"), F.max("value").alias("top"), F.min("value").alias("low")).head().asDict()
+    return t.spark.createDataFrame([tuple(facts.values())], "n bigint, top double, low double").select(*facts)
+
+
+@query(
+    "cache_reuse",
+    f"""{RATES_SQL} SELECT * FROM (SELECT 4.0::DOUBLE AS near, model, capacity_gib, round(rate, 6) AS failure_rate FROM rates
+          WHERE capacity_gib BETWEEN 4 / 1.25 AND 4 * 1.25 ORDER BY rate, capacity_gib DESC, model LIMIT 3)
+        UNION ALL SELECT * FROM (SELECT 8.0::DOUBLE, model, capacity_gib, round(rate, 6) FROM rates
+          WHERE capacity_gib BETWEEN 8 / 1.25 AND 8 * 1.25 ORDER BY rate, capacity_gib DESC, model LIMIT 3)""",
+)
+def cache_reuse(t: Tables):
+    with reused(reliability(drive_days(t.events))) as rates:
+        best = [(near, *r) for near in (4.0, 8.0) for r in most_reliable(rates, near).collect()]  # three rows each
+    found = t.spark.createDataFrame(best, "near double, model string, capacity_gib double, failure_rate double")
+    return found.withColumn("failure_rate", F.round("failure_rate", 6))
+
+
+LONG_WORDS_SQL = """(SELECT count(*) FROM (
+  SELECT regexp_extract(lower(w), '[a-z'']+', 0) AS word
+  FROM (SELECT unnest(string_split_regex(text, '[ \n]')) AS w FROM documents)) WHERE length(word) > 8)"""
+
+
+@query("plan_text", f"SELECT 'fused' AS form, 1 AS exchanges, {LONG_WORDS_SQL} AS n UNION ALL SELECT 'by word', 2, {LONG_WORDS_SQL}")
+def plan_text_query(t: Tables):
+    forms = {"fused": W.long_word_lengths(t.documents, "text"), "by word": W.long_word_lengths_by_word(t.documents, "text")}
+    parts = [
+        df.agg(F.sum("n").alias("n")).select(
+            F.lit(form).alias("form"), F.lit(plan_text(df).count("Arguments: hashpartitioning")).alias("exchanges"), "n"
+        )
+        for form, df in forms.items()
+    ]
+    return parts[0].union(parts[1])
