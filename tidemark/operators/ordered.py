@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tidemark.storage import settled
 
-LIMIT_SETTING = "tidemark.window.maxGroupRows"
+LIMIT_SETTING = "spark.tidemark.window.maxGroupRows"
 DEFAULT_LIMIT = 2_000_000
 
 
