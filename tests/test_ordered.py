@@ -132,3 +132,13 @@ def test_group_stats_and_median(skewed, as_rows):
     expected = skewed.select("*", F.max("v").over(w).alias("m"), F.median("v").over(w).alias("med"))
     got = W.with_group_median(W.with_group_stats(skewed, ["k"], m=F.max("v")), ["k"], "v", "med")
     assert as_rows(got) == as_rows(expected)
+
+
+@pytest.mark.parametrize("limit", [3, 10_000])
+def test_sliding_means_and_maxima(spark, as_rows, limit):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(k, rng.randrange(60), rng.randrange(9), i) for k in "ab" for i in range(50)], "k string, at int, v int, id int")
+    w = Window.partitionBy("k").orderBy("at").rangeBetween(-4, 4)
+    expected = df.select("*", F.avg("v").over(w).alias("m"), F.max("v").over(w).alias("x"))
+    got = W.with_sliding_max(W.with_sliding_mean(df, ["k"], "at", "v", 4, "m", limit), ["k"], "at", "v", 4, "x", limit)
+    assert as_rows(got) == as_rows(expected)

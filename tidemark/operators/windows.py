@@ -147,6 +147,27 @@ def sliding(
     return dealt.select(*keys, step, "_bucket", *frames(w)).where(F.col("_bucket") == F.floor(at / width)).drop("_bucket")
 
 
+def with_sliding_mean(
+    df: DataFrame, keys: Sequence[str], step: str, value: str, reach: int, name: str, limit: int | None = None
+) -> DataFrame:
+    """Mean over the rows whose step lies within ``reach`` of the current row's."""
+    if fits_one_task(df, keys, limit):
+        return df.withColumn(name, F.avg(value).over(Window.partitionBy(*keys).orderBy(step).rangeBetween(-reach, reach)))
+    totals = sliding(df, keys, step, reach, reach, {"_sum": F.sum(value), "_known": F.count(value)}, limit=limit)
+    means = totals.select(*keys, step, F.try_divide(F.col("_sum"), F.col("_known")).alias(name))
+    return attach(df, means, [*keys, step])
+
+
+def with_sliding_max(
+    df: DataFrame, keys: Sequence[str], step: str, value: str, reach: int, name: str, limit: int | None = None
+) -> DataFrame:
+    """Highest value within ``reach`` steps of the current row."""
+    if fits_one_task(df, keys, limit):
+        return df.withColumn(name, F.max(value).over(Window.partitionBy(*keys).orderBy(step).rangeBetween(-reach, reach)))
+    highest = sliding(df, keys, step, reach, reach, maxima={name: F.max(value)}, limit=limit)
+    return attach(df, highest, [*keys, step])
+
+
 def sliding_row_counts(df: DataFrame, order: Sequence[str], before: int, after: int, name: str, limit: int | None = None) -> DataFrame:
     """Rows within a distance of the current one in the order of the whole frame."""
     numbered = attach(number_rows(df, [], order, "_at", limit), group_sizes(df, [], "_n"), [])

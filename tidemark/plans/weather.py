@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import attach
-from tidemark.operators.windows import sliding
+from tidemark.operators.windows import with_sliding_max
 
 READING = ["stn", "year", "mo", "da", "temp"]
 
@@ -30,12 +30,4 @@ def rows_at_extreme(df: DataFrame, keys: list[str], value: str, extreme=F.min) -
 def rows_at_sliding_max(readings: DataFrame, days: int = 7) -> DataFrame:
     """Readings that are the highest of their station within some days before and after."""
     dated = readings.withColumn("day", F.unix_date(F.to_date(F.concat_ws("-", "year", "mo", "da"))))
-    highest = sliding(dated, ["stn"], "day", days, days, maxima={"max_temp": F.max("temp")})
-    return attach(dated, highest, ["stn", "day"]).where(F.col("temp") == F.col("max_temp"))
-
-
-def sliding_mean(df: DataFrame, keys: list[str], step: str, value: str, reach: int, name: str) -> DataFrame:
-    """Mean over the rows whose step lies within ``reach`` of the current row's."""
-    totals = sliding(df, keys, step, reach, reach, {"_sum": F.sum(value), "_known": F.count(value)})
-    means = totals.select(*keys, step, F.try_divide(F.col("_sum"), F.col("_known")).alias(name))
-    return attach(df, means, [*keys, step])
+    return with_sliding_max(dated, ["stn"], "day", "temp", days, "max_temp").where(F.col("temp") == F.col("max_temp"))

@@ -19,6 +19,7 @@ from tidemark.registry.aggregates import LETTERS_SQL
 from tidemark.registry.features import custom_rows
 from tidemark.registry.rowsets import RATES_SQL
 from tidemark.registry.scans import WORDS_SQL
+from tidemark.storage import settled
 from tidemark.sources.tables import DRIVES_SQL, RECIPES_SQL, SHOWS_SQL, WEATHER_SQL, Tables, drive_days, recipes, shows, weather
 
 DRIVES = f"WITH {DRIVES_SQL}"
@@ -224,7 +225,7 @@ def job_failure_rate(t: Tables):
           WHERE capacity_gib BETWEEN 16 / 1.25 AND 16 * 1.25 ORDER BY rate, capacity_gib DESC, model LIMIT 3)""",
 )
 def job_reliable_drives(t: Tables):
-    rates = D.reliability(drive_days(t.events))
+    rates = settled(D.reliability(drive_days(t.events)))  # one pass over the drive days for both bands
     bands = [
         D.most_reliable(rates, capacity).withColumn("band", F.lit(band)) for band, capacity in (("small", 4.0), ("large", 16.0))
     ]
@@ -268,7 +269,7 @@ def job_modal_capacity(t: Tables):
     f"""WITH {WEATHER_SQL} SELECT stn, year, mo, da, temp FROM weather QUALIFY temp = min(temp) OVER (PARTITION BY year)""",
 )
 def job_coldest(t: Tables):
-    return coldest_by_semi_join(weather(t.events)).orderBy("year", "mo", "da")
+    return coldest_by_semi_join(settled(weather(t.events))).orderBy("year", "mo", "da")
 
 
 # ---- recipes ------------------------------------------------------------------------------

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import dates as D
 from tidemark.functions import numbers as N
 from tidemark.functions.nested import first_item, last_item
 from tidemark.functions.text import is_number, tokens
-from tidemark.operators.windows import with_group_stats
 from tidemark.registry import query
 from tidemark.registry.projections import tidy_recipes
 from tidemark.sources.tables import RECIPES_SQL, SHOWS_SQL, WEATHER_SQL, Tables, shows, weather
@@ -332,6 +332,6 @@ def map_values(t: Tables):
     SELECT stn, year, mo, da, temp, CASE WHEN low = high THEN 0.5 ELSE round((temp - low) / (high - low), 6) END AS temp_norm FROM ends""",
 )
 def min_max_norm(t: Tables):
-    ends = with_group_stats(weather(t.events), ["stn", "year", "mo"], low=F.min("temp"), high=F.max("temp"))
-    norm = F.round(N.range_scaled(F.col("temp"), F.col("low"), F.col("high")), 6)
-    return ends.select("stn", "year", "mo", "da", "temp", norm.alias("temp_norm"))
+    month = Window.partitionBy("stn", "year", "mo")  # at most 31 readings
+    norm = N.range_scaled(F.col("temp"), F.min("temp").over(month), F.max("temp").over(month))
+    return weather(t.events).select("stn", "year", "mo", "da", "temp", F.round(norm, 6).alias("temp_norm"))

@@ -6,15 +6,17 @@ Months and years across stations have no such bound and go through operators.win
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.udfs import mean_of_frame
 from tidemark.operators import windows as W
 from tidemark.operators.ordered import attach, number_rows
-from tidemark.plans.weather import READING, rows_at_extreme, rows_at_sliding_max, sliding_mean
+from tidemark.plans.weather import READING, rows_at_extreme, rows_at_sliding_max
 from tidemark.registry import query
 from tidemark.sources.tables import WEATHER_SQL, Tables, weather
+from tidemark.storage import settled
 
 WEATHER = f"WITH {WEATHER_SQL}"
 TOTAL_ORDER = ["temp", "stn", "mo", "da"]
@@ -24,20 +26,30 @@ CENTS = f"""WITH {WEATHER_SQL},
 cents AS (SELECT stn, year, mo, da, CAST(round(temp * 100) AS BIGINT) AS temp FROM weather) """
 
 
+def readings(t: Tables):
+    """Daily readings, written once: the queries below read them more than once, and they are far
+    smaller than the events they come from."""
+    return settled(weather(t.events))
+
+
+def in_cents(df: DataFrame) -> DataFrame:
+    return df.withColumn("temp", F.round(F.col("temp") * 100).cast("bigint"))
+
+
 def cents(t: Tables):
-    return weather(t.events).withColumn("temp", F.round(F.col("temp") * 100).cast("bigint"))
+    return in_cents(weather(t.events))
 
 
 
 
 @query("win_min_filter", WEATHER + "SELECT stn, year, mo, da, temp FROM weather QUALIFY temp = min(temp) OVER (PARTITION BY year)")
 def win_min_filter(t: Tables):
-    return rows_at_extreme(weather(t.events), ["year"], "temp", F.min).select(*READING)
+    return rows_at_extreme(readings(t), ["year"], "temp", F.min).select(*READING)
 
 
 @query("win_max_by_day", WEATHER + "SELECT stn, year, mo, da, temp FROM weather QUALIFY temp = max(temp) OVER (PARTITION BY year, mo, da)")
 def win_max_by_day(t: Tables):
-    return rows_at_extreme(weather(t.events), ["year", "mo", "da"], "temp", F.max).select(*READING)
+    return rows_at_extreme(readings(t), ["year", "mo", "da"], "temp", F.max).select(*READING)
 
 
 @query(
@@ -47,13 +59,15 @@ def win_max_by_day(t: Tables):
     SELECT stn, year, mo, da, temp, avg(temp) OVER (PARTITION BY year) AS avg_temp FROM hottest""",
 )
 def win_nested_avg(t: Tables):
-    hottest = rows_at_extreme(cents(t), ["stn", "year"], "temp", F.max)
-    return W.with_group_stats(hottest.select(*READING), ["year"], avg_temp=F.avg("temp"))
+    # A station and year is small by itself; a year over all stations is not.
+    station_year = Window.partitionBy("stn", "year")
+    hottest = cents(t).withColumn("max_temp", F.max("temp").over(station_year)).where("temp = max_temp")
+    return W.with_group_stats(settled(hottest.select(*READING)), ["year"], avg_temp=F.avg("temp"))
 
 
 @query("win_rank", WEATHER + "SELECT stn, mo, da, count_temp, rank() OVER (PARTITION BY mo ORDER BY count_temp) AS rank_tpm FROM weather")
 def win_rank(t: Tables):
-    return W.with_ranks(weather(t.events), ["mo"], "count_temp", rank="rank_tpm").drop("year", "temp")
+    return W.with_ranks(readings(t), ["mo"], "count_temp", rank="rank_tpm").drop("year", "temp")
 
 
 @query(
@@ -61,7 +75,7 @@ def win_rank(t: Tables):
     WEATHER + "SELECT stn, mo, da, count_temp, dense_rank() OVER (PARTITION BY mo ORDER BY count_temp) AS rank_tpm FROM weather",
 )
 def win_dense_rank(t: Tables):
-    return W.with_ranks(weather(t.events), ["mo"], "count_temp", dense_rank="rank_tpm").drop("year", "temp")
+    return W.with_ranks(readings(t), ["mo"], "count_temp", dense_rank="rank_tpm").drop("year", "temp")
 
 
 @query(
@@ -69,7 +83,7 @@ def win_dense_rank(t: Tables):
     WEATHER + "SELECT stn, mo, da, temp, round(percent_rank() OVER (PARTITION BY year ORDER BY temp), 9) AS rank_tpm FROM weather",
 )
 def win_percent_rank(t: Tables):
-    ranked = W.with_ranks(weather(t.events), ["year"], "temp", percent_rank="rank_tpm")
+    ranked = W.with_ranks(readings(t), ["year"], "temp", percent_rank="rank_tpm")
     return ranked.select("stn", "mo", "da", "temp", F.round("rank_tpm", 9).alias("rank_tpm"))
 
 
@@ -78,7 +92,7 @@ def win_percent_rank(t: Tables):
     WEATHER + "SELECT stn, mo, da, temp, ntile(3) OVER (PARTITION BY year ORDER BY temp, stn, mo, da) AS tile FROM weather",
 )
 def win_ntile(t: Tables):
-    return W.with_ntile(weather(t.events), ["year"], TOTAL_ORDER, 3, "tile").drop("year", "count_temp")
+    return W.with_ntile(readings(t), ["year"], TOTAL_ORDER, 3, "tile").drop("year", "count_temp")
 
 
 @query(
@@ -86,7 +100,7 @@ def win_ntile(t: Tables):
     WEATHER + "SELECT stn, mo, da, temp, row_number() OVER (PARTITION BY year ORDER BY temp, stn, mo, da) AS row_num FROM weather",
 )
 def win_row_number(t: Tables):
-    return number_rows(weather(t.events), ["year"], TOTAL_ORDER, "row_num").drop("year", "count_temp")
+    return number_rows(readings(t), ["year"], TOTAL_ORDER, "row_num").drop("year", "count_temp")
 
 
 @query(
@@ -97,7 +111,7 @@ def win_row_number(t: Tables):
 )
 def win_row_number_desc(t: Tables):
     order = [F.col("count_temp").desc(), "stn", "da"]
-    return number_rows(weather(t.events), ["mo"], order, "row_num").drop("year", "temp")
+    return number_rows(readings(t), ["mo"], order, "row_num").drop("year", "temp")
 
 
 @query(
@@ -108,7 +122,7 @@ def win_row_number_desc(t: Tables):
 )
 def win_rank_tiebreak(t: Tables):
     # The row number already follows count_temp, so ranking by it alone gives the same unique ranks.
-    numbered = number_rows(weather(t.events), ["mo"], ["count_temp", "stn", "da"], "row_tpm")
+    numbered = number_rows(readings(t), ["mo"], ["count_temp", "stn", "da"], "row_tpm")
     return W.with_ranks(numbered, ["mo"], "row_tpm", rank="rank_tpm").select("stn", "mo", "da", "row_tpm", "rank_tpm")
 
 
@@ -120,7 +134,7 @@ def win_rank_tiebreak(t: Tables):
 )
 def win_lag(t: Tables):
     lags = {"previous_temp": 1, "previous_temp2": 2}
-    return W.with_lags(weather(t.events), ["year"], TOTAL_ORDER, "temp", lags).drop("year", "count_temp")
+    return W.with_lags(readings(t), ["year"], TOTAL_ORDER, "temp", lags).drop("year", "count_temp")
 
 
 @query(
@@ -130,7 +144,7 @@ def win_lag(t: Tables):
          FROM weather WINDOW w AS (PARTITION BY year ORDER BY temp)""",
 )
 def win_cume_dist(t: Tables):
-    ranked = W.with_ranks(weather(t.events), ["year"], "temp", percent_rank="pr", cume_dist="cd")
+    ranked = W.with_ranks(readings(t), ["year"], "temp", percent_rank="pr", cume_dist="cd")
     return ranked.select("stn", "mo", "da", F.round("pr", 9).alias("percent_rank"), F.round("cd", 9).alias("cume_dist"))
 
 
@@ -140,7 +154,7 @@ FRAMES_SQL = """SELECT stn, mo, da, temp, avg(temp) OVER (PARTITION BY year) AS
 
 @query("win_default_frames", CENTS + FRAMES_SQL)
 def win_default_frames(t: Tables):
-    whole = W.with_group_stats(cents(t), ["year"], avg_no=F.avg("temp"))
+    whole = W.with_group_stats(in_cents(readings(t)), ["year"], avg_no=F.avg("temp"))
     both = W.with_running_mean(whole, ["year"], "temp", "avg_o")
     return both.select("stn", "mo", "da", "temp", "avg_no", "avg_o")
 
@@ -176,9 +190,9 @@ def win_range_growing(t: Tables):
 )
 def win_range_days(t: Tables):
     day = F.to_date(F.concat_ws("-", "year", "mo", "da"))
-    dated = weather(t.events).withColumn("dt_num", F.unix_timestamp(day))
+    dated = readings(t).withColumn("dt_num", F.unix_timestamp(day))
     week = 7 * 24 * 60 * 60
-    averaged = sliding_mean(dated, ["year"], "dt_num", "count_temp", week, "avg_count")
+    averaged = W.with_sliding_mean(dated, ["year"], "dt_num", "count_temp", week, "avg_count")
     return averaged.select("stn", "mo", "da", "count_temp", "avg_count")
 
 
@@ -190,7 +204,7 @@ def win_range_days(t: Tables):
            RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 7 DAY FOLLOWING)""",
 )
 def win_range_week_max(t: Tables):
-    return rows_at_sliding_max(weather(t.events), 7).select(*READING)
+    return rows_at_sliding_max(readings(t), 7).select(*READING)
 
 
 @query(
@@ -200,7 +214,7 @@ def win_range_week_max(t: Tables):
 )
 def win_range_month_index(t: Tables):
     indexed = t.orders.withColumn("mo_idx", F.year("o_orderdate") * 12 + F.month("o_orderdate"))
-    averaged = sliding_mean(indexed, ["o_orderstatus"], "mo_idx", "o_custkey", 1, "avg_key")
+    averaged = W.with_sliding_mean(indexed, ["o_orderstatus"], "mo_idx", "o_custkey", 1, "avg_key")
     return averaged.select("o_orderkey", "avg_key")
 
 
@@ -221,7 +235,7 @@ def win_rows_vs_range(t: Tables):
     WEATHER + "SELECT stn, mo, da, temp, round(median(temp) OVER (PARTITION BY year), 6) AS median_temp FROM weather",
 )
 def win_median_partition(t: Tables):
-    whole = W.with_group_median(weather(t.events), ["year"], "temp", "median_temp")
+    whole = W.with_group_median(readings(t), ["year"], "temp", "median_temp")
     return whole.select("stn", "mo", "da", "temp", F.round("median_temp", 6).alias("median_temp"))
 
 
