@@ -95,8 +95,9 @@ def number_rows(
     order = _order_columns(order)
     if fits_one_task(df, keys, limit):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    # Equal rows must not end up in one piece, so the row's place in the input breaks ties.
-    marked = df.withColumn("_mark", F.monotonically_increasing_id())
+    # Equal rows must not end up in one piece, so the row's place in a written table breaks ties.
+    # A task that is run again reads the same file split, so it marks its rows the same way.
+    marked = settled(df).withColumn("_mark", F.monotonically_increasing_id())
     order = [*order, F.col("_mark")]
     placed = _pieces(marked, keys, order)
     offsets = _earlier_pieces(placed, keys, {name: F.count("*")})
