@@ -142,3 +142,21 @@ def test_sliding_means_and_maxima(spark, as_rows, limit):
     expected = df.select("*", F.avg("v").over(w).alias("m"), F.max("v").over(w).alias("x"))
     got = W.with_sliding_max(W.with_sliding_mean(df, ["k"], "at", "v", 4, "m", limit), ["k"], "at", "v", 4, "x", limit)
     assert as_rows(got) == as_rows(expected)
+
+
+@pytest.mark.parametrize("limit, buckets", [(5, 4), (5, 100), (40, 7), (10_000, 100)])
+def test_growing_median(spark, as_rows, limit, buckets):
+    rng = random.Random(11)
+    data = [("big", rng.randrange(12), float(rng.randrange(500)), i) for i in range(400)]
+    data += [("big", rng.randrange(12), 77.0, 400 + i) for i in range(200)]
+    data += [("small", i % 3, float(i), 600 + i) for i in range(9)] + [("one", 1, 5.0, 700), ("big", 3, None, 701), ("none", 1, None, 702)]
+    df = spark.createDataFrame(data, "k string, at int, v double, id int").repartition(4)
+    w = Window.partitionBy("k").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    expected = df.withColumn("m", W.middle(F.collect_list("v").over(w)))
+    assert as_rows(W.with_growing_median(df, ["k"], "at", "v", "m", limit, buckets)) == as_rows(expected)
+
+
+def test_growing_median_without_key(spark, as_rows):
+    df = spark.createDataFrame([(i % 5, float((i * 37) % 101)) for i in range(200)], "at int, v double")
+    expected = W.growing(df.withColumn("k", F.lit(1)), ["k"], ["at"], W.middle, m="v").drop("k")
+    assert as_rows(W.with_growing_median(df, [], "at", "v", "m", 20, 8)) == as_rows(expected)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.ordered import attach, exact_quantiles, fits_one_task, group_sizes, ladder, number_rows
+from tidemark.operators.ordered import attach, exact_quantiles, fits_one_task, group_sizes, ladder, number_rows, same_keys
+from tidemark.storage import settled
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
@@ -98,15 +99,71 @@ def with_running_mean(df: DataFrame, keys: Sequence[str], value: str, name: str,
 
 
 def growing(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: Callable, **columns: str) -> DataFrame:
-    """Apply ``measure(array of the values so far)``, e.g. a growing median, as new columns.
+    """Apply ``measure(array of the values so far)`` as new columns.
 
-    Every row holds the values before it, so the keys must bound the group by themselves, as a
-    station and a year do (366 readings). Peers of the current row count as "so far".
+    Every row holds the values before it, so this is for groups that are small by themselves, as
+    a station and a year are (366 readings). Peers of the current row count as "so far".
     """
     w = Window.partitionBy(*keys).orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumns({n: measure(F.collect_list(v).over(w)) for n, v in columns.items()})
 
 
+def with_growing_median(
+    df: DataFrame, keys: Sequence[str], step: str, value: str, name: str, limit: int = 5_000, buckets: int = 100
+) -> DataFrame:
+    """Median of the group's values at the current step and before; a step is a day or the like.
+
+    Groups up to the limit gather their values. The rows of a larger group are dealt to value
+    buckets; running counts per step and bucket tell which bucket holds the median of each step,
+    and only that bucket's values are ranked for the step. Steps per group must be few (days of
+    some years); rows per step and group may be any number.
+    """
+    if fits_one_task(df, keys, limit):
+        return growing(df, keys, [step], middle, **{name: value})
+    if not keys:
+        hot = settled(df)
+        return attach(hot, settled(_growing_medians(hot, keys, step, value, name, buckets)), [step], "left")
+    large = settled(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).drop("_n"))
+    on = same_keys(df, large, keys)
+    hot, rest = settled(df.join(large, on, "left_semi")), df.join(large, on, "left_anti")
+    medians = settled(_growing_medians(hot, keys, step, value, name, buckets))
+    found = attach(hot, medians, [*keys, step], "left")
+    return found.unionByName(growing(rest, keys, [step], middle, **{name: value}))
+
+
+def _growing_medians(df: DataFrame, keys: Sequence[str], step: str, value: str, name: str, buckets: int) -> DataFrame:
+    """(keys, step, name) for groups with many rows and few steps."""
+    known = df.where(F.col(value).isNotNull())
+    shares = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
+    cuts = settled(known.groupBy(*keys).agg(F.percentile_approx(value, shares).alias("_cuts")))
+    counted = known.groupBy(*keys, step, value).agg(F.count("*").alias("_n"))
+    bucket = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    placed = settled(attach(counted, cuts, keys).withColumn("_bucket", bucket).drop("_cuts"))
+
+    # Running counts on the full grid of steps and buckets, small for each group.
+    every = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("_bucket")
+    grid = placed.select(*keys, step).distinct().select("*", every)
+    filled = attach(grid, placed.groupBy(*keys, step, "_bucket").agg(F.sum("_n").alias("_n")), [*keys, step, "_bucket"], "left")
+    by_step = Window.partitionBy(*keys, "_bucket").orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = filled.select(*keys, step, "_bucket", F.coalesce(F.sum("_n").over(by_step), F.lit(0)).alias("_n"))
+    by_bucket = Window.partitionBy(*keys, step).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = so_far.select(
+        "*",
+        (F.sum("_n").over(by_bucket) - F.col("_n")).alias("_below"),
+        F.sum("_n").over(Window.partitionBy(*keys, step)).alias("_all"),
+    )
+
+    # The two middle places of each step, as places within the bucket that holds them.
+    place = F.explode(F.array(F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2))).alias("_place")
+    inside = (F.col("_place") >= F.col("_below")) & (F.col("_place") < F.col("_below") + F.col("_n"))
+    wanted = ranked.select(*keys, step, "_bucket", "_below", place).where(inside).distinct()
+    targets = wanted.select(*keys, F.col(step).alias("_until"), F.col("_bucket"), "_place", (F.col("_place") - F.col("_below")).alias("_at"))
+    values = attach(placed, targets, [*keys, "_bucket"]).where(F.col(step) <= F.col("_until"))
+    steps = ladder(values, [*keys, "_until", "_place", "_at"], value, {"_w": F.sum("_n")})
+    hit = (F.col("_w_upto") - F.col("_w") <= F.col("_at")) & (F.col("_at") < F.col("_w_upto"))
+    return steps.where(hit).groupBy(*keys, F.col("_until").alias(step)).agg(F.avg(value).alias(name))
+
+
 def middle(values: Column) -> Column:
     """Median of an array."""
     ordered, n = F.sort_array(values), F.size(values)

@@ -242,11 +242,11 @@ def win_median_partition(t: Tables):
 @query(
     "win_median_growing",
     WEATHER
-    + "SELECT stn, mo, da, temp, round(median(temp) OVER (PARTITION BY stn, year ORDER BY mo, da), 6) AS median_temp_g FROM weather",
+    + "SELECT stn, mo, da, temp, round(median(temp) OVER (PARTITION BY year ORDER BY mo, da), 6) AS median_temp_g FROM weather",
 )
 def win_median_growing(t: Tables):
-    day = weather(t.events).withColumn("at", F.col("mo").cast("int") * 100 + F.col("da").cast("int"))
-    grown = W.growing(day, ["stn", "year"], ["at"], W.middle, median_temp_g="temp")
+    dated = readings(t).withColumn("at", F.col("mo").cast("int") * 100 + F.col("da").cast("int"))
+    grown = W.with_growing_median(dated, ["year"], "at", "temp", "median_temp_g")
     return grown.select("stn", "mo", "da", "temp", F.round("median_temp_g", 6).alias("median_temp_g"))
 
 
