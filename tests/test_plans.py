@@ -155,3 +155,31 @@ def test_unordered_windows_use_no_window_operator(tables):
 
 def test_filter_on_a_dropped_column(tables):
     assert "PushedFilters: [IsNotNull(s_acctbal)" in plan_text(projections.filter_on_dropped(tables))
+
+
+def test_hot_service_is_split_at_run_time(spark):
+    """Most log rows belong to one service: the shuffled join is cut into several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(0, 200_000, 1, 8)
+        service = F.when(F.col("id") % 3 != 0, 1).otherwise(F.col("id") % 300)
+        log = rows.select(service.alias("service_id"), (F.col("id") % 50).alias("class_id"), F.col("id").alias("seconds"))
+        primary = spark.range(300).select(F.col("id").alias("service_id"), (F.col("id") % 7).alias("category_id"))
+        categories = spark.range(7).select(F.col("id").alias("category_id"))
+        classes = spark.range(50).select(F.col("id").alias("class_id"), F.lit("COM").alias("class_code"))
+        totals = A.commercial_ratio(A.full_log(log, primary, categories, classes), ["category_id"], "class_code", "seconds")
+        assert sum(r.duration_total for r in totals.collect()) == sum(range(200_000))
+        assert "skew=true" in totals._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -27,9 +27,19 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*[facts(c) for c in columns]).alias("facts")).selectExpr("inline(facts)")
 
 
-def melted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value) rows; the value is a double."""
-    return df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """count, least and greatest value per column of any type that has an order, as strings."""
+
+    def facts(c):
+        ends = [f(c).cast("string").alias(n) for n, f in (("min", F.min), ("max", F.max))]
+        return F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), *ends)
+
+    return df.agg(F.array(*[facts(c) for c in columns]).alias("facts")).selectExpr("inline(facts)")
+
+
+def melted(df: DataFrame, columns: Sequence[str], kind: str = "double") -> DataFrame:
+    """(column, value) rows; all values are cast to one type."""
+    return df.select([F.col(c).cast(kind).alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], shares: dict[str, float]) -> DataFrame:
@@ -79,9 +89,9 @@ def binary_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return attach(df.select(*columns), ends, []).agg(F.array(*checks).alias("checks")).selectExpr("inline(checks)")
 
 
-def value_sets(df: DataFrame, columns: Sequence[str], page_rows: int = 10_000) -> DataFrame:
+def value_sets(df: DataFrame, columns: Sequence[str], kind: str = "double", page_rows: int = 10_000) -> DataFrame:
     """The different values of each column as sorted arrays, in pages if there are very many."""
-    values = melted(df, columns).where("value is not null").distinct()
+    values = melted(df, columns, kind).where("value is not null").distinct()
     return collect_pages(values, ["column"], ["value"], F.col("value"), "values", page_rows)
 
 

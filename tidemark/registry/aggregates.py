@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import ratio
 from tidemark.operators import profile as P
 from tidemark.operators.ordered import collect_pages
 from tidemark.operators.views import named_views

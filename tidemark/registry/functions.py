@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions import mixed as M
@@ -42,18 +41,13 @@ def udf_row(t: Tables):
     return fractions(t).select("num", "den", U.fraction_to_float("fraction").alias("share"))
 
 
-@F.udf(T.StringType(), useArrow=True)
-def initials(text):
-    return None if text is None or text == "view" else text[:1].upper()
-
-
 @query(
     "udf_row_decorated",
     "SELECT event_type, CASE WHEN event_type <> 'view' THEN upper(substr(event_type, 1, 1)) END AS initial, count(*) AS n FROM events GROUP BY 1, 2",
 )
 def udf_row_decorated(t: Tables):
     counted = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
-    return counted.withColumn("initial", initials("event_type"))
+    return counted.withColumn("initial", U.initial("event_type"))
 
 
 @query("udf_fraction_reduce", REDUCED_SQL)

@@ -13,7 +13,7 @@ from tidemark.operators.columns import filled_counts
 from tidemark.operators.ordered import collect_pages
 from tidemark.registry import query
 from tidemark.sources import files
-from tidemark.sources.tables import SHOWS_SQL, Tables, shows, text_lines
+from tidemark.sources.tables import SHOWS_SQL, Tables, shows
 from tidemark.storage import new_folder
 
 LINES_SQL = "SELECT unnest(string_split(text, chr(10))) AS value FROM documents"

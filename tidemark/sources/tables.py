@@ -47,11 +47,6 @@ class Tables:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
 
-def text_lines(documents: DataFrame) -> DataFrame:
-    """One row per line of text, column ``value``, as a text scan would give."""
-    return documents.select(F.explode(F.split("text", "\n")).alias("value"))
-
-
 def shows(documents: DataFrame) -> DataFrame:
     """Nested documents: one show per text, one episode per line of it.
 
@@ -134,7 +129,7 @@ def recipes(customer: DataFrame, orders: DataFrame) -> DataFrame:
         F.when(key % 101 == 9, 2.0).when(key % 7 != 2, flag(key % 3 == 0)).alias("cakeweek"),
         F.when(key % 103 == 9, 3.0).when(key % 7 != 3, flag(key % 5 == 0)).alias("wasteless"),
         F.when(key % 9 != 1, flag(F.col("c_nationkey") < 5)).alias("clove"),
-        flag(key % 400 == 1).alias("rare herb"),
+        flag(key == 1).alias("rare herb"),
         F.coalesce("has_f", F.lit(0.0)).alias("quick-22 meals"),
         F.col("has_urgent").alias("appetite & more"),
         F.when(key % 19 != 6, flag(F.col("c_mktsegment") == "BUILDING")).alias("dessert"),
@@ -187,7 +182,7 @@ recipes AS (
     CASE WHEN c_custkey % 103 = 9 THEN 3.0::DOUBLE WHEN c_custkey % 7 <> 3
          THEN CASE WHEN c_custkey % 5 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS wasteless,
     CASE WHEN c_custkey % 9 <> 1 THEN CASE WHEN c_nationkey < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS clove,
-    CASE WHEN c_custkey % 400 = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rare_herb,
+    CASE WHEN c_custkey = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS rare_herb,
     coalesce(has_f, 0.0)::DOUBLE AS quick_22_meals,
     CAST(has_urgent AS DOUBLE) AS appetite_and_more,
     CASE WHEN c_custkey % 19 <> 6
