@@ -47,8 +47,9 @@ def test_number_rows_of_copies(spark):
 
 
 def test_large_group_is_spread(skewed):
-    placed = O._pieces(skewed, ["k"], [F.col("v"), F.col("id")])
-    assert placed.where("k = 'hot'").select("_piece").distinct().count() > 1
+    placed = O._pieces(skewed, ["k"], [F.col("v"), F.col("id")], 50)
+    sizes = placed.where("k = 'hot'").groupBy("_piece").count().collect()
+    assert len(sizes) > 4 and max(r["count"] for r in sizes) <= 50
 
 
 @pytest.mark.parametrize("descending", [False, True])

@@ -56,9 +56,16 @@ def _order_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Range-partitioned rows with the number of their piece, written once."""
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order)
+def _pieces(written: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int | None) -> DataFrame:
+    """Range-partitioned rows with the number of their piece, written once.
+
+    There are enough pieces to keep one at about half the limit, however much data there is.
+    """
+    spark = written.sparkSession
+    limit = group_limit(written) if limit is None else limit
+    rows = written.count()  # from the file footers
+    pieces = max(-(-2 * rows // limit), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
     return settled(ranged.withColumn("_piece", F.spark_partition_id()))
 
 
@@ -99,7 +106,7 @@ def number_rows(
     # A task that is run again reads the same file split, so it marks its rows the same way.
     marked = settled(df).withColumn("_mark", F.monotonically_increasing_id())
     order = [*order, F.col("_mark")]
-    placed = _pieces(marked, keys, order)
+    placed = _pieces(marked, keys, order, limit)
     offsets = _earlier_pieces(placed, keys, {name: F.count("*")})
     within = Window.partitionBy(*keys, "_piece").orderBy(*order)
     local = placed.withColumn(name, F.row_number().over(within).cast("bigint"))
@@ -139,7 +146,7 @@ def ladder(
     steps = settled(steps)
     if fits_one_task(steps, keys, limit):  # many copies, but few distinct values
         return climbed(steps, keys)
-    placed = _pieces(steps, keys, order)
+    placed = _pieces(steps, keys, order, limit)
     totals = {"below": F.sum("peers"), "rung": F.count("*"), **{f"{n}_upto": F.sum(n) for n in sums}}
     offsets = _earlier_pieces(placed, keys, totals)
     return _with_offsets(climbed(placed, [*keys, "_piece"]), offsets, keys, list(totals))

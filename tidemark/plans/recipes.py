@@ -77,7 +77,10 @@ def telling_binaries(df: DataFrame, roles: Roles = ROLES, at_least: int = 10) ->
 
 
 def featured(raw: DataFrame, roles: Roles = ROLES, bounds: dict[str, float] | None = None) -> tuple[DataFrame, list[str]]:
-    """Cleaned rows with caps and ratios, and the binary columns worth keeping."""
+    """Cleaned rows with caps and ratios, and the binary columns worth keeping.
+
+    Without bounds the caps are the 99th percentiles; RECIPE_CAPS holds those set by hand.
+    """
     clean = settled(cleaned(raw, roles))  # read several times below
     capped_rows = with_caps(clean, upper_bounds(clean, roles.imputed) if bounds is None else bounds)
     kept = telling_binaries(capped_rows, roles)
