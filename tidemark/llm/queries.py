@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.frames import read_table
 from tidemark.llm.minhash_dedup import near_duplicates
+from tidemark.llm.suffix_dedup import without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,3 +46,8 @@ links as (
 select d.doc_id, coalesce(any_value(s.n), 0)::bigint as n_shingles, min(reach.r) as component_id, d.doc_id = min(reach.r) as kept
 from documents d left join sizes s on s.doc_id = d.doc_id join reach on reach.id = d.doc_id group by d.doc_id
 """
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(read_table(spark, folder, "documents")).drop("kept")
