@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontamination import contamination
 from tidemark.llm.frames import read_table
+from tidemark.llm.language_id import languages
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.suffix_dedup import without_repeats
 
@@ -51,3 +53,13 @@ from documents d left join sizes s on s.doc_id = d.doc_id join reach on reach.id
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(read_table(spark, folder, "documents")).drop("kept")
+
+
+@query("op7_decontamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark")).drop("items")
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(read_table(spark, folder, "documents"))
