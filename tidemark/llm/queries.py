@@ -10,6 +10,7 @@ from tidemark.llm.decontamination import contamination
 from tidemark.llm.frames import read_table
 from tidemark.llm.language_id import languages
 from tidemark.llm.minhash_dedup import near_duplicates
+from tidemark.llm.packing import packed
 from tidemark.llm.suffix_dedup import without_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_language_id")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return languages(read_table(spark, folder, "documents"))
+
+
+@query("op2_packing")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(read_table(spark, folder, "documents"))
