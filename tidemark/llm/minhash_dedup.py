@@ -4,17 +4,20 @@ Method. One hash per shingle fills the bins of a sketch (the range of the hash i
 bins, each keeps its least value); an empty bin borrows from the first full bin of a fixed random
 probe sequence of its own (optimal densification), so bins agree with the Jaccard similarity as their
 probability. Bands of bins are bucket keys. Texts with the same shingle set are one class, and only
-its smallest document takes part. Each bucket links its members to its smallest one: a star, so the
-candidates grow as the buckets do. Candidates are confirmed on full sets, components are formed, and
-buckets that still hold several components are worked again: members outside the bucket's main
-component are compared with all members of the other components. No two members of a bucket that
-could still join two components stay unchecked, so the stars lose no link between components.
+its smallest document takes part. Each bucket links its members to one of them: a star, so the
+candidates grow as the buckets do. The hub is the member that meets most others over all its buckets,
+as a rule the text that the others were made from. Candidates are measured on full sets.
+
+No link is lost to the stars. Buckets that hold several components after the first round are looked at
+again: members outside the main component are compared with those of other components, except where
+the measured distances rule it out. The Jaccard distance is a metric: two members whose distances to
+the hub differ by more than 0.25 are more than 0.25 apart.
 
 Chance of missing a link of similarity 0.75: (1 - 0.75**5)**48 = 2e-6.
 
 Scale. Bucket keys are aggregated before the join back, and hot keys are on one side only. Nothing
-is collected. The second look leaves out pairs by their set sizes, and by their sketches where the
-number of agreeing bins is more than six standard deviations under what the threshold needs.
+is collected. The second look also leaves out pairs by their set sizes, and by their sketches where the
+number of agreeing bins is more than five standard deviations under what the threshold needs.
 
 Defined cases. Null, empty and blank texts have an empty set and link with nothing. Fewer than five
 words: the whole sequence is one shingle. Rows with the same doc_id are one document: a link of any
@@ -117,16 +120,25 @@ def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, side, text), sorted by a, b and side: the pairs that are similar enough."""
-    pair, lefts, rights, last_a, last_sets, out = None, [], [], None, None, []
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, side, text), sorted by a, b and side: distance of each pair, and if it is a link."""
+    pair, lefts, rights, out = None, [], [], []
 
     def judged():
-        if pair and any(
-            100 * (both := len(np.intersect1d(x, y, assume_unique=True))) >= PERCENT * (len(x) + len(y) - both)
-            for x in lefts for y in rights if len(x) and len(y)
-        ):
-            out.append(pair)
+        best = (1.0, False)
+        for x in lefts:
+            for y in rights:
+                if len(x) and len(y):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    either = len(x) + len(y) - both
+                    best = min(best, (1 - both / either, 100 * both >= PERCENT * either))
+        if pair:
+            out.append((*pair, *best))
+
+    def rows():
+        columns = list(zip(*out)) or [[]] * 4
+        types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "b", "distance", "link"])
 
     for batch in batches:
         firsts, seconds, sides = batch["a"].to_pylist(), batch["b"].to_pylist(), batch["side"].to_pylist()
@@ -136,32 +148,29 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     judged()
                     pair, lefts, rights = (firsts[i], seconds[i]), [], []
                 (rights if sides[i] else lefts).append(found)
-        if out:
-            yield _pairs(out)
-            out = []
+        yield rows()
+        out.clear()
     judged()
-    yield _pairs(out)
-
-
-def _pairs(rows) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+    yield rows()
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))).alias("end"))
-    held = ends.select("a", "b", "end.doc_id", "end.side").join(texts, "doc_id").select("a", "b", "side", "text")
-    return held.repartition(F.col("a"), F.col("b")).sortWithinPartitions("a", "b", "side").mapInArrow(_confirm, "a long, b long")
+def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, distance, link): the pairs with the Jaccard distance of their full shingle sets."""
+    ends = F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))
+    rows = pairs.select("a", "b", F.explode(ends).alias("end")).select("a", "b", "end.doc_id", "end.side")
+    held = rows.hint("merge").join(texts, "doc_id").select("a", "b", "side", "text")
+    sorted_rows = held.repartition(F.col("a"), F.col("b")).sortWithinPartitions("a", "b", "side")
+    return sorted_rows.mapInArrow(_measure, "a long, b long, distance double, link boolean")
 
 
 def _may_be_similar(n: pd.Series, m: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
-    """False only for pairs that sizes rule out, or sketches by six standard deviations."""
+    """False only for pairs that sizes rule out, or sketches by five standard deviations."""
     n, m = n.to_numpy(), m.to_numpy()
     small, large = np.minimum(n, m), np.maximum(n, m)
     ok = 100 * small >= PERCENT * large
     share = PERCENT / 100
     for i in np.flatnonzero(ok):
-        least = share - 6 * sqrt(share * (1 - share) * (1 / BINS + 1 / small[i]))
+        least = share - 5 * sqrt(share * (1 - share) * (1 / BINS + 1 / small[i]))
         if least > 0:
             same = np.frombuffer(one[i], np.uint8) == np.frombuffer(other[i], np.uint8)
             ok[i] = same.mean() >= least
@@ -169,52 +178,51 @@ def _may_be_similar(n: pd.Series, m: pd.Series, one: pd.Series, other: pd.Series
 
 
 def _second_look(members: DataFrame, labels: DataFrame, tested: DataFrame, prints: DataFrame) -> DataFrame:
-    """Untested pairs between different components of one bucket."""
-    placed = members.join(labels, members["rep"] == labels["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    """Untested pairs between components of one bucket that distances do not rule out."""
+    away = tested.select("a", "b", "distance")
+    placed = (
+        members.join(labels, members["rep"] == labels["id"], "left")
+        .select("key", "rep", F.coalesce("component", "rep").alias("part"), F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+        .join(away, ["a", "b"], "left").select("key", "rep", "part", F.coalesce("distance", F.lit(0.0)).alias("away"))
+    )
     split = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("size")).where("x != y and size > 2")
     inside = settled(placed.join(split.select("key"), "key"))
     sizes = inside.groupBy("key", "part").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    rest = inside.join(main, "key").where("part != main").select("key", F.col("rep").alias("r1"), F.col("part").alias("p1"))
+    rest = inside.join(main, "key").where("part != main").select("key", F.col("rep").alias("r1"), F.col("part").alias("p1"), F.col("away").alias("away1"))
+    near = (F.col("part") != F.col("p1")) & (F.abs(F.col("away") - F.col("away1")) <= 1 - PERCENT / 100 + 1e-9)
     pairs = (
-        rest.join(inside, "key").where("part != p1")
-        .select(F.least("rep", "r1").alias("a"), F.greatest("rep", "r1").alias("b")).distinct()
-        .join(tested, ["a", "b"], "left_anti")
+        rest.join(inside, (rest["key"] == inside["key"]) & near)
+        .select(F.least("rep", "r1").alias("a"), F.greatest("rep", "r1").alias("b")).distinct().join(away, ["a", "b"], "left_anti")
     )
     slim = prints.select(F.col("doc_id"), F.col("n_shingles").alias("n"), "sketch")
     one, two = slim.toDF("a", "n", "one"), slim.toDF("b", "m", "other")
-    return pairs.join(one, "a").join(two, "b").where(F.pandas_udf(_may_be_similar, T.BooleanType())("n", "m", "one", "other")).select("a", "b").distinct()
-
+    possible = F.pandas_udf(_may_be_similar, T.BooleanType())("n", "m", "one", "other")
+    return pairs.join(one, "a").join(two, "b").where(possible).select("a", "b").distinct()
 
-def near_duplicates(docs: DataFrame, looks: int = 8) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
-    ``looks`` bounds the further passes over mixed buckets; as each of them checks every pair that
-    could join two components of its bucket, the first with nothing to add ends the work.
-    """
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
     texts = only(docs, "doc_id", "text")
     prints = settled(in_batches(texts, _fingerprints, _PRINTS))
     full = prints.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # Only one row of a class goes into the buckets: the copies of a text never meet there.
-    chosen = full.groupBy("k1", "k2", "n_shingles").agg(F.min_by(F.struct("doc_id", "keys"), "doc_id").alias("row")).select(F.col("row.doc_id").alias("rep"), F.explode("row.keys").alias("key"))
-    buckets = settled(chosen)
-    shared = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("hub != far").select("key", "hub")
-    members = settled(buckets.join(shared, "key"))
-    stars = members.where("hub != rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = settled(stars)
-    links = settled(confirmed(tested, texts))
+    chosen = full.groupBy("k1", "k2", "n_shingles").agg(F.min_by(F.struct("doc_id", "keys"), "doc_id").alias("row"))
+    buckets = settled(chosen.select(F.col("row.doc_id").alias("rep"), F.explode("row.keys").alias("key")))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = settled(buckets.join(shared, "key"))
+    popular = met.groupBy("rep").agg(F.sum("n").alias("meets"))
+    hubs = met.join(popular, "rep").groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
+    members = settled(met.select("key", "rep").join(hubs, "key"))
+    held = settled(texts.hint("merge").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
+    stars = members.where("hub != rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    tested = settled(measured(stars, held))
+    links = tested.where("link").select("a", "b")
     labels = settled(components(links))
-    for _ in range(looks):
-        more = settled(_second_look(members, labels, tested, full))
-        if more.isEmpty():
-            break
-        found = settled(confirmed(more, texts))
-        tested = tested.unionAll(more)
-        if found.isEmpty():
-            break
-        links = links.unionAll(found)
-        labels = settled(components(links))
+    more = settled(measured(_second_look(members, labels, tested, full), held)).where("link").select("a", "b")
+    if not more.isEmpty():
+        labels = settled(components(links.unionAll(more)))
     named = classes.join(labels, classes["rep"] == labels["id"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("c"))
     joined = prints.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))

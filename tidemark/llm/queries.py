@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontamination import contamination
 from tidemark.llm.frames import read_table
+from tidemark.llm.html_extraction import main_texts
 from tidemark.llm.language_id import languages
+from tidemark.llm.lm_scoring import scored_texts
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import packed
+from tidemark.llm.quality_classifier import quality_scores
+from tidemark.llm.quality_rules import cleaned
 from tidemark.llm.suffix_dedup import without_repeats
+from tidemark.llm.token_counts import edited_counts, masking_edits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +74,29 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_packing")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packed(read_table(spark, folder, "documents"))
+
+
+@query("op9_html_extraction")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(read_table(spark, folder, "pages"))
+
+
+@query("op4_quality_rules")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return cleaned(read_table(spark, folder, "documents"), with_text=False)
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return edited_counts(docs.select("doc_id", "text", masking_edits("text").alias("edits")))
+
+
+@query("op3_lm_scoring")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_texts(read_table(spark, folder, "documents"))

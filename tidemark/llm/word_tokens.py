@@ -57,10 +57,13 @@ class WordEncoder:
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarray]:
         """The white-space pieces of a slice and their numbers in the table."""
+        words = K.word_spans(data, offsets, K.NOT_SPACE)
+        return words, self.numbers(data, words, K.span_hashes(K.prefix_sums(data), words.starts, words.ends))
+
+    def numbers(self, data: np.ndarray, words: K.Words, hashes: np.ndarray) -> np.ndarray:
+        """The table's numbers of pieces whose hashes are known already."""
         if self.table.size > MOST_WORDS:
             self._reset()
-        words = K.word_spans(data, offsets, K.NOT_SPACE)
-        hashes = K.span_hashes(K.prefix_sums(data), words.starts, words.ends)
         numbers = self.table.find(hashes)
         new = np.flatnonzero(numbers < 0)
         if len(new):
@@ -68,7 +71,7 @@ class WordEncoder:
             at = new[first]
             self._learn(distinct, [data[a:b].tobytes().decode() for a, b in zip(words.starts[at], words.ends[at])])
             numbers[new] = self.table.find(hashes[new])
-        return words, numbers
+        return numbers
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         return self.ends[numbers] - np.where(numbers > 0, self.ends[numbers - 1], 0)
