@@ -1,28 +1,76 @@
-"""From raw documents to packed training sequences, in stages that are written and read again."""
+"""From raw documents to packed training sequences, in stages that are written and read again.
+
+Each stage works on all that the one before kept, and its decisions take effect:
+
+1. language ID: texts without a letter go, and those whose n-grams fit no language that was learned;
+2. near duplicates: one document of each group stays, the one with the smallest doc_id;
+3. repeated passages: bytes in strings of 200 bytes that occur elsewhere are cut out (the rest is decoded,
+   and bytes that form no character any more are dropped); documents of which only white space is left go;
+4. benchmark passages: contaminated documents go;
+5. packing: token pieces with their sequences and places.
+
+Stages 1 to 4 return the columns of documents. Rows with a null doc_id go through like any others; of
+rows with the same doc_id one stays after stage 2. Empty tables give empty tables.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.decontamination import contamination
 from tidemark.llm.frames import read_table
+from tidemark.llm.language_id import languages
 from tidemark.llm.minhash_dedup import near_duplicates
+from tidemark.llm.packing import packed
+from tidemark.llm.suffix_dedup import with_kept_text, without_repeats
 from tidemark.storage import new_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# Of a text's n-grams, at least this part must be known in its language.
+LEAST_SHARE = 0.1
+
+
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = languages(docs, carry=("text", "lang", "source", "n_chars"))
+    return judged.where((F.col("lang_pred") != "und") & (F.col("share") >= LEAST_SHARE)).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    stay = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    cut = with_kept_text(without_repeats(docs, carry=("lang", "source")), carry=("lang", "source"))
+    return cut.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = contamination(docs, read_table(spark, sf_dir, "benchmark"), carry=("text", "lang", "source", "n_chars"))
+    return judged.where("not contaminated").select(*COLUMNS)
+
+
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed(docs)
+
 
+STAGES = [
+    ("language_id", in_a_language),
+    ("near_dedup", without_near_copies),
+    ("suffix_dedup", without_repeated_passages),
+    ("decontamination", without_benchmark_passages),
+    ("packing", into_sequences),
+]
 
-STAGES = [("near_dedup", without_near_copies)]
+# Similarity, suffixes, learned filters and packing are beyond SQL; tests rebuild the rows by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written below the shared folder and read from there."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, name)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.frames import in_batches, settled
+from tidemark.llm.frames import carried, in_batches, settled
 
 WINDOW, ELEMENT, BLOCK = 13, 3, 50_000
 
@@ -132,7 +132,7 @@ def _counts(block):
     return run
 
 
-def _judged(blocks):
+def _judged(blocks, carry=()):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, n_hit, items = [], [], [set() for _ in range(batch.num_rows)]
         for part in K.slices(batch["text"]):
@@ -152,17 +152,20 @@ def _judged(blocks):
         digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]
         return pa.RecordBatch.from_arrays(
             [batch["doc_id"], pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in named], pa.int64()),
-             pa.array(digests, pa.string()), pa.array((n_hit > 0) & (20 * n_hit >= n_words)), pa.array(named, pa.list_(pa.string()))],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+             pa.array(digests, pa.string()), pa.array((n_hit > 0) & (20 * n_hit >= n_words)), pa.array(named, pa.list_(pa.string())), *(batch[c] for c in carry)],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", *carry],
         )
 
     return work
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of ``docs``."""
+def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) for each row of ``docs``.
+
+    The columns named in ``carry`` (not doc_id) come along unchanged.
+    """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in carry if c != "text"))
     asked = in_batches(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), _windows_of, "item_id long, words binary")
     windows = settled(asked.groupBy("words").agg(F.collect_set("item_id").alias("items")))
     n_blocks = -(-windows.count() // block)
@@ -179,4 +182,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) ->
         own.choose(counts)
         sent.unpersist()
         blocks.append(spark.sparkContext.broadcast(own))
-    return in_batches(texts, _judged(blocks), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+    return in_batches(texts, _judged(blocks, carry), carried(docs, carry, schema))

@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.storage import settled
 
-__all__ = ["settled", "id_lot", "lot_of", "in_batches", "read_table", "only"]
+__all__ = ["settled", "id_lot", "lot_of", "in_batches", "carried", "read_table", "only"]
 
 
 def id_lot(column: str, n: int) -> Column:
@@ -28,7 +29,7 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """Apply ``work`` to each Arrow batch; empty batches are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,5 +40,10 @@ def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def carried(docs: DataFrame, names: tuple[str, ...], schema: str) -> T.StructType:
+    """A schema with the named columns of ``docs`` behind it."""
+    return T.StructType([*T.StructType.fromDDL(schema).fields, *(T.StructField(n, docs.schema[n].dataType) for n in names)])
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.frames import id_lot, in_batches
+from tidemark.llm.frames import carried, id_lot, in_batches
 
 ORDERS, PROBES, RAREST, MOST_DOCS = (3, 4), 3, 20_000, 3_000
 FOLDS, HELD_OUT = 4, 2
@@ -141,7 +141,7 @@ def learn(labelled: DataFrame, most_docs: int = MOST_DOCS, rarest: int = RAREST)
     return Filters({lang: np.array(found, np.int64).view(np.uint64) for lang, found in sets.items()})
 
 
-def _predicted(filters):
+def _predicted(filters, carry=()):
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, names, scores, tops = filters.value, [], [], []
         for _, _, texts in _batch_pieces(batch):
@@ -157,18 +157,21 @@ def _predicted(filters):
                 names.append(own.langs[best[i]] if known else "und")
                 scores.append(float(min(1.0, part[i])) if known else 0.0)
                 tops.append(float(top[i]) if known else 0.0)
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(names), pa.array(scores), pa.array(tops)], ["doc_id", "held_out", "lang_pred", "score", "share"])
+        arrays = [batch["doc_id"], batch["held_out"], pa.array(names), pa.array(scores), pa.array(tops), *(batch[c] for c in carry)]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "lang_pred", "score", "share", *carry])
 
     return work
 
 
-def languages(docs: DataFrame, most_docs: int = MOST_DOCS, rarest: int = RAREST) -> DataFrame:
+def languages(docs: DataFrame, most_docs: int = MOST_DOCS, rarest: int = RAREST, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, share) for each row of ``docs`` (doc_id, text, lang).
 
-    ``share`` is the corrected share of the predicted language. Learns from rows not held out.
+    ``share`` is the corrected share of the predicted language. Learns from rows not held out. The
+    columns named in ``carry`` (not doc_id) come along unchanged.
     """
     lot = id_lot("doc_id", FOLDS)
     held = F.coalesce(lot == HELD_OUT, F.lit(False)).alias("held_out")
     filters = learn(docs.select("doc_id", "text", "lang", held).where("not held_out"), most_docs, rarest)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
-    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text"), _predicted(sent), "doc_id long, held_out boolean, lang_pred string, score double, share double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text", *(c for c in carry if c != "text"))
+    return in_batches(rows, _predicted(sent, carry), carried(docs, carry, "doc_id long, held_out boolean, lang_pred string, score double, share double"))

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.frames import in_batches, settled
+from tidemark.llm.frames import carried, in_batches, settled
 
 LENGTH, HEAD = 200, 32
 RUN_ITEMS, PIECE = 150_000, 1 << 22
@@ -271,9 +271,9 @@ def repeated_ranges(group: list[tuple[bytes, int, bytes, list]], length: int = L
 # -- the distributed steps ------------------------------------------------------------------------
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2"))
 
 
 def _zipped(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -376,28 +376,29 @@ def _windows(length: int):
     return work
 
 
-def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
-    unzip, removed, runs, digests, kept = zstandard.ZstdDecompressor().decompress, [], [], [], []
-    for z, spans in zip(batch["z"].to_pylist(), batch["spans"].to_pylist()):
-        text, rest, at, gone, n = unzip(z), [], 0, 0, 0
-        for span in sorted((s["start"], s["stop"]) for s in spans or ()):
-            start, stop = span
-            if start > at or not n:
-                rest.append(text[at:start])
-                n += 1
-                gone += stop - start
-                at = stop
-            elif stop > at:
-                gone += stop - at
-                at = stop
-        rest.append(text[at:])
-        rest = b"".join(rest)
-        removed.append(gone), runs.append(n), digests.append(hashlib.sha256(rest).hexdigest())
-        kept.append(rest)
-    return pa.RecordBatch.from_arrays(
-        [batch["doc_id"], batch["n_bytes"], pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())],
-        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-    )
+def _kept(carry: tuple[str, ...]):
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        unzip, removed, runs, digests, kept = zstandard.ZstdDecompressor().decompress, [], [], [], []
+        for z, spans in zip(batch["z"].to_pylist(), batch["spans"].to_pylist()):
+            text, rest, at, gone, n = unzip(z), [], 0, 0, 0
+            for start, stop in sorted((s["start"], s["stop"]) for s in spans or ()):
+                if start > at or not n:
+                    rest.append(text[at:start])
+                    n += 1
+                    gone += stop - start
+                    at = stop
+                elif stop > at:
+                    gone += stop - at
+                    at = stop
+            rest.append(text[at:])
+            rest = b"".join(rest)
+            removed.append(gone), runs.append(n), digests.append(hashlib.sha256(rest).hexdigest())
+            kept.append(rest)
+        counts = [pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.binary())]
+        arrays = [batch["doc_id"], batch["n_bytes"], *counts, *(batch[c] for c in carry)]
+        return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *carry])
+
+    return work
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, most_in_task: int = MOST_IN_TASK) -> DataFrame:
@@ -426,18 +427,31 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, most_in_task: int = M
     return spans
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, most_in_task: int = MOST_IN_TASK) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, most_in_task: int = MOST_IN_TASK, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs`` (doc_id, text).
 
-    ``kept`` holds the remaining bytes; a cut may fall inside a character.
+    ``kept`` holds the remaining bytes; a cut may fall inside a character. The columns named in ``carry``
+    (neither doc_id nor text) come along unchanged.
     """
     if not HEAD + 8 <= length <= 255:
         raise ValueError("length must be from 40 to 255 bytes")
-    keyed = _keyed(docs)
+    keyed = _keyed(docs, carry)
     spans = repeated_spans(keyed, length, most_in_task).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     size = F.octet_length("text").cast("long").alias("n_bytes")
     copies = keyed.groupBy("k1", "k2", size).agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n_bytes") >= length))
     whole = copies.select("k1", "k2", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop"))).alias("spans"))
     cut = whole.unionAll(spans.join(whole, ["k1", "k2"], "left_anti"))
-    zipped = in_batches(keyed.select("doc_id", "k1", "k2", size, "text"), _zipped, "doc_id long, k1 long, k2 long, n_bytes long, z binary")
-    return in_batches(zipped.join(cut, ["k1", "k2"], "left").select("doc_id", "n_bytes", "z", "spans"), _kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = keyed.select("doc_id", "k1", "k2", size, "text", *carry)
+    zipped = in_batches(rows, _zipped, carried(docs, carry, "doc_id long, k1 long, k2 long, n_bytes long").add("z", "binary"))
+    joined = zipped.join(cut, ["k1", "k2"], "left").select("doc_id", "n_bytes", "z", "spans", *carry)
+    return in_batches(joined, _kept(carry), carried(docs, carry, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+
+
+def with_kept_text(cut: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, ...) from the kept bytes; bytes that form no character any more are dropped."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = pa.array([k.decode("utf-8", "ignore") for k in batch["kept"].to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([batch["doc_id"], texts, *(batch[c] for c in carry)], ["doc_id", "text", *carry])
+
+    return in_batches(cut.select("doc_id", "kept", *carry), work, carried(cut, carry, "doc_id long, text string"))
