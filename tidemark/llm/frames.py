@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,14 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def _let_workers_import(spark: SparkSession) -> None:
+    """Workers look for this package where the driver has it; elsewhere it comes with --py-files."""
+    root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = known.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
+
+
 def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """Apply ``work`` to each Arrow batch; empty batches are skipped."""
 
@@ -37,6 +47,7 @@ def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
             if batch.num_rows:
                 yield work(batch)
 
+    _let_workers_import(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -82,7 +82,22 @@ class Stock:
 
 
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
-    """(how often, lengths of one sequence) that together use all counted lengths."""
+    """(how often, lengths of one sequence) that together use all counted lengths.
+
+    Sums of up to three, two or one length are looked up; the plan with the fewest sequences counts.
+    """
+    least = -(-sum(n * c for n, c in counts.items()) // size)
+    best: list = []
+    for longest_fill in (3, 2, 1):
+        made = _plan(counts, size, longest_fill)
+        if not best or sum(n for n, _ in made) < sum(n for n, _ in best):
+            best = made
+        if sum(n for n, _ in best) == least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], size: int, longest_fill: int) -> list[tuple[int, tuple[int, ...]]]:
     stock, out = Stock(counts, size), []
     while (head := stock.longest(size)):
         parts = [head]
@@ -94,7 +109,9 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int,
             for x in hidden:
                 stock.one &= ~(1 << x)
                 stock.mirror &= ~(1 << (size - x))
-            fill = (gap,) if stock.one >> gap & 1 else stock.pair(gap) or stock.triple(gap)
+            fill = (gap,) if stock.one >> gap & 1 else None
+            if not fill and longest_fill > 1:
+                fill = stock.pair(gap) or (stock.triple(gap) if longest_fill > 2 else None)
             done = bool(fill)
             if not fill:
                 best = stock.longest(gap)
