@@ -161,3 +161,79 @@ def test_growing_median_without_key(spark, as_rows):
     df = spark.createDataFrame([(i % 5, float((i * 37) % 101)) for i in range(200)], "at int, v double")
     expected = W.growing(df.withColumn("k", F.lit(1)), ["k"], ["at"], W.middle, m="v").drop("k")
     assert as_rows(W.with_growing_median(df, [], "at", "v", "m", 20, 8)) == as_rows(expected)
+
+
+# One answer, and one schema, for every group size: null keys, null steps, null values and ties.
+
+LIMITS = [1, 10, 10_000]
+
+
+@pytest.fixture(scope="module")
+def ragged(spark):
+    rng = random.Random(21)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(12)]), rng.choice([None, 1, 1, 2, 5, 9]), i) for i in range(160)]
+    return spark.createDataFrame(rows, "k string, at int, v int, id int").repartition(5)
+
+
+def same_for_all_limits(as_rows, make, expected=None):
+    frames = [make(limit) for limit in LIMITS]
+    wanted = as_rows(expected if expected is not None else frames[-1])
+    for frame in frames:
+        assert [(f.name, f.dataType) for f in frame.schema.fields] == [(f.name, f.dataType) for f in frames[-1].schema.fields]
+        assert as_rows(frame) == wanted
+
+
+def test_row_numbers_of_any_group_size(ragged, as_rows):
+    same_for_all_limits(as_rows, lambda limit: O.number_rows(ragged, ["k"], ["at", "v", "id"], "n", limit))
+
+
+def test_sliding_of_any_group_size(ragged, as_rows):
+    w = Window.partitionBy("k").orderBy("at").rangeBetween(-2, 1)
+    expected = ragged.select("k", "at", F.sum("v").over(w).alias("s"), F.max("v").over(w).alias("m")).distinct()
+    same_for_all_limits(as_rows, lambda limit: W.sliding(ragged, ["k"], "at", 2, 1, {"s": F.sum("v")}, {"m": F.max("v")}, limit), expected)
+
+
+def test_sliding_means_and_maxima_of_any_group_size(ragged, as_rows):
+    w = Window.partitionBy("k").orderBy("at").rangeBetween(-3, 3)
+    expected = ragged.withColumn("m", F.avg("v").over(w))
+    same_for_all_limits(as_rows, lambda limit: W.with_sliding_mean(ragged, ["k"], "at", "v", 3, "m", limit), expected)
+    expected = ragged.withColumn("m", F.max("v").over(w))
+    same_for_all_limits(as_rows, lambda limit: W.with_sliding_max(ragged, ["k"], "at", "v", 3, "m", limit), expected)
+
+
+def test_growing_median_of_any_group_size(ragged, as_rows):
+    w = Window.partitionBy("k").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    expected = ragged.withColumn("m", W.middle(F.collect_list(F.col("v").cast("double")).over(w)))
+    same_for_all_limits(as_rows, lambda limit: W.with_growing_median(ragged.withColumn("v", F.col("v").cast("double")), ["k"], "at", "v", "m", limit, 5), expected.withColumn("v", F.col("v").cast("double")))
+
+
+def test_ranks_of_any_group_size(ragged, as_rows):
+    same_for_all_limits(as_rows, lambda limit: W.with_ranks(ragged, ["k"], "v", "r", "d", "p", "c", limit=limit))
+
+
+def test_pages_of_any_group_size(ragged, as_rows):
+    same_for_all_limits(as_rows, lambda limit: O.collect_pages(ragged, ["k"], ["id"], F.col("v"), "vs", 7, limit))
+
+
+def test_row_counts_of_any_group_size(ragged, as_rows):
+    w = Window.orderBy("id").rowsBetween(-4, 2)
+    same_for_all_limits(as_rows, lambda limit: W.sliding_row_counts(ragged, ["id"], 4, 2, "n", limit), ragged.withColumn("n", F.count("*").over(w)))
+    tied = ragged.select("at")
+    for limit in LIMITS:
+        got = as_rows(W.sliding_row_counts(tied, ["at"], 4, 2, "n", limit))
+        counts = as_rows(tied.withColumn("n", F.count("*").over(Window.orderBy("at").rowsBetween(-4, 2))))
+        assert got == counts
+
+
+def test_steps_must_be_integers(ragged):
+    with pytest.raises(ValueError):
+        W.sliding(ragged.withColumn("at", F.col("at") / 2), ["k"], "at", 1, 1)
+
+
+def test_facts_per_group_do_not_shuffle_the_rows(spark, ragged):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        plan = W.with_group_stats(ragged, ["k"], m=F.max("v"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(coalesce(k" not in plan

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from tidemark.storage import settled
 
 LIMIT_SETTING = "spark.tidemark.window.maxGroupRows"
-DEFAULT_LIMIT = 2_000_000
+DEFAULT_LIMIT = 500_000
 
 
 def group_limit(df: DataFrame) -> int:
@@ -86,7 +86,7 @@ def _earlier_pieces(placed: DataFrame, keys: Sequence[str], sums: dict[str, Colu
 
 def _with_offsets(local: DataFrame, offsets: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Raise the named columns of a piece by what the earlier pieces of its group hold."""
-    joined = attach(local, F.broadcast(offsets), [*keys, "_piece"], "left")  # fewer rows than pieces
+    joined = attach(local, offsets, [*keys, "_piece"], "left")  # fewer rows than pieces; Spark checks the size
     raised = {n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in names}
     return joined.withColumns(raised).drop("_piece", *[f"_before_{n}" for n in names])
 
@@ -101,7 +101,7 @@ def number_rows(
     """1-based row number per group. The order should be total to be reproducible."""
     order = _order_columns(order)
     if fits_one_task(df, keys, limit):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     # Equal rows must not end up in one piece, so the row's place in a written table breaks ties.
     # A task that is run again reads the same file split, so it marks its rows the same way.
     marked = settled(df).withColumn("_mark", F.monotonically_increasing_id())
@@ -141,10 +141,8 @@ def ladder(
             *[F.sum(n).over(upto).alias(f"{n}_upto") for n in sums],
         )
 
-    if fits_one_task(df, keys, limit):
-        return climbed(steps, keys)
-    steps = settled(steps)
-    if fits_one_task(steps, keys, limit):  # many copies, but few distinct values
+    steps = settled(steps)  # combined once; the size check and all later reads are of distinct values only
+    if fits_one_task(steps, keys, limit):
         return climbed(steps, keys)
     placed = _pieces(steps, keys, order, limit)
     totals = {"below": F.sum("peers"), "rung": F.count("*"), **{f"{n}_upto": F.sum(n) for n in sums}}
@@ -169,8 +167,8 @@ def exact_quantiles(
     fit into one aggregation buffer.
     """
     known = df.where(F.col(value).isNotNull())
-    steps = ladder(known, keys, value, limit=limit)
-    sized = attach(steps, steps.groupBy(*keys).agg(F.sum("peers").alias("group_rows")), keys)
+    steps = settled(ladder(known, keys, value, limit=limit))
+    sized = attach(steps, settled(steps.groupBy(*keys).agg(F.sum("peers").alias("group_rows"))), keys)
     picks = []
     for name, share in shares.items():
         target = F.lit(float(share)) * (F.col("group_rows") - 1)

@@ -19,11 +19,14 @@ from tidemark.storage import settled
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], **stats: Column) -> DataFrame:
     """Same as each aggregate over an unordered partition."""
-    return attach(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
+    facts = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
+    # Written first, so that the planner knows how small they are and need not shuffle the rows by key.
+    return attach(df, settled(facts) if keys else facts, keys)
 
 
 def with_group_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    return attach(df, exact_quantiles(df, keys, value, {name: 0.5}), keys, "left")
+    medians = exact_quantiles(df, keys, value, {name: 0.5})
+    return attach(df, settled(medians) if keys else medians, keys, "left")
 
 
 def with_ranks(
@@ -109,7 +112,7 @@ def growing(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: C
 
 
 def with_growing_median(
-    df: DataFrame, keys: Sequence[str], step: str, value: str, name: str, limit: int = 5_000, buckets: int = 100
+    df: DataFrame, keys: Sequence[str], step: str, value: str, name: str, limit: int = 500, buckets: int = 100
 ) -> DataFrame:
     """Median of the group's values at the current step and before; a step is a day or the like.
 
@@ -158,7 +161,8 @@ def _growing_medians(df: DataFrame, keys: Sequence[str], step: str, value: str,
     inside = (F.col("_place") >= F.col("_below")) & (F.col("_place") < F.col("_below") + F.col("_n"))
     wanted = ranked.select(*keys, step, "_bucket", "_below", place).where(inside).distinct()
     targets = wanted.select(*keys, F.col(step).alias("_until"), F.col("_bucket"), "_place", (F.col("_place") - F.col("_below")).alias("_at"))
-    values = attach(placed, targets, [*keys, "_bucket"]).where(F.col(step) <= F.col("_until"))
+    # A null step comes before all others, as in a window.
+    values = attach(placed, targets, [*keys, "_bucket"]).where(F.col(step).isNull() | (F.col(step) <= F.col("_until")))
     steps = ladder(values, [*keys, "_until", "_place", "_at"], value, {"_w": F.sum("_n")})
     hit = (F.col("_w_upto") - F.col("_w") <= F.col("_at")) & (F.col("_at") < F.col("_w_upto"))
     return steps.where(hit).groupBy(*keys, F.col("_until").alias(step)).agg(F.avg(value).alias(name))
@@ -183,11 +187,14 @@ def sliding(
     """One row per group and integer step, with totals and maxima over [step-before, step+after].
 
     Rows are first combined per step. Steps of a long group are dealt to buckets that overlap by
-    the frame, so a bucket holds a bounded number of steps and sees its whole frame.
+    the frame, so a bucket holds a bounded number of steps and sees its whole frame. Rows without a
+    step are a frame of their own, as in a range window.
     """
     sums, maxima = sums or {}, maxima or {}
-    steps = df.groupBy(*keys, step).agg(
-        *[c.alias(n) for n, c in sums.items()], *[c.alias(n) for n, c in maxima.items()]
+    if dict(df.dtypes)[step] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{step} must be an integer")
+    steps = settled(
+        df.groupBy(*keys, step).agg(*[c.alias(n) for n, c in sums.items()], *[c.alias(n) for n, c in maxima.items()])
     )
 
     def frames(w):
@@ -199,17 +206,18 @@ def sliding(
     width = max(before + after + 1, 10_000)
     at = F.col(step)
     seen_by = F.sequence(F.floor((at - after) / width), F.floor((at + before) / width))
-    dealt = steps.withColumn("_bucket", F.explode(seen_by))
+    dealt = steps.where(at.isNotNull()).withColumn("_bucket", F.explode(seen_by))
     w = Window.partitionBy(*keys, "_bucket").orderBy(step).rangeBetween(-before, after)
-    return dealt.select(*keys, step, "_bucket", *frames(w)).where(F.col("_bucket") == F.floor(at / width)).drop("_bucket")
+    framed = dealt.select(*keys, step, "_bucket", *frames(w)).where(F.col("_bucket") == F.floor(at / width)).drop("_bucket")
+    # The type of a sum over sums may be wider than that of the sum itself.
+    alone = steps.where(at.isNull()).select(*[F.col(f.name).cast(f.dataType) for f in framed.schema.fields])
+    return framed.unionAll(alone)
 
 
 def with_sliding_mean(
     df: DataFrame, keys: Sequence[str], step: str, value: str, reach: int, name: str, limit: int | None = None
 ) -> DataFrame:
     """Mean over the rows whose step lies within ``reach`` of the current row's."""
-    if fits_one_task(df, keys, limit):
-        return df.withColumn(name, F.avg(value).over(Window.partitionBy(*keys).orderBy(step).rangeBetween(-reach, reach)))
     totals = sliding(df, keys, step, reach, reach, {"_sum": F.sum(value), "_known": F.count(value)}, limit=limit)
     means = totals.select(*keys, step, F.try_divide(F.col("_sum"), F.col("_known")).alias(name))
     return attach(df, means, [*keys, step])
@@ -219,15 +227,23 @@ def with_sliding_max(
     df: DataFrame, keys: Sequence[str], step: str, value: str, reach: int, name: str, limit: int | None = None
 ) -> DataFrame:
     """Highest value within ``reach`` steps of the current row."""
-    if fits_one_task(df, keys, limit):
-        return df.withColumn(name, F.max(value).over(Window.partitionBy(*keys).orderBy(step).rangeBetween(-reach, reach)))
     highest = sliding(df, keys, step, reach, reach, maxima={name: F.max(value)}, limit=limit)
     return attach(df, highest, [*keys, step])
 
 
 def sliding_row_counts(df: DataFrame, order: Sequence[str], before: int, after: int, name: str, limit: int | None = None) -> DataFrame:
-    """Rows within a distance of the current one in the order of the whole frame."""
-    numbered = attach(number_rows(df, [], order, "_at", limit), group_sizes(df, [], "_n"), [])
-    first = F.greatest(F.col("_at") - before, F.lit(1))
-    last = F.least(F.col("_at") + after, F.col("_n"))
-    return numbered.withColumn(name, last - first + 1).drop("_at", "_n")
+    """Rows within a distance of the current one in the order of the whole frame.
+
+    Only the first and the last rows have fewer neighbours than the frame is wide, so only rows with
+    the few values that lie there are numbered, and numbered within their value.
+    """
+    marked = df.withColumn("_step", F.struct(*order))
+    steps = settled(ladder(marked, [], "_step", limit=limit).select("_step", "peers", "below"))
+    n = steps.agg(F.coalesce(F.sum("peers"), F.lit(0))).head()[0]
+    inside = (F.col("below") >= before) & (F.col("below") + F.col("peers") <= n - after)
+    outer = settled(steps.where(~inside).select("_step", "below"))
+    middle_rows = attach(marked, outer, ["_step"], "left").where("below is null").select(*df.columns, F.lit(before + after + 1).cast("bigint").alias(name))
+    edge = number_rows(attach(marked, outer, ["_step"]), ["_step"], df.columns, "_at", limit)
+    place = F.col("below") + F.col("_at")
+    counts = F.least(place + after, F.lit(n)) - F.greatest(place - before, F.lit(1)) + 1
+    return middle_rows.unionAll(edge.select(*df.columns, counts.cast("bigint").alias(name)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import attach
 from tidemark.operators.windows import with_sliding_max
+from tidemark.storage import settled
 
 READING = ["stn", "year", "mo", "da", "temp"]
 
@@ -24,7 +25,7 @@ def rows_at_extreme(df: DataFrame, keys: list[str], value: str, extreme=F.min) -
     map-side combine and joined back, so a large group is never one task.
     """
     best = df.groupBy(*keys).agg(extreme(value).alias("_best"))
-    return attach(df, best, keys).where(F.col(value) == F.col("_best")).drop("_best")
+    return attach(df, settled(best), keys).where(F.col(value) == F.col("_best")).drop("_best")
 
 
 def rows_at_sliding_max(readings: DataFrame, days: int = 7) -> DataFrame:
