@@ -20,7 +20,7 @@ from tidemark.storage import new_folder
 
 @pytest.fixture(scope="module")
 def four(spark):
-    rows = [(1, 2, 4, 1), (3, 6, 5, 4), (9, 4, None, 9), (11, 17, None, 3)]
+    rows = [(10, 7, None, 2), (14, 9, 21, 2), (20, 31, 8, 0), (12, 5, None, 6)]
     return spark.createDataFrame(rows, "one int, two int, three int, four int")
 
 
@@ -29,17 +29,19 @@ def column(df, name):
 
 
 def test_filler_forms_agree(four):
-    filler = ScalarNAFiller(inputCol="three", outputCol="five", filler=-99)
-    assert column(filler.transform(four), "five") == [4.0, 5.0, -99.0, -99.0]
-    assert column(fill_column(four, "three", "five", -99.0), "five") == [4, 5, -99, -99]
-    assert column(filler.transform(four, params={filler.filler: 17.0}), "five")[2] == 17.0
-    assert filler.getFiller() == -99.0
-    assert column(filler.setFiller(3).transform(four), "five")[2] == 3.0
+    filler = ScalarNAFiller(inputCol="three", outputCol="filled", filler=0.5)
+    # A fraction is not cut off, though the column holds whole numbers.
+    assert column(filler.transform(four), "filled") == [0.5, 21.0, 8.0, 0.5]
+    assert column(fill_column(four, "three", "filled", 0.5), "filled") == [0.5, 21.0, 8.0, 0.5]
+    assert fill_column(four, "three", "three", 0.5).schema == ScalarNAFiller(inputCol="three", outputCol="three", filler=0.5).transform(four).schema
+    assert column(filler.transform(four, params={filler.filler: 40.0}), "filled")[0] == 40.0
+    assert filler.getFiller() == 0.5
+    assert column(filler.setFiller(6).transform(four), "filled")[3] == 6.0
 
 
 def test_filler_defaults_to_zero_and_takes_several(four):
     filled = ScalarNAFiller(inputCols=["two", "three"], outputCols=["two", "three"]).transform(four)
-    assert column(filled, "three") == [4.0, 5.0, 0.0, 0.0] and column(filled, "two") == [2.0, 6.0, 4.0, 17.0]
+    assert column(filled, "three") == [0.0, 21.0, 8.0, 0.0] and column(filled, "two") == [7.0, 9.0, 31.0, 5.0]
 
 
 @pytest.mark.parametrize(
@@ -56,14 +58,15 @@ def test_capper(four):
     mean, deviation = four.agg(F.avg("two"), F.stddev("two")).head()
     assert model.getCap() == pytest.approx(mean + deviation) and model.getFloor() == pytest.approx(mean - deviation)
     assert model.getBoundary() == 1.0
-    assert column(model.transform(four), "capped") == pytest.approx([2.0, 6.0, 4.0, mean + deviation])
-    assert column(cap_column(four, "two", "capped", 1.0), "capped") == pytest.approx([2.0, 6.0, 4.0, mean + deviation])
+    assert column(model.transform(four), "capped") == pytest.approx([7.0, 9.0, mean + deviation, 5.0])
+    assert column(cap_column(four, "two", "capped", 1.0), "capped") == pytest.approx([7.0, 9.0, mean + deviation, 5.0])
 
 
 def test_capper_keeps_nulls_and_takes_several_in_one_fit(four):
     model = ExtremeValueCapper(inputCols=["three", "four"], outputCols=["a", "b"], boundary=0.5).fit(four)
     assert len(model.getCap()) == 2
-    assert column(model.transform(four), "a")[2:] == [None, None]
+    capped = column(model.transform(four), "a")
+    assert [capped[0], capped[3]] == [None, None] and None not in capped[1:3]
 
 
 def test_capper_without_values_caps_nothing(four):
@@ -102,7 +105,7 @@ def test_stages_load_in_another_process(spark, four):
 
 def test_min_max_of_a_constant_is_half(four):
     scaled = P.min_max(four.withColumn("same", F.lit(7.0)), ["one", "same"], ["a", "b"])
-    assert column(scaled, "a") == [0.0, 0.2, 0.8, 1.0] and column(scaled, "b") == [0.5] * 4
+    assert column(scaled, "a") == [0.0, 0.4, 1.0, 0.2] and column(scaled, "b") == [0.5] * 4
 
 
 def test_assemble_leaves_out_incomplete_rows(four):
@@ -127,10 +130,17 @@ def judged(spark):
 
 def test_area_equals_rank_formula(judged):
     _, _, predictions = judged
-    scored = [(r.probability[1], r.label) for r in predictions.collect()]
+    scored = [(r.rawPrediction[1], r.label) for r in predictions.collect()]
     positive, negative = [s for s, y in scored if y == 1], [s for s, y in scored if y == 0]
     wins = sum((p > n) + 0.5 * (p == n) for p in positive for n in negative)
-    assert E.area_under_roc(predictions, "label") == pytest.approx(wins / len(positive) / len(negative), abs=1e-6)
+    assert E.area_under_roc(predictions, "label") == pytest.approx(wins / len(positive) / len(negative), abs=1e-12)
+    split = predictions.repartition(7)
+    split.sparkSession.conf.set("spark.tidemark.window.maxGroupRows", "9")
+    try:
+        assert E.area_under_roc(split, "label") == pytest.approx(wins / len(positive) / len(negative), abs=1e-12)
+        assert E.roc_points(split, "label").count() == len({s for s, _ in scored}) + 1
+    finally:
+        split.sparkSession.conf.unset("spark.tidemark.window.maxGroupRows")
 
 
 def test_confusion_and_rates_agree(judged):
@@ -150,8 +160,8 @@ def test_nothing_predicted_gives_null(spark):
 
 
 def test_roc_runs_from_corner_to_corner(judged):
-    model, featured, _ = judged
-    points = sorted(tuple(r) for r in E.roc_points(model, featured).collect())
+    _, _, predictions = judged
+    points = sorted(tuple(r) for r in E.roc_points(predictions, "label").collect())
     assert points[0] == (0.0, 0.0) and points[-1] == (1.0, 1.0)
 
 
@@ -178,3 +188,11 @@ def test_cleaned_rows(tables):
     assert 0 < clean.count() < raw.count()
     bounds = R.upper_bounds(clean, ["protein"])
     assert R.with_caps(clean, bounds).agg(F.max("protein")).head()[0] == pytest.approx(bounds["protein"])
+
+
+def test_folds_do_not_depend_on_the_partitioning(spark):
+    from tidemark.operators.rowsets import row_lot
+
+    rows = spark.range(200).withColumn("fold", row_lot(["id"], 13, 3))
+    assert sorted(rows.repartition(2).collect()) == sorted(rows.repartition(7).collect())
+    assert {r.fold for r in rows.collect()} == {0, 1, 2}

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline, PipelineModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import attach, ladder
+from tidemark.operators.rowsets import row_lot
+from tidemark.storage import settled
+
 
 def logistic(label: str, **params) -> LogisticRegression:
     return LogisticRegression(featuresCol="features", labelCol=label, predictionCol="prediction", **params)
@@ -36,17 +41,41 @@ def precision_recall(predictions: DataFrame, label: str, labels: Sequence[float]
     return predictions.agg(F.array(*[facts(v) for v in labels]).alias("facts")).selectExpr("inline(facts)")
 
 
-def area_evaluator(label: str) -> BinaryClassificationEvaluator:
-    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderROC")
+def _score_steps(predictions: DataFrame, label: str) -> DataFrame:
+    """One row per different score, highest first: rows of either label with it and down to it."""
+    scored = predictions.select(vector_to_array("rawPrediction")[1].alias("score"), F.col(label).alias("_label"))
+    return ladder(scored, [], "score", {"hit": F.count_if(F.col("_label") == 1), "miss": F.count_if(F.col("_label") != 1)}, descending=True)
 
 
 def area_under_roc(predictions: DataFrame, label: str) -> float:
-    return area_evaluator(label).evaluate(predictions)
+    """The share of pairs of both labels that the score orders rightly, ties counting half; exact."""
+    steps = _score_steps(predictions, label)
+    # Per step: rows of label 0 with this score, times rows of label 1 with a higher one and half of the equal ones.
+    won = F.sum(F.col("miss") * (F.col("hit_upto") - F.col("hit") / 2))
+    return steps.agg(F.try_divide(won, (F.sum("hit") * F.sum("miss")).cast("double"))).head()[0]
+
+
+class ExactArea(Evaluator):
+    """area_under_roc as the measure of a search."""
+
+    def __init__(self, label: str):
+        super().__init__()
+        self.label = label
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return area_under_roc(dataset, self.label)
+
+    def isLargerBetter(self) -> bool:
+        return True
 
 
-def roc_points(model: LogisticRegressionModel, featured: DataFrame) -> DataFrame:
-    """(fpr, tpr) along the thresholds, binned by Spark to about a thousand points."""
-    return model.evaluate(featured).roc.toDF("fpr", "tpr")
+def roc_points(predictions: DataFrame, label: str) -> DataFrame:
+    """(fpr, tpr) at each different score as threshold, and the corner above them all."""
+    steps = settled(_score_steps(predictions, label))
+    whole = steps.agg(F.sum("hit").alias("hits"), F.sum("miss").alias("misses"))
+    placed = attach(steps, whole, [])
+    rates = placed.select(F.try_divide("miss_upto", "misses").alias("fpr"), F.try_divide("hit_upto", "hits").alias("tpr"))
+    return rates.unionAll(whole.select(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
 
 
 def coefficients(model: LogisticRegressionModel, names: Sequence[str], spark) -> DataFrame:
@@ -61,17 +90,18 @@ def penalty_grid(stage: LogisticRegression, strengths: Sequence[float] = (0.01,)
     return ParamGridBuilder().addGrid(stage.regParam, list(strengths)).addGrid(stage.elasticNetParam, list(mixes)).build()
 
 
-def cross_validated(stages: Pipeline, grid: list[dict], label: str, train: DataFrame, folds: int = 3, seed: int = 13, parallelism: int = 2) -> CrossValidatorModel:
+def cross_validated(stages: Pipeline, grid: list[dict], label: str, train: DataFrame, keys: Sequence[str], folds: int = 3, seed: int = 13, parallelism: int = 2) -> CrossValidatorModel:
+    """A row's fold follows from its key alone, for any partitioning."""
     validator = CrossValidator(
         estimator=stages,
         estimatorParamMaps=grid,
-        evaluator=area_evaluator(label),
+        evaluator=ExactArea(label),
         numFolds=folds,
-        seed=seed,
+        foldCol="_fold",
         collectSubModels=True,
         parallelism=parallelism,
     )
-    return validator.fit(train)
+    return validator.fit(train.withColumn("_fold", row_lot(keys, seed, folds).cast("int")))
 
 
 def grid_scores(model: CrossValidatorModel, spark) -> DataFrame:

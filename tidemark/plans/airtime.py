@@ -35,10 +35,10 @@ def commercial_ratio(
 ) -> DataFrame:
     """Commercial and total seconds per group and their ratio, null for an empty total."""
     totals = log.groupBy(*keys).agg(
-        F.sum(commercial_seconds(F.col(code), F.col(seconds), codes, partial)).alias("duration_commercial"),
-        F.sum(seconds).alias("duration_total"),
+        F.sum(commercial_seconds(F.col(code), F.col(seconds), codes, partial)).alias("counted_seconds"),
+        F.sum(seconds).alias("all_seconds"),
     )
-    return totals.withColumn("commercial_ratio", ratio(F.col("duration_commercial"), F.col("duration_total")))
+    return totals.withColumn("commercial_ratio", ratio(F.col("counted_seconds"), F.col("all_seconds")))
 
 
 def full_log(log: DataFrame, primary: DataFrame, categories: DataFrame, classes: DataFrame) -> DataFrame:
@@ -56,4 +56,4 @@ def ratio_histogram(ratios: DataFrame, digits: int = 1) -> DataFrame:
     """How many groups have each rounded ratio."""
     filled = ratios.fillna(0, subset=["commercial_ratio"])
     rounded = F.round("commercial_ratio", digits).alias("commercial_ratio")
-    return filled.groupBy(rounded).agg(F.count("*").alias("number_of_channels"))
+    return filled.groupBy(rounded).agg(F.count("*").alias("n_signs"))

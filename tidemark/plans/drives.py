@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import gibibytes, ratio
 from tidemark.operators.ordered import attach
+from tidemark.storage import settled
 
 
 def with_capacity_gib(days: DataFrame) -> DataFrame:
@@ -30,7 +31,7 @@ def reliability(days: DataFrame) -> DataFrame:
     return counted.select("model", "capacity_gib", ratio(F.col("failures"), F.col("drive_days")).alias("failure_rate"))
 
 
-def most_reliable(rates: DataFrame, capacity_gib: float = 2048.0, precision: float = 0.25, top_n: int = 3) -> DataFrame:
+def most_reliable(rates: DataFrame, capacity_gib: float, precision: float, top_n: int) -> DataFrame:
     """The models of about a capacity that fail least; larger ones first among equals."""
     low, high = capacity_gib / (1 + precision), capacity_gib * (1 + precision)
     near = rates.where(F.col("capacity_gib").between(low, high))
@@ -63,7 +64,7 @@ def modal_capacity(days: DataFrame) -> DataFrame:
 
 def with_modal_capacity(days: DataFrame) -> DataFrame:
     """Drive days with the capacity replaced by the commonest one of the model."""
-    return attach(days.drop("capacity_bytes"), modal_capacity(days).drop("occurrences"), ["model"])
+    return attach(days.drop("capacity_bytes"), settled(modal_capacity(days).drop("occurrences")), ["model"])
 
 
 def capacity_on_first_days(days: DataFrame) -> DataFrame:

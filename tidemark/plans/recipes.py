@@ -99,9 +99,14 @@ def complete(df: DataFrame, roles: Roles = ROLES) -> DataFrame:
     return df.dropna(subset=[c for c in roles.continuous if c not in roles.imputed])
 
 
+def parts(rows: DataFrame, roles: Roles = ROLES, share: float = 0.7, seed: int = 13) -> tuple[DataFrame, DataFrame]:
+    """Rows to learn from and rows held back."""
+    return split_rows(complete(rows, roles), [roles.identifier], share, seed)
+
+
 def fitted(rows: DataFrame, stages: Pipeline, roles: Roles = ROLES, share: float = 0.7, seed: int = 13) -> tuple[PipelineModel, DataFrame]:
     """A model of the training part and its predictions for the other."""
-    train, test = split_rows(complete(rows, roles), [roles.identifier], share, seed)
+    train, test = parts(rows, roles, share, seed)
     with reused(train) as kept:
         model = stages.fit(kept)
     return model, model.transform(test)
