@@ -30,8 +30,8 @@ def test_commercial_ratio(log):
 
 def test_partly_counted_class_comes_first(log):
     got = {r.channel: r for r in A.commercial_ratio(log, ["channel"], "code", "seconds", partial=A.PARTIAL_CODE).collect()}
-    assert got["b"].duration_commercial == 6.0
-    assert got["a"].duration_commercial == 10.0
+    assert got["b"].counted_seconds == 6.0
+    assert got["a"].counted_seconds == 10.0
 
 
 def test_ratio_histogram(log):
@@ -103,7 +103,7 @@ def test_word_lengths_both_ways(tables, as_rows):
 
 def test_show_spans_of_empty_and_single(spark, tables):
     spans = {r.id: r.duration_seconds for r in S.show_spans(shows(tables.documents)).collect()}
-    sizes = {r.id: r.n for r in shows(tables.documents).selectExpr("id", "size(_embedded.episodes) AS n").collect()}
+    sizes = {r.id: r.n for r in shows(tables.documents).selectExpr("id", "size(document.lines) AS n").collect()}
     assert spans == {k: (n - 1) * 7 * 86400 for k, n in sizes.items()}
 
 
@@ -178,7 +178,7 @@ def test_hot_service_is_split_at_run_time(spark):
         categories = spark.range(7).select(F.col("id").alias("category_id"))
         classes = spark.range(50).select(F.col("id").alias("class_id"), F.lit("COM").alias("class_code"))
         totals = A.commercial_ratio(A.full_log(log, primary, categories, classes), ["category_id"], "class_code", "seconds")
-        assert sum(r.duration_total for r in totals.collect()) == sum(range(200_000))
+        assert sum(r.all_seconds for r in totals.collect()) == sum(range(200_000))
         assert "skew=true" in totals._jdf.queryExecution().executedPlan().toString()
     finally:
         for name, value in before.items():

@@ -41,10 +41,10 @@ def agg_count_by_expr(t: Tables):
 
 @query(
     "agg_sum_by",
-    "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS duration_total FROM lineitem GROUP BY 1, 2",
+    "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS all_seconds FROM lineitem GROUP BY 1, 2",
 )
 def agg_sum_by(t: Tables):
-    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("duration_total"))
+    return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("all_seconds"))
 
 
 @query("agg_sum_short", "SELECT o_orderstatus, sum(o_custkey)::BIGINT AS custkeys FROM orders GROUP BY 1")
@@ -71,8 +71,8 @@ def agg_conditional_sum(t: Tables):
 
 @query(
     "agg_ratio",
-    """SELECT l_linenumber, sum(CASE WHEN l_returnflag IN ('A', 'R') THEN l_quantity ELSE 0 END) AS duration_commercial,
-         sum(l_quantity) AS duration_total,
+    """SELECT l_linenumber, sum(CASE WHEN l_returnflag IN ('A', 'R') THEN l_quantity ELSE 0 END) AS counted_seconds,
+         sum(l_quantity) AS all_seconds,
          round(sum(CASE WHEN l_returnflag IN ('A', 'R') THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS commercial_ratio
        FROM lineitem GROUP BY 1""",
 )
@@ -90,13 +90,17 @@ def agg_min_max_having(t: Tables):
     return capacity_drift(drive_days(t.events))
 
 
-@query("agg_sql_having", MIN_MAX_SQL)
+@query(
+    "agg_sql_having",
+    """SELECT o_custkey AS customer, count(*) AS n_orders, max(o_totalprice) AS dearest FROM orders
+       GROUP BY 1 HAVING count(*) >= 8 AND max(o_totalprice) > 2 * min(o_totalprice)""",
+)
 def agg_sql_having(t: Tables):
-    with named_views(stats=drive_days(t.events)) as v:
+    with named_views(bought=t.orders) as v:
         return t.spark.sql(
             f"""
-            SELECT model, min(capacity_bytes / pow(1024, 3)) AS min_gib, max(capacity_bytes / pow(1024, 3)) AS max_gib
-            FROM {v.stats} GROUP BY 1 HAVING min_gib != max_gib ORDER BY 3 DESC
+            SELECT o_custkey AS customer, count(*) AS n_orders, max(o_totalprice) AS dearest FROM {v.bought}
+            GROUP BY o_custkey HAVING n_orders >= 8 AND dearest > 2 * min(o_totalprice)
             """
         )
 

@@ -78,7 +78,7 @@ def ml_ratio_features(t: Tables):
 
 
 @query(
-    "ml_staged_prep",
+    "ml_pipeline_prep",
     RECIPES
     + ", filled AS (SELECT title, has_f, "
     + ", ".join(f"coalesce({c}, avg({c}) OVER ()) AS {c}" for c in MEASURES)
@@ -86,7 +86,7 @@ def ml_ratio_features(t: Tables):
     + ", ".join(minmax_sql(c).replace(f"{c}_s", f"f{i + 1}") for i, c in enumerate(MEASURES))
     + " FROM filled",
 )
-def ml_staged_prep(t: Tables):
+def ml_pipeline_prep(t: Tables):
     rows = tidy_recipes(t).select("title", "quick_22_meals", *MEASURES)
     ready = P.prepare(rows, MEASURES, [], ["quick_22_meals"]).select("title", "features")
     return rounded(P.vector_columns(ready, "features", ["f0", "f1", "f2", "f3"]), ["f0", "f1", "f2", "f3"])
@@ -138,8 +138,8 @@ def ml_auc(t: Tables):
 
 @query("ml_roc_points")
 def ml_roc_points(t: Tables):
-    model, predictions = model_and_predictions(t)
-    return E.roc_points(E.last_stage(model), predictions.select("title", "dessert", "features"))
+    _, predictions = model_and_predictions(t)
+    return E.roc_points(predictions, "dessert")
 
 
 @query("ml_cross_validate")
@@ -147,17 +147,41 @@ def ml_cross_validate(t: Tables):
     rows, kept = R.featured(recipes(t.customer, t.orders))
     stages = R.model_stages(kept)
     grid = E.penalty_grid(stages.getStages()[-1])
-    with R.reused(R.complete(rows)) as train:
-        model = E.cross_validated(stages, grid, "dessert", train)
+    train, _ = R.parts(rows)
+    with R.reused(train) as kept_rows:
+        model = E.cross_validated(stages, grid, "dessert", kept_rows, ["title"])
     return E.grid_scores(model, t.spark)
 
 
+@query("ml_grid")
+def ml_grid(t: Tables):
+    """One row per point of the grid and parameter; the points have no rows of their own, so each says how many rows it is tried on."""
+    rows, kept = R.featured(recipes(t.customer, t.orders))
+    points = E.penalty_grid(R.model_stages(kept).getStages()[-1])
+    named = [F.struct(F.lit(i).alias("point"), F.lit(p.name).alias("param"), F.lit(float(v)).alias("value")) for i, point in enumerate(points) for p, v in point.items()]
+    train, _ = R.parts(rows)
+    return train.agg(F.count("*").alias("n_rows")).select(F.inline(F.array(*named)), "n_rows")
+
+
+@query("ml_holdout")
+def ml_holdout(t: Tables):
+    """The best model of the search, judged on rows that no fold has seen."""
+    rows, kept = R.featured(recipes(t.customer, t.orders))
+    stages = R.model_stages(kept)
+    train, test = R.parts(rows)
+    with R.reused(train) as kept_rows:
+        best = E.cross_validated(stages, E.penalty_grid(stages.getStages()[-1]), "dessert", kept_rows, ["title"]).bestModel
+    area = E.area_under_roc(best.transform(test), "dessert")
+    return test.agg(F.count("*").alias("n")).withColumn("area_under_roc", F.lit(area))
+
+
 @query("ml_coefficients")
 def ml_coefficients(t: Tables):
     rows, kept = R.featured(recipes(t.customer, t.orders))
     stages = R.model_stages(kept)
-    with R.reused(R.complete(rows)) as train:
-        best = E.cross_validated(stages, E.penalty_grid(stages.getStages()[-1]), "dessert", train).bestModel
+    train, _ = R.parts(rows)
+    with R.reused(train) as kept_rows:
+        best = E.cross_validated(stages, E.penalty_grid(stages.getStages()[-1]), "dessert", kept_rows, ["title"]).bestModel
     return E.coefficients(E.last_stage(best), P.feature_names(best.transform(rows.limit(0))), t.spark)
 
 
@@ -220,19 +244,19 @@ def custom_rows(t: Tables):
     return P.with_ratios(clean, R.RATIOS, filler=None), R.telling_binaries(clean)
 
 
-@query("ml_staged_custom")
-def ml_staged_custom(t: Tables):
+@query("ml_pipeline_custom")
+def ml_pipeline_custom(t: Tables):
     rows, kept = custom_rows(t)
     _, predictions = R.fitted(rows, R.custom_stages(kept))
     return predictions.select("title", "dessert", "prediction")
 
 
 @query(
-    "ml_staged_save",
+    "ml_pipeline_save",
     RECIPES
     + f", filled AS (SELECT title, coalesce(protein, -1.0) AS protein_f, sodium FROM recipes) SELECT title, protein_f, {capped_sql('sodium', 1.0)} FROM filled",
 )
-def ml_staged_save(t: Tables):
+def ml_pipeline_save(t: Tables):
     rows, path = measured(t), new_folder(t.spark, "fitted")
     stages = Pipeline(
         stages=[

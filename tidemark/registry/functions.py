@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions import mixed as M
@@ -70,10 +71,22 @@ def udf_fraction_add(t: Tables):
     return shown(reduced.withColumn("doubled", U.add_fractions("reduced", "reduced")), "doubled")
 
 
-@query("udf_fraction_bounded", REDUCED_SQL)
+# Beside the table's pairs, pairs at the end of 64 bits: the least number over -1, -2, -3, ... The first has no
+# 64-bit result, the others have, in halves, or as they are with both signs turned.
+BOUNDED_SQL = FRACTIONS_SQL.rstrip() + """,
+edge AS (SELECT DISTINCT (-9223372036854775807 - 1)::BIGINT AS num, -l_linenumber::BIGINT AS den FROM lineitem),
+terms AS (SELECT num, den, gcd(num::HUGEINT, den::HUGEINT) AS g FROM edge),
+exact AS (SELECT num, den, -(num::HUGEINT // g) AS rnum, -(den::HUGEINT // g) AS rden FROM terms)
+SELECT num, den, rnum::DOUBLE AS rnum, rden::DOUBLE AS rden FROM reduced
+UNION ALL SELECT num, den, CASE WHEN rnum < 9223372036854775808 THEN rnum END::DOUBLE, CASE WHEN rnum < 9223372036854775808 THEN rden END::DOUBLE FROM exact"""
+
+
+@query("udf_fraction_bounded", BOUNDED_SQL)
 def udf_fraction_bounded(t: Tables):
-    # reduce_fraction already answers null outside 64 bits, for its result as well as its input.
-    return shown(fractions(t).withColumn("reduced", U.reduce_fraction("fraction")), "reduced")
+    least = F.lit(-(2**63)).cast("bigint")
+    edge = t.lineitem.select(least.alias("num"), (-F.col("l_linenumber")).cast("bigint").alias("den")).distinct()
+    every = fractions(t).unionByName(edge.withColumn("fraction", F.array("num", "den")))
+    return shown(every.withColumn("reduced", U.reduce_fraction("fraction")), "reduced")
 
 
 @query("udf_type_mismatch", "SELECT o_orderkey, CAST(trunc(o_orderkey * 3.14159::DOUBLE) AS BIGINT) AS scaled FROM orders")
@@ -131,7 +144,9 @@ def pudf_agg_array(t: Tables):
 )
 def pudf_group_map(t: Tables):
     # A station and month has at most 31 readings, so a group is always small.
-    scaled = weather(t.events).groupBy("stn", "year", "mo").applyInPandas(U.scale_group, U.SCALED_GROUP)
+    readings = weather(t.events).select("stn", "year", "mo", "da", "temp")
+    schema = T.StructType([*readings.schema.fields, T.StructField("temp_norm", T.DoubleType())])
+    scaled = readings.groupBy("stn", "year", "mo").applyInPandas(U.range_scaler("temp", "temp_norm"), schema)
     return scaled.withColumn("temp_norm", F.round("temp_norm", 6))
 
 
@@ -139,7 +154,7 @@ def pudf_group_map(t: Tables):
     "pudf_window",
     CENTS
     + """SELECT stn, mo, da, temp, median(temp) OVER (PARTITION BY stn, year) AS median_temp,
-         median(temp) OVER (PARTITION BY stn, year ORDER BY mo, da) AS median_temp_g FROM cents""",
+         median(temp) OVER (PARTITION BY stn, year ORDER BY mo, da) AS median_so_far FROM cents""",
 )
 def pudf_window(t: Tables):
     whole = Window.partitionBy("stn", "year")
@@ -149,7 +164,7 @@ def pudf_window(t: Tables):
         "da",
         "temp",
         U.median_of_frame("temp").over(whole).alias("median_temp"),
-        U.median_of_frame("temp").over(whole.orderBy("mo", "da")).alias("median_temp_g"),
+        U.median_of_frame("temp").over(whole.orderBy("mo", "da")).alias("median_so_far"),
     )
 
 

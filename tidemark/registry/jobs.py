@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.features import evaluate as E
 from tidemark.features.prepare import prepare, vector_columns
-from tidemark.operators.ordered import collect_pages
 from tidemark.operators.reuse import reused
 from tidemark.plans import airtime as A
 from tidemark.plans import drives as D
@@ -96,9 +95,10 @@ def joined_log(t: Tables):
 
 
 LOG_SQL = """
-log AS (SELECT s_name AS channel, n_name AS category, p_type AS class_code, l_quantity::BIGINT AS seconds
+log AS (SELECT s_name AS channel, l_suppkey AS service_id, n_name AS category, p_type AS class_code, l_quantity::BIGINT AS seconds
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 0 LEFT JOIN nation ON s_nationkey = n_nationkey
-  LEFT JOIN part ON l_partkey = p_partkey AND p_size > 1)
+  LEFT JOIN part ON l_partkey = p_partkey AND p_size > 1),
+signed AS (SELECT log.*, n_nationkey AS sign_id, n_name AS sign FROM log JOIN nation ON service_id % 40 = n_nationkey)
 """
 
 
@@ -107,14 +107,14 @@ def ratio_sql(keys: str, special: bool = False) -> str:
     part = "WHEN class_code = 'PROMO' THEN seconds * 0.75::DOUBLE" if special else ""
     zero, kind = ("0.0::DOUBLE", "DOUBLE") if special else ("0", "BIGINT")
     commercial = f"sum(CASE WHEN class_code IN {whole} THEN seconds {part} ELSE {zero} END)"
-    return f"""SELECT {keys}, {commercial}::{kind} AS duration_commercial, sum(seconds)::BIGINT AS duration_total,
-      {commercial} / sum(seconds) AS exact_ratio FROM log GROUP BY {keys}"""
+    return f"""SELECT {keys}, {commercial}::{kind} AS counted_seconds, sum(seconds)::BIGINT AS all_seconds,
+      {commercial} / sum(seconds) AS exact_ratio FROM {'signed' if 'sign' in keys else 'log'} GROUP BY {keys}"""
 
 
 @query(
     "job_commercial_ratio",
     f"""WITH {LOG_SQL}, totals AS ({ratio_sql('class_code, category')})
-        SELECT coalesce(class_code, 'none') AS class_code, category, duration_commercial, duration_total,
+        SELECT coalesce(class_code, 'none') AS class_code, category, counted_seconds, all_seconds,
                round(exact_ratio, 6) AS commercial_ratio FROM totals""",
 )
 def job_commercial_ratio(t: Tables):
@@ -123,20 +123,26 @@ def job_commercial_ratio(t: Tables):
     return known.select(
         F.coalesce(F.trim("class_code"), F.lit("none")).alias("class_code"),
         "category",
-        "duration_commercial",
-        "duration_total",
+        "counted_seconds",
+        "all_seconds",
         F.round("commercial_ratio", 6).alias("commercial_ratio"),
     ).orderBy("commercial_ratio", ascending=False)
 
 
+def call_signs(t: Tables):
+    """Names by identifier: a table of its own, with identifiers that no service has, and without some."""
+    return t.nation.select(F.col("n_nationkey").alias("sign_id"), F.col("n_name").alias("sign"))
+
+
 def channel_ratios(t: Tables, partial=None):
-    return A.commercial_ratio(joined_log(t), ["channel"], "class_code", "seconds", CODES, partial).fillna(0)
+    signed = joined_log(t).withColumn("sign_id", (F.col("service_id") % 40).cast("int")).join(call_signs(t), "sign_id")
+    return A.commercial_ratio(signed, ["sign_id", "sign"], "class_code", "seconds", CODES, partial).fillna(0)
 
 
 @query(
     "job_channel_ratio",
-    f"""WITH {LOG_SQL}, totals AS ({ratio_sql('channel')})
-        SELECT channel, duration_commercial, duration_total, round(exact_ratio, 6) AS commercial_ratio FROM totals""",
+    f"""WITH {LOG_SQL}, totals AS ({ratio_sql('sign_id, sign')})
+        SELECT sign_id, sign, counted_seconds, all_seconds, round(exact_ratio, 6) AS commercial_ratio FROM totals""",
 )
 def job_channel_ratio(t: Tables):
     return channel_ratios(t).withColumn("commercial_ratio", F.round("commercial_ratio", 6))
@@ -144,8 +150,8 @@ def job_channel_ratio(t: Tables):
 
 @query(
     "job_channel_ratio_weighted",
-    f"""WITH {LOG_SQL}, totals AS ({ratio_sql('channel', special=True)})
-        SELECT channel, duration_commercial, duration_total, round(exact_ratio, 6) AS commercial_ratio FROM totals""",
+    f"""WITH {LOG_SQL}, totals AS ({ratio_sql('sign_id, sign', special=True)})
+        SELECT sign_id, sign, counted_seconds, all_seconds, round(exact_ratio, 6) AS commercial_ratio FROM totals""",
 )
 def job_channel_ratio_weighted(t: Tables):
     return channel_ratios(t, PARTIAL).withColumn("commercial_ratio", F.round("commercial_ratio", 6))
@@ -153,8 +159,8 @@ def job_channel_ratio_weighted(t: Tables):
 
 @query(
     "job_ratio_histogram",
-    f"""WITH {LOG_SQL}, totals AS ({ratio_sql('channel', special=True)})
-        SELECT round(exact_ratio, 1) AS commercial_ratio, count(*) AS number_of_channels FROM totals GROUP BY 1""",
+    f"""WITH {LOG_SQL}, totals AS ({ratio_sql('sign_id, sign', special=True)})
+        SELECT round(exact_ratio, 1) AS commercial_ratio, count(*) AS n_signs FROM totals GROUP BY 1""",
 )
 def job_ratio_histogram(t: Tables):
     return A.ratio_histogram(channel_ratios(t, PARTIAL))
@@ -165,7 +171,7 @@ def job_ratio_histogram(t: Tables):
 
 @query(
     "job_show_span",
-    f"""WITH {SHOWS_SQL} SELECT id, show_name AS name, (datediff('day', min(airdate), max(airdate)) * 86400)::BIGINT AS duration_seconds
+    f"""WITH {SHOWS_SQL} SELECT id, show_name AS name, (datediff('day', min(on_day), max(on_day)) * 86400)::BIGINT AS duration_seconds
         FROM episodes GROUP BY 1, 2""",
 )
 def job_show_span(t: Tables):
@@ -174,15 +180,15 @@ def job_show_span(t: Tables):
 
 @query(
     "job_episode_roundtrip",
-    f"""WITH {SHOWS_SQL} SELECT id, 0::BIGINT AS page, count(*) AS n, sum(runtime)::BIGINT AS runtime, min(ep_id)::BIGINT AS first_id,
+    f"""WITH {SHOWS_SQL} SELECT id, count(*) AS n, sum(runtime)::BIGINT AS runtime, min(ep_id)::BIGINT AS first_id,
           string_agg(ep_name, '|' ORDER BY ep_id) AS names FROM episodes GROUP BY 1""",
 )
 def job_episode_roundtrip(t: Tables):
     each = episodes(shows(t.documents))
-    pages = collect_pages(each, ["id"], ["episode.id"], F.col("episode"), "episodes", page_rows=100_000)
-    return pages.select(
+    # The episodes of a show come out of one cell, so they fit into one again.
+    gathered = each.groupBy("id").agg(F.sort_array(F.collect_list("episode")).alias("episodes"))
+    return gathered.select(
         "id",
-        "page",
         F.size("episodes").cast("bigint").alias("n"),
         F.aggregate("episodes", F.lit(0).cast("bigint"), lambda a, e: a + e["runtime"]).alias("runtime"),
         F.get("episodes", F.lit(0))["id"].cast("bigint").alias("first_id"),
@@ -227,7 +233,7 @@ def job_failure_rate(t: Tables):
 def job_reliable_drives(t: Tables):
     rates = settled(D.reliability(drive_days(t.events)))  # one pass over the drive days for both bands
     bands = [
-        D.most_reliable(rates, capacity).withColumn("band", F.lit(band)) for band, capacity in (("small", 4.0), ("large", 16.0))
+        D.most_reliable(rates, capacity, precision=0.25, top_n=3).withColumn("band", F.lit(band)) for band, capacity in (("small", 4.0), ("large", 16.0))
     ]
     return bands[0].union(bands[1]).withColumn("failure_rate", F.round("failure_rate", 6))
 
@@ -260,8 +266,12 @@ def job_capacity_first_day(t: Tables):
         SELECT serial_number, modal.capacity_bytes, count(*) AS n FROM drives JOIN modal ON drives.model = modal.model GROUP BY 1, 2""",
 )
 def job_modal_capacity(t: Tables):
-    corrected = D.with_modal_capacity(drive_days(t.events))
-    return corrected.groupBy("serial_number", "capacity_bytes").agg(F.count("*").alias("n"))
+    days = settled(drive_days(t.events).groupBy("model", "serial_number", "capacity_bytes").agg(F.count("*").alias("rows")))
+    drives = days.groupBy("model", "serial_number").agg(F.sum("rows").alias("n"))  # counted before the join
+    per_capacity = days.groupBy("model", "capacity_bytes").agg(F.sum("rows").alias("rows"))
+    best = F.max(F.struct("rows", (-F.col("capacity_bytes")).alias("smaller"))).alias("best")
+    modal = settled(per_capacity.groupBy("model").agg(best).select("model", (-F.col("best.smaller")).alias("capacity_bytes")))
+    return drives.join(modal, "model").groupBy("serial_number", "capacity_bytes").agg(F.sum("n").alias("n"))
 
 
 @query(

@@ -109,34 +109,36 @@ def join_left_semi(t: Tables):
 
 @query(
     "join_sql_left",
-    f"""{DRIVES} SELECT d.model, drive_days, failures FROM (SELECT model, count(*) AS drive_days FROM drives GROUP BY 1) d
-        LEFT JOIN (SELECT model, count(*) AS failures FROM drives WHERE failure = 1 AND date = DATE '2024-01-03' GROUP BY 1) f ON d.model = f.model""",
+    f"""{DRIVES} SELECT d.serial_number, drive_days, failures FROM (SELECT serial_number, count(*) AS drive_days FROM drives GROUP BY 1) d
+        LEFT JOIN (SELECT serial_number, count(*) AS failures FROM drives WHERE failure = 1 GROUP BY 1) f ON d.serial_number = f.serial_number""",
 )
 def join_sql_left(t: Tables):
     days = drive_days(t.events)
-    totals = days.groupBy("model").agg(F.count("*").alias("drive_days"))
-    failures = days.where("failure = 1 and date = date'2024-01-03'").groupBy("model").agg(F.count("*").alias("failures"))
+    totals = days.groupBy("serial_number").agg(F.count("*").alias("drive_days"))
+    failures = days.where("failure = 1").groupBy("serial_number").agg(F.count("*").alias("failures"))
     with named_views(totals=totals, failed=failures) as v:
         return t.spark.sql(
-            f"""SELECT {v.totals}.model, drive_days, failures
-                FROM {v.totals} LEFT JOIN {v.failed} ON {v.totals}.model = {v.failed}.model"""
+            f"""SELECT {v.totals}.serial_number, drive_days, failures
+                FROM {v.totals} LEFT JOIN {v.failed} ON {v.totals}.serial_number = {v.failed}.serial_number"""
         )
 
 
 @query(
     "join_subqueries",
-    f"""{DRIVES} SELECT f.model, round(failures / drive_days, 6) AS failure_rate
-        FROM (SELECT model, count(*) AS drive_days FROM drives GROUP BY 1) d
-        JOIN (SELECT model, count(*) AS failures FROM drives WHERE failure = 1 GROUP BY 1) f ON d.model = f.model""",
+    """SELECT o_orderpriority AS priority, orders_open, lines_returned
+        FROM (SELECT o_orderpriority, count(*) AS orders_open FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
+        JOIN (SELECT o_orderpriority AS p, count(*) AS lines_returned FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+              WHERE l_returnflag = 'R' GROUP BY 1) ON o_orderpriority = p""",
 )
 def join_subqueries(t: Tables):
-    with named_views(drive_stats=drive_days(t.events)) as v:
+    with named_views(heads=t.orders, parts=t.lineitem) as v:
         return t.spark.sql(
             f"""
-            SELECT failed.model, round(failures / drive_days, 6) AS failure_rate
-            FROM (SELECT model, count(*) AS drive_days FROM {v.drive_stats} GROUP BY model) AS days
-            INNER JOIN (SELECT model, count(*) AS failures FROM {v.drive_stats} WHERE failure = 1 GROUP BY model) AS failed
-            ON days.model = failed.model
+            SELECT waiting.priority, waiting.orders_open, back.lines_returned
+            FROM (SELECT o_orderpriority AS priority, count_if(o_orderstatus = 'O') AS orders_open FROM {v.heads} GROUP BY 1) waiting,
+                 (SELECT h.o_orderpriority AS priority, count(*) AS lines_returned FROM {v.parts} p
+                  JOIN {v.heads} h ON h.o_orderkey = p.l_orderkey AND p.l_returnflag = 'R' GROUP BY 1) back
+            WHERE waiting.priority = back.priority AND waiting.orders_open > 0
             """
         )
 

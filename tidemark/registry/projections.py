@@ -26,9 +26,9 @@ def project_columns(t: Tables):
     return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
-@query("project_alias", "SELECT doc_id, length(text) AS number_of_char FROM documents")
+@query("project_alias", "SELECT doc_id, length(text) AS n_letters FROM documents")
 def project_alias(t: Tables):
-    return t.documents.select("doc_id", F.length("text").alias("number_of_char"))
+    return t.documents.select("doc_id", F.length("text").alias("n_letters"))
 
 
 @query("rename_column", "SELECT doc_id AS document, lang FROM documents")
@@ -118,7 +118,7 @@ def cast_by_prefix(t: Tables):
     f"""WITH {SHOWS_SQL} SELECT id, count(*) AS n_names, sum(runtime)::BIGINT AS runtime FROM episodes GROUP BY 1""",
 )
 def nested_field(t: Tables):
-    picked = shows(t.documents).select("id", F.col("_embedded.episodes.name").alias("names"), "_embedded.episodes.runtime")
+    picked = shows(t.documents).select("id", F.col("document.lines.name").alias("names"), "document.lines.runtime")
     total = F.aggregate("runtime", F.lit(0).cast("bigint"), lambda a, x: a + x)
     return picked.select("id", F.size("names").cast("bigint").alias("n_names"), total.alias("runtime"))
 
@@ -207,7 +207,7 @@ def domain_check(t: Tables):
 
 @query(
     "distinct_rows",
-    """SELECT DISTINCT strftime(ts, '%H:%M:%S') AS duration, hour(ts)::INT AS dur_hours, minute(ts)::INT AS dur_minutes,
+    """SELECT DISTINCT strftime(ts, '%H:%M:%S') AS duration, hour(ts)::INT AS dur_hours, minute(ts)::INT AS minutes,
          second(ts)::INT AS dur_seconds FROM events""",
 )
 def distinct_rows(t: Tables):
@@ -217,7 +217,7 @@ def distinct_rows(t: Tables):
         .select(
             duration,
             hms_part(duration, 1).alias("dur_hours"),
-            hms_part(duration, 4).alias("dur_minutes"),
+            hms_part(duration, 4).alias("minutes"),
             hms_part(duration, 7).alias("dur_seconds"),
         )
         .distinct()

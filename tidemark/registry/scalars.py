@@ -198,9 +198,10 @@ def cond_case(t: Tables):
     return t.events.select("event_id", level.alias("level"))
 
 
-@query("cond_lit", "SELECT doc_id, 'Comedy' AS one, 'Horror' AS two, true AS watched FROM documents")
+@query("cond_lit", "SELECT o_orderkey, 'parcel' AS sent_as, 2::INT AS copies, false AS insured FROM orders")
 def cond_lit(t: Tables):
-    return t.documents.select("doc_id", F.lit("Comedy").alias("one"), F.lit("Horror").alias("two"), F.lit(True).alias("watched"))
+    constants = {"sent_as": "parcel", "copies": 2, "insured": False}
+    return t.orders.select("o_orderkey", *[F.lit(v).alias(n) for n, v in constants.items()])
 
 
 @query("arr_build", SHOWS + "SELECT id, array_to_string([language, type, status], ',') AS some FROM shows")
@@ -213,33 +214,31 @@ def arr_repeat(t: Tables):
     return shows(t.documents).select("id", F.concat_ws(",", F.array_repeat("language", 5)).alias("repeated"))
 
 
-@query("arr_index", SHOWS + "SELECT id, genres[1] AS a, genres[1] AS b, genres[1] AS c, genres[1] AS d, genres[5] AS beyond FROM shows")
+@query(
+    "arr_index",
+    """SELECT vec_id, embedding[2]::DOUBLE AS by_place, embedding[1]::DOUBLE AS head, embedding[len(embedding)]::DOUBLE AS tail,
+         embedding[100000]::DOUBLE AS outside FROM embeddings""",
+)
 def arr_index(t: Tables):
-    df = shows(t.documents)
-    return df.select(
-        "id",
-        df.genres[0].alias("a"),
-        F.col("genres")[0].alias("b"),
-        df.genres.getItem(0).alias("c"),
-        first_item(F.col("genres")).alias("d"),
-        F.get("genres", F.lit(4)).alias("beyond"),
-    )
+    vector = F.col("embedding")
+    picked = {"by_place": vector[1], "head": first_item(vector), "tail": last_item(vector), "outside": F.get(vector, F.lit(99_999))}
+    return t.embeddings.select("vec_id", *[c.cast("double").alias(n) for n, c in picked.items()])
 
 
 @query("arr_last", SHOWS + "SELECT id, lines[-1] AS final_name FROM shows")
 def arr_last(t: Tables):
-    return shows(t.documents).select("id", last_item(F.col("_embedded.episodes.name")).alias("final_name"))
+    return shows(t.documents).select("id", last_item(F.col("document.lines.name")).alias("final_name"))
 
 
 @query("arr_size", SHOWS + "SELECT id, len(lines)::INT AS n FROM shows")
 def arr_size(t: Tables):
-    return shows(t.documents).select("id", F.size("_embedded.episodes").alias("n"))
+    return shows(t.documents).select("id", F.size("document.lines").alias("n"))
 
 
 @query("arr_distinct", SHOWS + "SELECT id, len(list_distinct(lines))::INT AS n, 1::INT AS one FROM shows")
 def arr_distinct(t: Tables):
     repeated = F.array_distinct(F.array_repeat("language", 5))
-    lines = F.array_distinct("_embedded.episodes.name")
+    lines = F.array_distinct("document.lines.name")
     return shows(t.documents).select("id", F.size(lines).alias("n"), F.size(repeated).alias("one"))
 
 
@@ -249,9 +248,9 @@ def arr_intersect(t: Tables):
     return shows(t.documents).select("id", F.concat_ws(",", common).alias("common"))
 
 
-@query("arr_min_max", SHOWS + "SELECT id, CAST(min(airdate) AS VARCHAR) AS first, CAST(max(airdate) AS VARCHAR) AS last FROM episodes GROUP BY 1")
+@query("arr_min_max", SHOWS + "SELECT id, CAST(min(on_day) AS VARCHAR) AS first, CAST(max(on_day) AS VARCHAR) AS last FROM episodes GROUP BY 1")
 def arr_min_max(t: Tables):
-    dates = "_embedded.episodes.airdate"
+    dates = "document.lines.on_day"
     return shows(t.documents).select(
         "id", F.array_min(dates).cast("string").alias("first"), F.array_max(dates).cast("string").alias("last")
     )
@@ -259,47 +258,48 @@ def arr_min_max(t: Tables):
 
 @query("arr_explode", SHOWS + "SELECT id, ep_id, ep_name FROM episodes")
 def arr_explode(t: Tables):
-    return shows(t.documents).select("id", F.explode("_embedded.episodes").alias("e")).select(
+    return shows(t.documents).select("id", F.explode("document.lines").alias("e")).select(
         "id", F.col("e.id").alias("ep_id"), F.col("e.name").alias("ep_name")
     )
 
 
 @query("map_posexplode", SHOWS + "SELECT id, (ep_id - 1)::INT AS position, ep_id, ep_name FROM episodes")
 def map_posexplode(t: Tables):
-    named = F.map_from_arrays("_embedded.episodes.id", "_embedded.episodes.name")
+    named = F.map_from_arrays("document.lines.id", "document.lines.name")
     return shows(t.documents).select("id", F.posexplode(named).alias("position", "ep_id", "ep_name"))
 
 
 @query(
     "map_from_arrays",
-    SHOWS + "SELECT id, 3::INT AS n, language || '/' || type || '/' || status AS held FROM shows",
+    "SELECT p_partkey, 2::INT AS entries, p_brand || ' ' || p_type AS described FROM part",
 )
 def map_from_arrays(t: Tables):
-    columns = ["language", "type", "status"]
-    mapped = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*columns))
-    return shows(t.documents).select("id", mapped.alias("m")).select(
-        "id", F.size("m").alias("n"), F.concat_ws("/", F.map_values("m")).alias("held")
-    )
+    facts = F.map_from_arrays(F.array(F.lit("maker"), F.lit("line")), F.array("p_brand", "p_type"))
+    return t.part.select("p_partkey", F.size(facts).alias("entries"), F.array_join(F.map_values(facts), " ").alias("described"))
 
 
-@query("map_lookup", SHOWS + "SELECT id, name AS a, name AS b, name AS c, NULL::VARCHAR AS missing FROM shows")
+@query(
+    "map_lookup",
+    """SELECT o_orderkey, o_orderstatus AS state, o_orderpriority AS urgency, NULL::VARCHAR AS unknown_key,
+         CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' END AS named FROM orders""",
+)
 def map_lookup(t: Tables):
-    columns = ["name", "language", "type"]
-    mapped = F.map_from_arrays(F.array(*[F.lit(c) for c in columns]), F.array(*columns))
-    df = shows(t.documents).select("id", mapped.alias("mapped"))
-    return df.select(
-        "id",
-        F.col("mapped.name").alias("a"),
-        df.mapped["name"].alias("b"),
-        F.try_element_at("mapped", F.lit("name")).alias("c"),
-        F.try_element_at("mapped", F.lit("nobody")).alias("missing"),
+    facts = F.create_map(F.lit("state"), "o_orderstatus", F.lit("urgency"), "o_orderpriority")
+    names = F.create_map(F.lit("F"), F.lit("done"), F.lit("O"), F.lit("open"))
+    return t.orders.select("o_orderkey", facts.alias("facts"), "o_orderstatus").select(
+        "o_orderkey",
+        F.col("facts.state"),
+        F.element_at("facts", "urgency").alias("urgency"),
+        F.try_element_at("facts", F.lit("weight")).alias("unknown_key"),
+        F.try_element_at(names, F.col("o_orderstatus")).alias("named"),
     )
 
 
-@query("struct_build", SHOWS + "SELECT id, status, weight, true AS has_watched FROM shows")
+@query("struct_build", "SELECT o_orderkey, o_totalprice AS amount, year(o_orderdate)::INT AS in_year, o_totalprice > 100000 AS dear FROM orders")
 def struct_build(t: Tables):
-    info = F.struct("status", "weight", F.lit(True).alias("has_watched"))
-    return shows(t.documents).select("id", info.alias("info")).select("id", "info.*")
+    price = F.col("o_totalprice")
+    bill = F.struct(price.alias("amount"), F.year("o_orderdate").alias("in_year"), (price > 100_000).alias("dear"))
+    return t.orders.withColumn("bill", bill).select("o_orderkey", "bill.amount", F.col("bill")["in_year"].alias("in_year"), "bill.dear")
 
 
 # The directed pairs of temperature scales.

@@ -54,15 +54,19 @@ RATE_SQL = f"""{DRIVES}, days AS (SELECT model, count(*) AS drive_days FROM driv
   SELECT days.model, round(failures / drive_days, 6) AS failure_rate FROM days JOIN failed ON days.model = failed.model"""
 
 
-@query("sql_cte", RATE_SQL)
+@query(
+    "sql_cte",
+    """SELECT l_suppkey AS supplier, round(sum(l_discount * l_extendedprice) / sum(l_extendedprice), 6) AS mean_discount
+       FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) GROUP BY 1""",
+)
 def sql_cte(t: Tables):
-    with named_views(stats=drive_days(t.events)) as v:
+    with named_views(sellers=t.supplier, sold=t.lineitem) as v:
         return t.spark.sql(
             f"""
-            WITH days AS (SELECT model, count(*) AS drive_days FROM {v.stats} GROUP BY model),
-                 failed AS (SELECT model, count(*) AS failures FROM {v.stats} WHERE failure = 1 GROUP BY model)
-            SELECT days.model, round(failures / drive_days, 6) AS failure_rate
-            FROM days INNER JOIN failed ON days.model = failed.model ORDER BY 2 DESC
+            WITH solvent AS (FROM {v.sellers} |> WHERE s_acctbal >= 0 |> SELECT s_suppkey AS supplier),
+                 given AS (SELECT l_suppkey AS supplier, sum(l_extendedprice) AS asked, sum(l_discount * l_extendedprice) AS let_off
+                           FROM {v.sold} GROUP BY ALL)
+            SELECT supplier, round(let_off / asked, 6) AS mean_discount FROM given LEFT SEMI JOIN solvent USING (supplier)
             """
         )
 

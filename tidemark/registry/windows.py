@@ -55,36 +55,35 @@ def win_max_by_day(t: Tables):
 @query(
     "win_nested_avg",
     CENTS
-    + """, hottest AS (SELECT * FROM cents QUALIFY temp = max(temp) OVER (PARTITION BY stn, year))
+    + """, hottest AS (SELECT * FROM cents QUALIFY temp = max(temp) OVER (PARTITION BY year))
     SELECT stn, year, mo, da, temp, avg(temp) OVER (PARTITION BY year) AS avg_temp FROM hottest""",
 )
 def win_nested_avg(t: Tables):
-    # A station and year is small by itself; a year over all stations is not.
-    station_year = Window.partitionBy("stn", "year")
-    hottest = cents(t).withColumn("max_temp", F.max("temp").over(station_year)).where("temp = max_temp")
-    return W.with_group_stats(settled(hottest.select(*READING)), ["year"], avg_temp=F.avg("temp"))
+    # A year over all stations is a large group: its maximum is aggregated and joined back.
+    hottest = settled(rows_at_extreme(in_cents(readings(t)), ["year"], "temp", F.max).select(*READING))
+    return W.with_group_stats(hottest, ["year"], avg_temp=F.avg("temp"))
 
 
-@query("win_rank", WEATHER + "SELECT stn, mo, da, count_temp, rank() OVER (PARTITION BY mo ORDER BY count_temp) AS rank_tpm FROM weather")
+@query("win_rank", WEATHER + "SELECT stn, mo, da, count_temp, rank() OVER (PARTITION BY mo ORDER BY count_temp) AS rank_in_month FROM weather")
 def win_rank(t: Tables):
-    return W.with_ranks(readings(t), ["mo"], "count_temp", rank="rank_tpm").drop("year", "temp")
+    return W.with_ranks(readings(t), ["mo"], "count_temp", rank="rank_in_month").drop("year", "temp")
 
 
 @query(
     "win_dense_rank",
-    WEATHER + "SELECT stn, mo, da, count_temp, dense_rank() OVER (PARTITION BY mo ORDER BY count_temp) AS rank_tpm FROM weather",
+    WEATHER + "SELECT stn, mo, da, count_temp, dense_rank() OVER (PARTITION BY mo ORDER BY count_temp) AS rank_in_month FROM weather",
 )
 def win_dense_rank(t: Tables):
-    return W.with_ranks(readings(t), ["mo"], "count_temp", dense_rank="rank_tpm").drop("year", "temp")
+    return W.with_ranks(readings(t), ["mo"], "count_temp", dense_rank="rank_in_month").drop("year", "temp")
 
 
 @query(
     "win_percent_rank",
-    WEATHER + "SELECT stn, mo, da, temp, round(percent_rank() OVER (PARTITION BY year ORDER BY temp), 9) AS rank_tpm FROM weather",
+    WEATHER + "SELECT stn, mo, da, temp, round(percent_rank() OVER (PARTITION BY year ORDER BY temp), 9) AS rank_in_month FROM weather",
 )
 def win_percent_rank(t: Tables):
-    ranked = W.with_ranks(readings(t), ["year"], "temp", percent_rank="rank_tpm")
-    return ranked.select("stn", "mo", "da", "temp", F.round("rank_tpm", 9).alias("rank_tpm"))
+    ranked = W.with_ranks(readings(t), ["year"], "temp", percent_rank="rank_in_month")
+    return ranked.select("stn", "mo", "da", "temp", F.round("rank_in_month", 9).alias("rank_in_month"))
 
 
 @query(
@@ -117,23 +116,23 @@ def win_row_number_desc(t: Tables):
 @query(
     "win_rank_tiebreak",
     WEATHER
-    + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY mo ORDER BY count_temp, stn, da) AS row_tpm FROM weather)
-    SELECT stn, mo, da, row_tpm, rank() OVER (PARTITION BY mo ORDER BY count_temp, row_tpm) AS rank_tpm FROM numbered""",
+    + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY mo ORDER BY count_temp, stn, da) AS place_in_month FROM weather)
+    SELECT stn, mo, da, place_in_month, rank() OVER (PARTITION BY mo ORDER BY count_temp, place_in_month) AS rank_in_month FROM numbered""",
 )
 def win_rank_tiebreak(t: Tables):
     # The row number already follows count_temp, so ranking by it alone gives the same unique ranks.
-    numbered = number_rows(readings(t), ["mo"], ["count_temp", "stn", "da"], "row_tpm")
-    return W.with_ranks(numbered, ["mo"], "row_tpm", rank="rank_tpm").select("stn", "mo", "da", "row_tpm", "rank_tpm")
+    numbered = number_rows(readings(t), ["mo"], ["count_temp", "stn", "da"], "place_in_month")
+    return W.with_ranks(numbered, ["mo"], "place_in_month", rank="rank_in_month").select("stn", "mo", "da", "place_in_month", "rank_in_month")
 
 
 @query(
     "win_lag",
     WEATHER
-    + """SELECT stn, mo, da, temp, lag(temp) OVER w AS previous_temp, lag(temp, 2) OVER w AS previous_temp2
+    + """SELECT stn, mo, da, temp, lag(temp) OVER w AS previous_temp, lag(temp, 2) OVER w AS temp_two_back
          FROM weather WINDOW w AS (PARTITION BY year ORDER BY temp, stn, mo, da)""",
 )
 def win_lag(t: Tables):
-    lags = {"previous_temp": 1, "previous_temp2": 2}
+    lags = {"previous_temp": 1, "temp_two_back": 2}
     return W.with_lags(readings(t), ["year"], TOTAL_ORDER, "temp", lags).drop("year", "count_temp")
 
 
@@ -148,37 +147,37 @@ def win_cume_dist(t: Tables):
     return ranked.select("stn", "mo", "da", F.round("pr", 9).alias("percent_rank"), F.round("cd", 9).alias("cume_dist"))
 
 
-FRAMES_SQL = """SELECT stn, mo, da, temp, avg(temp) OVER (PARTITION BY year) AS avg_no,
-  avg(temp) OVER (PARTITION BY year ORDER BY temp) AS avg_o FROM cents"""
+FRAMES_SQL = """SELECT stn, mo, da, temp, avg(temp) OVER (PARTITION BY year) AS avg_plain,
+  avg(temp) OVER (PARTITION BY year ORDER BY temp) AS avg_ordered FROM cents"""
 
 
 @query("win_default_frames", CENTS + FRAMES_SQL)
 def win_default_frames(t: Tables):
-    whole = W.with_group_stats(in_cents(readings(t)), ["year"], avg_no=F.avg("temp"))
-    both = W.with_running_mean(whole, ["year"], "temp", "avg_o")
-    return both.select("stn", "mo", "da", "temp", "avg_no", "avg_o")
+    whole = W.with_group_stats(in_cents(readings(t)), ["year"], avg_plain=F.avg("temp"))
+    both = W.with_running_mean(whole, ["year"], "temp", "avg_ordered")
+    return both.select("stn", "mo", "da", "temp", "avg_plain", "avg_ordered")
 
 
 @query(
     "win_rows_unbounded",
     CENTS
-    + """SELECT stn, mo, da, temp, avg(temp) OVER (PARTITION BY stn, year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS avg_no
+    + """SELECT stn, mo, da, temp, avg(temp) OVER (PARTITION BY stn, year ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS avg_plain
          FROM cents""",
 )
 def win_rows_unbounded(t: Tables):
     whole = Window.partitionBy("stn", "year").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return cents(t).select("stn", "mo", "da", "temp", F.avg("temp").over(whole).alias("avg_no"))
+    return cents(t).select("stn", "mo", "da", "temp", F.avg("temp").over(whole).alias("avg_plain"))
 
 
 @query(
     "win_range_growing",
     CENTS
-    + """SELECT stn, mo, da, temp, avg(temp) OVER (PARTITION BY stn, year ORDER BY temp RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS avg_o
+    + """SELECT stn, mo, da, temp, avg(temp) OVER (PARTITION BY stn, year ORDER BY temp RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS avg_ordered
          FROM cents""",
 )
 def win_range_growing(t: Tables):
     upto = Window.partitionBy("stn", "year").orderBy("temp").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return cents(t).select("stn", "mo", "da", "temp", F.avg("temp").over(upto).alias("avg_o"))
+    return cents(t).select("stn", "mo", "da", "temp", F.avg("temp").over(upto).alias("avg_ordered"))
 
 
 @query(
@@ -186,13 +185,13 @@ def win_range_growing(t: Tables):
     WEATHER
     + """SELECT stn, mo, da, count_temp, avg(count_temp) OVER (PARTITION BY year
            ORDER BY datediff('day', DATE '1970-01-01', CAST(year || '-' || mo || '-' || da AS DATE)) * 86400
-           RANGE BETWEEN 604800 PRECEDING AND 604800 FOLLOWING) AS avg_count FROM weather""",
+           RANGE BETWEEN 2592000 PRECEDING AND 2592000 FOLLOWING) AS avg_count FROM weather""",
 )
 def win_range_days(t: Tables):
     day = F.to_date(F.concat_ws("-", "year", "mo", "da"))
-    dated = readings(t).withColumn("dt_num", F.unix_timestamp(day))
-    week = 7 * 24 * 60 * 60
-    averaged = W.with_sliding_mean(dated, ["year"], "dt_num", "count_temp", week, "avg_count")
+    dated = readings(t).withColumn("day_second", F.unix_timestamp(day))
+    month = 30 * 24 * 60 * 60
+    averaged = W.with_sliding_mean(dated, ["year"], "day_second", "count_temp", month, "avg_count")
     return averaged.select("stn", "mo", "da", "count_temp", "avg_count")
 
 
@@ -213,8 +212,8 @@ def win_range_week_max(t: Tables):
          RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS avg_key FROM orders""",
 )
 def win_range_month_index(t: Tables):
-    indexed = t.orders.withColumn("mo_idx", F.year("o_orderdate") * 12 + F.month("o_orderdate"))
-    averaged = W.with_sliding_mean(indexed, ["o_orderstatus"], "mo_idx", "o_custkey", 1, "avg_key")
+    indexed = t.orders.withColumn("month_no", F.year("o_orderdate") * 12 + F.month("o_orderdate"))
+    averaged = W.with_sliding_mean(indexed, ["o_orderstatus"], "month_no", "o_custkey", 1, "avg_key")
     return averaged.select("o_orderkey", "avg_key")
 
 
@@ -242,12 +241,12 @@ def win_median_partition(t: Tables):
 @query(
     "win_median_growing",
     WEATHER
-    + "SELECT stn, mo, da, temp, round(median(temp) OVER (PARTITION BY year ORDER BY mo, da), 6) AS median_temp_g FROM weather",
+    + "SELECT stn, mo, da, temp, round(median(temp) OVER (PARTITION BY year ORDER BY mo, da), 6) AS median_so_far FROM weather",
 )
 def win_median_growing(t: Tables):
     dated = readings(t).withColumn("at", F.col("mo").cast("int") * 100 + F.col("da").cast("int"))
-    grown = W.with_growing_median(dated, ["year"], "at", "temp", "median_temp_g")
-    return grown.select("stn", "mo", "da", "temp", F.round("median_temp_g", 6).alias("median_temp_g"))
+    grown = W.with_growing_median(dated, ["year"], "at", "temp", "median_so_far")
+    return grown.select("stn", "mo", "da", "temp", F.round("median_so_far", 6).alias("median_so_far"))
 
 
 @query(

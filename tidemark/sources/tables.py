@@ -54,8 +54,8 @@ def shows(documents: DataFrame) -> DataFrame:
     """
     episodes = F.expr(
         "transform(split(text, '\\n'), (line, i) -> struct("
-        " i + 1 as id, line as name, date_add(date'2020-01-01', i * 7) as airdate,"
-        " concat(cast(date_add(date'2020-01-01', i * 7) as string), 'T20:30:00') as airstamp,"
+        " i + 1 as id, line as name, date_add(date'2020-01-01', i * 7) as on_day,"
+        " concat(cast(date_add(date'2020-01-01', i * 7) as string), 'T20:30:00') as sent_at,"
         " length(line) as runtime))"
     )
     return documents.select(
@@ -66,7 +66,7 @@ def shows(documents: DataFrame) -> DataFrame:
         F.col("source").alias("type"),
         F.when(F.col("n_chars") > 1000, "Ended").otherwise("Running").alias("status"),
         F.col("n_chars").alias("weight"),
-        F.struct(episodes.alias("episodes")).alias("_embedded"),
+        F.struct(episodes.alias("lines")).alias("document"),
     )
 
 
@@ -146,7 +146,7 @@ shows AS (
   FROM documents),
 episodes AS (
   SELECT s.id, s.name AS show_name, u.i AS ep_id, s.lines[u.i] AS ep_name,
-         date '2020-01-01' + CAST((u.i - 1) * 7 AS INTEGER) AS airdate, length(s.lines[u.i]) AS runtime
+         date '2020-01-01' + CAST((u.i - 1) * 7 AS INTEGER) AS on_day, length(s.lines[u.i]) AS runtime
   FROM shows s, (SELECT id, unnest(range(1, len(lines) + 1)) AS i FROM shows) u WHERE u.id = s.id)
 """
 
