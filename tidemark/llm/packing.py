@@ -23,7 +23,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
@@ -31,7 +31,7 @@ from tidemark.llm.frames import in_batches, settled
 from tidemark.llm.word_tokens import encoder, vocabulary_path
 
 SIZE, END = 4096, 1
-BUCKETS = 512
+BUCKETS, BUCKET_ROWS = 512, 500_000
 
 
 # -- the plan -------------------------------------------------------------------------------------
@@ -180,11 +180,8 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
 
 def _placed(table: pd.DataFrame):
     lengths, begins = table["length"].to_numpy(), table["begin"].to_numpy()
-    first = np.searchsorted(lengths, np.arange(lengths.max() + 2)) if len(table) else np.zeros(1, int)
-    order = lengths.astype(np.int64) << 40
-    keys = order + begins
+    keys = (lengths.astype(np.int64) << 40) + begins
     sequences, offsets = table["sequence"].to_numpy(), table["offset"].to_numpy()
-    del first
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         length, number = batch["length"].to_numpy(), batch["number"].to_numpy()
@@ -223,12 +220,12 @@ def packed(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece of each row."""
     if not 1 < size < 1 << 20:
         raise ValueError("size must be from 2 to a million tokens")
-    cut = settled(pieces(docs, path or vocabulary_path(), size).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int")))
+    written = settled(pieces(docs, path or vocabulary_path(), size))
+    buckets = max(BUCKETS, written.count() // BUCKET_ROWS)
+    cut = written.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     shares = settled(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     counts = {r.length: r.n for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    # At most size * BUCKETS rows, in a window per length of at most BUCKETS rows.
-    from pyspark.sql import Window
-
+    # A window per length, of one row per bucket at most.
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = shares.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
     numbered = (

@@ -100,3 +100,28 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_lm_scoring")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return scored_texts(read_table(spark, folder, "documents"))
+
+
+SQL["op7_decontamination"] = r"""
+with dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), bw as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), win as (
+  select distinct item_id, m, array_to_string(w[i : i + m - 1], ' ') as s
+  from (select item_id, w, least(len(w), 13) as m, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from bw where len(w) > 0)
+), places as (
+  select doc_id, m, i, array_to_string(w[i : i + m - 1], ' ') as s
+  from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from dw join (select distinct m from win) z on len(w) >= m)
+), hits as (select p.doc_id, p.i, p.m, b.item_id from places p join win b on p.s = b.s and p.m = b.m
+), hit_words as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(i, i + m)) as x from hits) group by doc_id
+), items as (
+  select doc_id, count(*) as n_items, string_agg(k, ',' order by k) as listed
+  from (select distinct doc_id, item_id::varchar as k from hits) group by doc_id
+)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(t.n_items, 0)::bigint as n_items,
+  sha256(coalesce(t.listed, '')) as items_sha256, coalesce(h.n_hit > 0 and 20 * h.n_hit >= len(d.w), false) as contaminated
+from dw d left join hit_words h on h.doc_id = d.doc_id left join items t on t.doc_id = d.doc_id
+"""
