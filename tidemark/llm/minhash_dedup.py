@@ -9,15 +9,16 @@ candidates grow as the buckets do. The hub is the member that meets most others
 as a rule the text that the others were made from. Candidates are measured on full sets.
 
 No link is lost to the stars. Buckets that hold several components after the first round are looked at
-again: members outside the main component are compared with those of other components, except where
-the measured distances rule it out. The Jaccard distance is a metric: two members whose distances to
-the hub differ by more than 0.25 are more than 0.25 apart.
+again: their members outside the main component meet all members of other components, in blocks, and
+pairs that cannot be similar enough go no further. For this a text brings its 256 least shingle hashes:
+all of a shorter text, which gives a bound without error; of a longer one a sample, and a pair is ruled
+out at five standard deviations below 0.75.
 
 Chance of missing a link of similarity 0.75: (1 - 0.75**5)**48 = 2e-6.
 
 Scale. Bucket keys are aggregated before the join back, and hot keys are on one side only. Nothing
-is collected. The second look also leaves out pairs by their set sizes, and by their sketches where the
-number of agreeing bins is more than five standard deviations under what the threshold needs.
+is collected. In the second look a bucket's members stream past blocks of at most some hundred others,
+so a bucket of any size is spread over tasks and never held as a whole; only possible pairs are rows.
 
 Defined cases. Null, empty and blank texts have an empty set and link with nothing. Fewer than five
 words: the whole sequence is one shingle. Rows with the same doc_id are one document: a link of any
@@ -27,10 +28,7 @@ of them counts. A null doc_id takes part in no link and keeps itself. Extra colu
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import sqrt
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +40,7 @@ from tidemark.llm.frames import in_batches, only, settled
 
 SHINGLE, ROWS, BANDS, PERCENT = 5, 5, 48, 75
 BINS = ROWS * BANDS
+LEAST = 256
 _EDGES = (np.arange(1, BINS, dtype=object) * 2**64 // BINS).astype(np.uint64)
 _PROBES = np.random.default_rng(6).integers(0, BINS, (2048, BINS))
 _BAND = K.mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -107,9 +106,8 @@ def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
                 continue
             k1.append(int(K.signed(K.mixed(found).sum(keepdims=True, dtype=np.uint64))[0]))
             k2.append(int(K.signed(np.bitwise_xor.reduce(found, keepdims=True))[0]))
-            bins = sketch(found)
-            keys.append(_band_keys(bins))
-            prints.append((bins & np.uint64(255)).astype(np.uint8).tobytes())
+            keys.append(_band_keys(sketch(found)))
+            prints.append((found[:LEAST] >> np.uint64(32)).astype(np.uint32).tobytes())
     sizes = np.array(sizes, np.int64)
     ends = np.concatenate(([0], np.cumsum((sizes > 0) * BANDS))).astype(np.int32)
     flat = K.signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
@@ -121,24 +119,17 @@ def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, side, text), sorted by a, b and side: distance of each pair, and if it is a link."""
+    """Rows (a, b, side, text), sorted by a, b and side: the pairs that are similar enough."""
     pair, lefts, rights, out = None, [], [], []
 
     def judged():
-        best = (1.0, False)
         for x in lefts:
             for y in rights:
                 if len(x) and len(y):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    either = len(x) + len(y) - both
-                    best = min(best, (1 - both / either, 100 * both >= PERCENT * either))
-        if pair:
-            out.append((*pair, *best))
-
-    def rows():
-        columns = list(zip(*out)) or [[]] * 4
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["a", "b", "distance", "link"])
+                    if 100 * both >= PERCENT * (len(x) + len(y) - both):
+                        out.append(pair)
+                        return
 
     for batch in batches:
         firsts, seconds, sides = batch["a"].to_pylist(), batch["b"].to_pylist(), batch["side"].to_pylist()
@@ -148,57 +139,87 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     judged()
                     pair, lefts, rights = (firsts[i], seconds[i]), [], []
                 (rights if sides[i] else lefts).append(found)
-        yield rows()
+        yield _pairs(out)
         out.clear()
     judged()
-    yield rows()
+    yield _pairs(out)
+
+
+def _pairs(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, distance, link): the pairs with the Jaccard distance of their full shingle sets."""
+def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar enough."""
     ends = F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))
     rows = pairs.select("a", "b", F.explode(ends).alias("end")).select("a", "b", "end.doc_id", "end.side")
     held = rows.hint("merge").join(texts, "doc_id").select("a", "b", "side", "text")
-    sorted_rows = held.repartition(F.col("a"), F.col("b")).sortWithinPartitions("a", "b", "side")
-    return sorted_rows.mapInArrow(_measure, "a long, b long, distance double, link boolean")
-
-
-def _may_be_similar(n: pd.Series, m: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
-    """False only for pairs that sizes rule out, or sketches by five standard deviations."""
-    n, m = n.to_numpy(), m.to_numpy()
-    small, large = np.minimum(n, m), np.maximum(n, m)
-    ok = 100 * small >= PERCENT * large
-    share = PERCENT / 100
-    for i in np.flatnonzero(ok):
-        least = share - 5 * sqrt(share * (1 - share) * (1 / BINS + 1 / small[i]))
-        if least > 0:
-            same = np.frombuffer(one[i], np.uint8) == np.frombuffer(other[i], np.uint8)
-            ok[i] = same.mean() >= least
-    return pd.Series(ok)
-
-
-def _second_look(members: DataFrame, labels: DataFrame, tested: DataFrame, prints: DataFrame) -> DataFrame:
-    """Untested pairs between components of one bucket that distances do not rule out."""
-    away = tested.select("a", "b", "distance")
-    placed = (
-        members.join(labels, members["rep"] == labels["id"], "left")
-        .select("key", "rep", F.coalesce("component", "rep").alias("part"), F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-        .join(away, ["a", "b"], "left").select("key", "rep", "part", F.coalesce("distance", F.lit(0.0)).alias("away"))
-    )
-    split = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("size")).where("x != y and size > 2")
-    inside = settled(placed.join(split.select("key"), "key"))
-    sizes = inside.groupBy("key", "part").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    rest = inside.join(main, "key").where("part != main").select("key", F.col("rep").alias("r1"), F.col("part").alias("p1"), F.col("away").alias("away1"))
-    near = (F.col("part") != F.col("p1")) & (F.abs(F.col("away") - F.col("away1")) <= 1 - PERCENT / 100 + 1e-9)
-    pairs = (
-        rest.join(inside, (rest["key"] == inside["key"]) & near)
-        .select(F.least("rep", "r1").alias("a"), F.greatest("rep", "r1").alias("b")).distinct().join(away, ["a", "b"], "left_anti")
-    )
-    slim = prints.select(F.col("doc_id"), F.col("n_shingles").alias("n"), "sketch")
-    one, two = slim.toDF("a", "n", "one"), slim.toDF("b", "m", "other")
-    possible = F.pandas_udf(_may_be_similar, T.BooleanType())("n", "m", "one", "other")
-    return pairs.join(one, "a").join(two, "b").where(possible).select("a", "b").distinct()
+    return held.repartition(F.col("a"), F.col("b")).sortWithinPartitions("a", "b", "side").mapInArrow(_measure, "a long, b long")
+
+
+class Others:
+    """Members of a block that others are compared with, by their least shingle hashes."""
+
+    def __init__(self, part: np.ndarray, rep: np.ndarray, n: np.ndarray, sketches: list[bytes]):
+        self.part, self.rep, self.n = part, rep, n
+        own = [np.frombuffer(x, np.uint32) for x in sketches]
+        self.first = np.cumsum([0, *(len(x) for x in own[:-1])])
+        self.hashes = np.concatenate(own)
+        self.sizes = np.array([len(x) for x in own])
+        self.last = np.array([int(x[-1]) if n > len(x) else 2**32 for x, n in zip(own, n)])
+        self.mark = np.zeros(1 << 20, bool)
+
+    def possible(self, part, n: int, sketch: bytes) -> np.ndarray:
+        """The members in other parts that sizes and least hashes do not rule out."""
+        mine = np.frombuffer(sketch, np.uint32)
+        upto = np.minimum(self.last, int(mine[-1]) if n > len(mine) else 2**32)
+        self.mark[mine >> 12] = True
+        inside = self.hashes <= np.repeat(upto, self.sizes)
+        both = np.add.reduceat(self.mark[self.hashes >> 12] & inside, self.first, dtype=np.int64)  # equal leading bits: no less than the truth
+        self.mark[mine >> 12] = False
+        either = np.maximum(1, np.add.reduceat(inside, self.first, dtype=np.int64) + np.searchsorted(mine, upto, side="right") - both)
+        share = PERCENT / 100
+        slack = np.where(upto == 2**32, 0, 5 * np.sqrt(share * (1 - share) / either))
+        sizes = 100 * np.minimum(n, self.n) >= PERCENT * np.maximum(n, self.n)
+        return self.rep[sizes & (self.part != part) & (both >= (share - slack) * either - 1e-9)]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, block, member, part, rep, n, sketch), sorted so that a block's others come first."""
+    now, held, others = None, [], None
+    for batch in batches:
+        rows, out = batch.num_rows, []
+        if not rows:
+            continue
+        keys, blocks, member, part, rep, n = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "block", "member", "part", "rep", "n"))
+        sketches = batch["sketch"].to_pylist()
+        change = np.flatnonzero((np.diff(keys) != 0) | (np.diff(blocks) != 0) | (np.diff(member.astype(int)) != 0)) + 1
+        for a, b in zip([0, *change.tolist()], [*change.tolist(), rows]):
+            if (keys[a], blocks[a]) != now:
+                now, held, others = (keys[a], blocks[a]), [], None
+            if not member[a]:
+                held.append((part[a:b], rep[a:b], n[a:b], sketches[a:b]))
+                continue
+            if others is None and held:
+                others = Others(*(np.concatenate(x) for x in list(zip(*held))[:3]), [s for x in held for s in x[3]])
+            for i in range(a, b) if others else ():
+                out += [(min(x, rep[i]), max(x, rep[i])) for x in others.possible(part[i], n[i], sketches[i])]
+        yield _pairs(out)
+
+
+def _second_look(members: DataFrame, labels: DataFrame, tested: DataFrame, prints: DataFrame, block: int = 256) -> DataFrame:
+    """Untested pairs between components of one bucket that sizes and sketches do not rule out."""
+    placed = members.join(labels, members["rep"] == labels["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    mixed = mixed.where("all > most and all > 2").select("key", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("blocks"))
+    slim = prints.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"])
+    inside = settled(placed.join(mixed, "key").join(slim, "rep"))
+    rows = ("key", "block", "member", "part", "rep", "n", "sketch")
+    others = inside.where("part != main").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("member", F.lit(False))
+    all_members = inside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("member", F.lit(True))
+    dealt = others.select(*rows).unionAll(all_members.select(*rows)).repartition("key", "block").sortWithinPartitions("key", "block", "member")
+    return dealt.mapInArrow(_meet, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -217,10 +238,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = settled(met.select("key", "rep").join(hubs, "key"))
     held = settled(texts.hint("merge").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
     stars = members.where("hub != rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
-    tested = settled(measured(stars, held))
-    links = tested.where("link").select("a", "b")
+    tested = settled(stars)
+    links = settled(linked(tested, held))
     labels = settled(components(links))
-    more = settled(measured(_second_look(members, labels, tested, full), held)).where("link").select("a", "b")
+    more = settled(linked(settled(_second_look(members, labels, tested, full)), held))
     if not more.isEmpty():
         labels = settled(components(links.unionAll(more)))
     named = classes.join(labels, classes["rep"] == labels["id"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("c"))
