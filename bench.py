@@ -75,7 +75,7 @@ def main() -> None:
         timed(queries[name])
         seconds[name] = round(statistics.median(timed(queries[name]) for _ in range(runs)), 4)
     total = round(sum(seconds.values()), 4)
-    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "sf": folder.rsplit("sf", 1)[-1]}))
+    print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": seconds, "cpus": int(cpus), "sf": folder.rsplit("sf", 1)[-1]}))
     spark.stop()
 
 

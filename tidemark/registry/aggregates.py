@@ -252,6 +252,24 @@ def profile_percentiles(t: Tables):
     return rounded(P.percentiles(t.lineitem, MEASURES, SHARES), SHARES)
 
 
+@query(
+    "profile_percentiles_approx",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{n}' AS share, count({c}) AS n, true AS within FROM lineitem" for c in MEASURES for n in SHARES),
+)
+def profile_percentiles_approx(t: Tables):
+    """The sketched percentiles, each with whether its rank is as near as the sketch promises."""
+    accuracy = 10_000
+    found = {r["column"]: r for r in P.approximate_percentiles(t.lineitem, MEASURES, SHARES, accuracy).collect()}
+
+    def check(c, name, share):
+        x, n = F.col(c).cast("double"), F.count(c)
+        below, upto = F.count_if(x < found[c][name]), F.count_if(x <= found[c][name])
+        slack = n / accuracy + 1
+        return F.struct(F.lit(c).alias("column"), F.lit(name).alias("share"), n.alias("n"), ((below <= share * n + slack) & (upto >= share * n - slack)).alias("within"))
+
+    return t.lineitem.agg(F.array(*[check(c, n, s) for c in MEASURES for n, s in SHARES.items()]).alias("checks")).selectExpr("inline(checks)")
+
+
 @query("profile_column_sums", RECIPES + " SELECT " + ", ".join(f"sum({c}) AS {c}" for c in BINARIES) + ", count(*) AS _rows FROM recipes")
 def profile_column_sums(t: Tables):
     return P.column_sums(tidy_recipes(t), BINARIES)
