@@ -196,3 +196,24 @@ def test_folds_do_not_depend_on_the_partitioning(spark):
     rows = spark.range(200).withColumn("fold", row_lot(["id"], 13, 3))
     assert sorted(rows.repartition(2).collect()) == sorted(rows.repartition(7).collect())
     assert {r.fold for r in rows.collect()} == {0, 1, 2}
+
+
+def test_registered_measures_follow_from_the_predictions(spark, tables):
+    """The classifier queries without a SQL text, rebuilt from the predictions one by one."""
+    from tidemark.registry.features import ml_auc, ml_confusion, ml_logistic, ml_precision_recall, ml_roc_points, model_and_predictions
+
+    seen = [(r.dessert, r.prediction) for r in ml_logistic(tables).collect()]
+    assert {r.dessert: (r["0.0"], r["1.0"]) for r in ml_confusion(tables).collect()} == {
+        y: tuple(sum(s == (y, p) for s in seen) for p in (0.0, 1.0)) for y in {y for y, _ in seen}
+    }
+    for r in ml_precision_recall(tables).collect():
+        hits, guessed, true = (sum(f(y, p) for y, p in seen) for f in (lambda y, p: y == p == r.label, lambda y, p: p == r.label, lambda y, p: y == r.label))
+        assert (r.precision, r.recall) == (pytest.approx(hits / guessed) if guessed else None, pytest.approx(hits / true) if true else None)
+    _, predictions = model_and_predictions(tables)
+    scored = [(r.rawPrediction[1], r.dessert) for r in predictions.collect()]
+    good, bad = [s for s, y in scored if y == 1], [s for s, y in scored if y == 0]
+    area = sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad)
+    answer = ml_auc(tables).head()
+    assert (answer.n, answer.area_under_roc) == (len(scored), pytest.approx(area, abs=1e-9))
+    curve = {(sum(b >= s for b in bad) / len(bad), sum(g >= s for g in good) / len(good)) for s, _ in scored} | {(0.0, 0.0)}
+    assert sorted(tuple(r) for r in ml_roc_points(tables).distinct().collect()) == [pytest.approx(x) for x in sorted(curve)]
