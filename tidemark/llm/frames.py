@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,6 +17,8 @@ from pyspark.sql import types as T
 
 from tidemark.storage import settled
 
+BATCH_ROWS = 2_000
+
 __all__ = ["settled", "id_lot", "lot_of", "in_batches", "carried", "read_table", "only"]
 
 
@@ -31,23 +36,38 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def _let_workers_import(spark: SparkSession) -> None:
-    """Workers look for this package where the driver has it; elsewhere it comes with --py-files."""
+def _prepare(spark: SparkSession) -> None:
+    """Small batches, as rows are whole texts. Workers look for this package where the driver has it."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = known.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
         known["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
 
 
-def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
-    """Apply ``work`` to each Arrow batch; empty batches are skipped."""
+def _given_back() -> None:
+    """Return freed memory to the system: workers stay on for other tasks beside the next ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, keeps_words: bool = False) -> DataFrame:
+    """Apply ``work`` to each Arrow batch; empty batches are skipped.
+
+    Without ``keeps_words`` a worker first drops the table of words that other steps may have left in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps_words and (words := sys.modules.get("tidemark.llm.word_tokens")):
+            words.encoder.cache_clear()
         for batch in batches:
             if batch.num_rows:
                 yield work(batch)
+        _given_back()
 
-    _let_workers_import(df.sparkSession)
+    _prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -175,7 +175,7 @@ def _pieces(path: str, size: int):
 def pieces(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of the token pieces of each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return in_batches(texts, _pieces(path, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_batches(texts, _pieces(path, size), "doc_id long, piece int, start long, length long, ids_crc32 long", keeps_words=True)
 
 
 def _placed(table: pd.DataFrame):

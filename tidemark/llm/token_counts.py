@@ -143,7 +143,7 @@ def edited_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     ``docs`` has doc_id, text and edits: array<struct<seq, start, stop, new>> in characters, null for none.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits")
-    return in_batches(rows, _followed(path or vocabulary_path()), "doc_id long, n_pieces long, n_tokens long, n_edits long, n_tokens_edited long, n_encoded_again long")
+    return in_batches(rows, _followed(path or vocabulary_path()), "doc_id long, n_pieces long, n_tokens long, n_edits long, n_tokens_edited long, n_encoded_again long", keeps_words=True)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 from tidemark.llm import kernels as K
 
 TOKENIZER = "word_bpe_49k.json"
-MOST_WORDS = 1_500_000
+MOST_WORDS = 1_000_000
 
 
 def vocabulary_path(name: str = TOKENIZER) -> str:
