@@ -44,7 +44,7 @@ from tidemark.llm import kernels as K
 from tidemark.llm.frames import carried, in_batches, settled
 
 LENGTH, HEAD = 200, 32
-RUN_ITEMS, PIECE = 150_000, 1 << 22
+RUN_ITEMS, PIECE = 60_000, 1 << 22
 MOST_IN_TASK = 100_000
 
 
@@ -404,7 +404,7 @@ def _kept(carry: tuple[str, ...]):
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """(k1, k2, start, stop): bytes of each distinct text that lie in a window found elsewhere too."""
     spark = keyed.sparkSession
-    named = in_batches(keyed.select("text", "k1", "k2"), _heads(length), "core long, k1 long, k2 long, at long, head binary").repartition("core")
+    named = in_batches(keyed.select("text", "k1", "k2"), _heads(length), "core long, k1 long, k2 long, at long, head binary")
     common = named.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
     found = settled(named.join(common, "core").select("k1", "k2", "at", "head", "n"))
     shown = [bytes(r.head) for r in found.where("head is not null").select("head").distinct().orderBy(F.xxhash64("head")).limit(20_000).collect()]
