@@ -55,3 +55,8 @@ def test_contract_has_every_query():
 
 def test_entry(spark):
     assert contract.entry(spark).columns[0] == "class_code"
+
+
+def test_cache_reuse_gives_three_models_for_each_capacity(spark):
+    found = contract.queries()["cache_reuse"](spark, SMALL).groupBy("near").count().collect()
+    assert sorted(map(tuple, found)) == [(4.0, 3), (8.0, 3)]

@@ -122,7 +122,7 @@ def fetch(t: Tables):
 )
 def cache_reuse(t: Tables):
     with reused(reliability(drive_days(t.events))) as rates:
-        best = [(near, *r) for near in (4.0, 8.0) for r in most_reliable(rates, near).collect()]  # three rows each
+        best = [(near, *r) for near in (4.0, 8.0) for r in most_reliable(rates, near, precision=0.25, top_n=3).collect()]  # three rows each
     found = t.spark.createDataFrame(best, "near double, model string, capacity_gib double, failure_rate double")
     return found.withColumn("failure_rate", F.round("failure_rate", 6))
 
