@@ -323,6 +323,18 @@ def test_lm_scores_of_nothing_and_without_training(make_docs):
     assert [(r.n_known, r.train_tokens, r.base_score) for r in rows] == [(0, 0, 0.0)]
 
 
+def test_lm_scores_count_every_pair(make_docs, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", "of", "sea", "rare%d" % rng.randint(0, 60)]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    docs = make_docs([*texts, texts[7]], [*range(60), 7])
+    found = []
+    for share in (4_000_000, 300, 1):  # pairs below this part of all are joined, not held
+        monkeypatch.setattr(lm_scoring, "PAIR_SHARE", share)
+        found.append(sorted((r.doc_id, r.score) for r in lm_scoring.scored_texts(docs, steps=20).collect()))
+    for other in found[1:]:
+        assert np.allclose([s for _, s in found[0]], [s for _, s in other], atol=1e-3)
+
+
 def small_model():
     rng = np.random.default_rng(0)
     docs = [np.array(rng.choice([5, 6, 7, 900], size=n), np.uint16) for n in (0, 1, 15, 16, 17, 40, 200)]
