@@ -335,6 +335,27 @@ def test_lm_scores_count_every_pair(make_docs, monkeypatch):
         assert np.allclose([s for _, s in found[0]], [s for _, s in other], atol=1e-3)
 
 
+def test_attention_learns_from_every_window_of_long_texts(spark):
+    rng = random.Random(5)
+    docs = [np.array(rng.choices([5, 6, 7, 40_000, 40_001], k=n), np.uint16) for n in (0, 16, 25_000, 300)]
+    blobs = [lm_scoring._squeezed(d) for d in docs]
+    ids, positions, doc = lm_scoring.training_windows(blobs)
+    assert positions.sum() == sum(len(d) + 1 for d in docs) and np.bincount(doc)[2] == -(-25_001 // 16)
+    _, _, model = small_model()
+    before = {n: getattr(model.attention, n).copy() for n in model.attention.NAMES}
+    kept = spark.createDataFrame([(k, b) for k, b in enumerate(blobs)], "key long, ids binary").repartition(3)
+    net = model.attention
+    grads = net.gradients(ids[:, :-1], model.group[ids[:, 1:]], np.arange(16) < positions[:, None])[1]
+    sums = kept.select("ids").mapInArrow(lm_scoring._gradient_sums(spark.sparkContext.broadcast(net), spark.sparkContext.broadcast(model.group)), "chunk long, counts binary")
+    rows = sums.repartition("chunk").mapInArrow(lm_scoring._added_up(float), "chunk long, counts binary").collect()
+    values = np.concatenate([np.frombuffer(bytes(r["counts"]), float) for r in sorted(rows, key=lambda r: r.chunk)])
+    flat = net.flat(grads)
+    assert values[len(flat)] == positions.sum() and np.allclose(values[: len(flat)] / positions.sum(), flat, atol=1e-5)
+    losses = lm_scoring.learn_from_all(net, model.group, kept)
+    assert losses and (net.embed[40_000] != before["embed"][40_000]).any() and (net.embed[40_000] != net.embed[40_001]).any()
+    assert (net.embed[30_000] == before["embed"][30_000]).all()
+
+
 def small_model():
     rng = np.random.default_rng(0)
     docs = [np.array(rng.choice([5, 6, 7, 900], size=n), np.uint16) for n in (0, 1, 15, 16, 17, 40, 200)]
