@@ -421,6 +421,14 @@ def test_main_text():
     assert html_extraction.main_text(page) == "A & B C\n\nFirst line goes on.\n\nSecond, with a link.\n\nOne\n\nTwo"
 
 
+def test_words_of_names_take_only_containers_beside_the_text():
+    body = "".join(f'<p class="notice">Sentence <span class="share">number {k}</span> has a good number of words in it.</p>' for k in range(6))
+    page = f"""<body><div class="content with-sidebar"><article><h2 id="related-work">Related work</h2>{body}
+    <div data-id="ad">Kept by its data.</div></article><div class="sidebar"><p>Side</p></div></div></body>"""
+    text = html_extraction.main_text(page)
+    assert text.startswith("Related work\n\nSentence number 0 has") and "number 5" in text and text.endswith("Kept by its data.") and "Side" not in text
+
+
 def test_main_text_without_article():
     body = "".join(f"<p>Sentence number {k} has a good number of words in it.</p>" for k in range(6))
     links = "".join(f'<li><a href="/{k}">link {k}</a></li>' for k in range(20))

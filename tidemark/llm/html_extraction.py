@@ -10,7 +10,8 @@ holds the main text. The least density on the path from it to the body is the th
 element, a child that is mostly links and below the threshold is left out. Everything else in it is
 kept whole, in page order. If the element lies inside one ``article`` or ``main``, that one is taken.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments take no
-part: they are known by their tag, role, or a word of their class or id.
+part: they are known by their tag or, for block containers that do not hold the densest element of the
+whole page, by a word of their class, id or role. Headings, paragraphs and inline elements have no words.
 
 Each page is worked alone, in Arrow batches, with an explicit stack (no recursion, any depth).
 
@@ -35,7 +36,7 @@ _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(?P<odd>/?[a-zA-Z][^\s/>]*)[^>]*>",
     re.S,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?:(?<=\s)|^)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _LEFT_OUT = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "object", "canvas", "audio", "video", "map"}
@@ -49,30 +50,28 @@ _BLOCKS = {
     "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
     *(_LEFT_OUT - {"button", "object", "map"}),
 }
+# Only these are left out by a word of their class, id or role.
+_CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "fieldset", "details", "center"}
 # A start tag of the key ends open elements of the value, up to the nearest of the barrier.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = {"ul", "ol", "dl", "table", "body", "article", "main", "section", "div"}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "link", "chars", "tags", "link_chars", "link_tags", "children", "parts", "density")
+    __slots__ = ("tag", "parent", "out", "link", "chars", "tags", "link_chars", "link_tags", "children", "parts", "density", "named", "void")
 
-    def __init__(self, tag: str, parent: "Node | None", out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: "Node | None", out: bool, named: bool = False):
+        self.tag, self.parent, self.out, self.named = tag, parent, out, named
         self.link = tag == "a" or bool(parent and parent.link)
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.void = 0
         self.children, self.parts, self.density = [], [], 0.0
 
 
-def _is_out(tag: str, rest: str, parent: Node) -> bool:
-    if parent.out or tag in _LEFT_OUT:
-        return True
-    if tag in ("body", "html", "article", "main") or "=" not in rest:
+def _is_named(tag: str, rest: str) -> bool:
+    """A block container whose class, id or role has one of the words."""
+    if tag not in _CONTAINERS or "=" not in rest:
         return False
-    for found in _NAMES.findall(rest):
-        if not _OUT_WORDS.isdisjoint(re.split(r"[^a-z]+", "".join(found).lower())):
-            return True
-    return False
+    return any(not _OUT_WORDS.isdisjoint(re.split(r"[^a-z]+", "".join(found).lower())) for found in _NAMES.findall(rest))
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -110,7 +109,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             continue
         if tag in _VOID:
             if not top.out:
-                top.tags += 1
+                top.void += 1
                 top.parts.append(" " if tag != "hr" else "\n\n")
             continue
         closes = _ENDS.get(tag) or ({"p"} if tag in _BLOCKS else None)
@@ -122,7 +121,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 node = node.parent
             if last:
                 top = last.parent
-        node = Node(tag, top, _is_out(tag, rest, top))
+        out = top.out or tag in _LEFT_OUT
+        node = Node(tag, top, out, not out and _is_named(tag, rest))
         if not node.out:
             top.children.append(node)
             top.parts.append(node)
@@ -132,6 +132,10 @@ def parse(page: str) -> tuple[Node, list[Node]]:
 
 def _measure(nodes: list[Node]) -> None:
     """Counts from the leaves up, then densities."""
+    for node in nodes:
+        node.chars = node.link_chars = node.link_tags = 0
+        node.tags = node.void
+        node.density = 0.0
     for node in reversed(nodes):
         own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
         node.chars += own
@@ -153,9 +157,30 @@ def _measure(nodes: list[Node]) -> None:
         node.density = c / t * (log(ratio) / log(base) if ratio > 1 and base > 1 and log(base) > 1e-9 else (log(ratio) if ratio > 1 else 0.0))
 
 
+def _without_named(nodes: list[Node]) -> list[Node]:
+    """The elements outside named containers, but those that hold the densest element stay."""
+    node = _densest(nodes)
+    while node:
+        node.named, node = False, node.parent
+    left = []
+    for node in nodes:
+        node.out = node.named or bool(node.parent and node.parent.out)
+        if not node.out:
+            left.append(node)
+    for node in left:
+        if any(x.out for x in node.children):
+            node.children = [x for x in node.children if not x.out]
+            node.parts = ["\n\n" if isinstance(x, Node) and x.out else x for x in node.parts]
+    return left
+
+
+def _densest(nodes: list[Node]) -> Node:
+    return max(nodes, key=lambda n: sum(x.density for x in n.children))
+
+
 def main_node(nodes: list[Node]) -> tuple[Node, float]:
     """The element with the largest sum of its children's densities, and the threshold of its path."""
-    best = max(nodes, key=lambda n: sum(x.density for x in n.children))
+    best = _densest(nodes)
     path, node = [best.density], best
     while node.parent and node.tag != "body":
         node = node.parent
@@ -183,6 +208,9 @@ def _holds(outer: Node, inner: Node) -> bool:
 def main_text(page: str | None) -> str:
     root, nodes = parse(page or "")
     _measure(nodes)
+    if any(n.named for n in nodes):
+        nodes = _without_named(nodes)
+        _measure(nodes)
     if not root.chars:
         return ""
     top, threshold = main_node(nodes)
