@@ -429,6 +429,19 @@ def test_words_of_names_take_only_containers_beside_the_text():
     assert text.startswith("Related work\n\nSentence number 0 has") and "number 5" in text and text.endswith("Kept by its data.") and "Side" not in text
 
 
+def test_density_chooses_and_tags_only_widen():
+    body = "".join(f"<p>Sentence number {k} has a good number of words in it.</p>" for k in range(9))
+    teasers = "".join(f'<p><a href="/{k}">Teaser {k}</a> by us</p>' for k in range(4))
+    beside = f"<body><main><article><h1>Head</h1>{body}</article><div class='teasers'>{teasers}</div></main></body>"
+    assert html_extraction.main_text(beside).startswith("Head\n\nSentence number 0") and "Teaser" not in html_extraction.main_text(beside)
+    mixed = f"<body><main><div>{body}</div><div>{teasers}</div></main></body>"
+    assert html_extraction.main_text(mixed).startswith("Sentence number 0") and "Teaser" not in html_extraction.main_text(mixed)
+    widened = f"<body><div><a href='/'>Home</a></div><article><h1>Head</h1><div>{body}</div></article></body>"
+    assert html_extraction.main_text(widened).startswith("Head\n\nSentence number 0")
+    outside = f"<body><div>{body}</div><article><p>Short note.</p></article></body>"
+    assert "Sentence number 8" in html_extraction.main_text(outside)
+
+
 def test_main_text_without_article():
     body = "".join(f"<p>Sentence number {k} has a good number of words in it.</p>" for k in range(6))
     links = "".join(f'<li><a href="/{k}">link {k}</a></li>' for k in range(20))

@@ -6,9 +6,11 @@ links. Its density is characters per tag, lowered by links:
     C/T * log(C/LC * T/LT) / log(log(C/(C-LC) * LC + LCb/Cb * C + e)),   b: the whole body
 
 (a zero counts as one where it divides). The element whose children's densities have the largest sum
-holds the main text. The least density on the path from it to the body is the threshold: inside the
+holds the main text (paragraphs, headings and inline elements cannot). The least density on the path from it to the body is the threshold: inside the
 element, a child that is mostly links and below the threshold is left out. Everything else in it is
-kept whole, in page order. If the element lies inside one ``article`` or ``main``, that one is taken.
+kept whole, in page order. Tags only widen it: to the nearest ``article`` or ``main`` around it, if all that
+this adds beside the path agrees, which means headings, and text that reaches the threshold and is not
+mostly links.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments take no
 part: they are known by their tag or, for block containers that do not hold the densest element of the
 whole page, by a word of their class, id or role. Headings, paragraphs and inline elements have no words.
@@ -50,6 +52,12 @@ _BLOCKS = {
     "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
     *(_LEFT_OUT - {"button", "object", "map"}),
 }
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+# Parts of a line or single lines: they never hold the main text as a whole.
+_LINES = {
+    "p", "a", "abbr", "b", "big", "cite", "code", "del", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong",
+    "sub", "sup", "time", "tt", "u", "var", *_HEADINGS,
+}
 # Only these are left out by a word of their class, id or role.
 _CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "fieldset", "details", "center"}
 # A start tag of the key ends open elements of the value, up to the nearest of the barrier.
@@ -175,7 +183,8 @@ def _without_named(nodes: list[Node]) -> list[Node]:
 
 
 def _densest(nodes: list[Node]) -> Node:
-    return max(nodes, key=lambda n: sum(x.density for x in n.children))
+    """The element with the largest sum of its children's densities; paragraphs, headings and inline elements are not asked."""
+    return max((n for n in nodes if n.tag not in _LINES), key=lambda n: sum(x.density for x in n.children))
 
 
 def main_node(nodes: list[Node]) -> tuple[Node, float]:
@@ -185,24 +194,12 @@ def main_node(nodes: list[Node]) -> tuple[Node, float]:
     while node.parent and node.tag != "body":
         node = node.parent
         path.append(node.density)
-    node, holder = best, None
-    while node:
-        if node.tag in ("article", "main"):
-            holder = node
-        node = node.parent
-    if not holder:
-        inside = [n for n in nodes if n.tag in ("article", "main")]
-        holders = [n for n in inside if not any(_holds(m, n) for m in inside if m is not n) and n.chars]
-        holder = holders[0] if len(holders) == 1 and _holds(best, holders[0]) else None
-    return holder or best, min(path)
-
-
-def _holds(outer: Node, inner: Node) -> bool:
-    while inner.parent:
-        inner = inner.parent
-        if inner is outer:
-            return True
-    return False
+    threshold, node, agree = min(path), best, True
+    while agree and node.parent and node.tag not in ("article", "main"):
+        up = node.parent
+        agree = all(x is node or not x.chars or x.tag in _HEADINGS or (x.density >= threshold and 2 * x.link_chars <= x.chars) for x in up.children)
+        node = up
+    return (node if agree and node.tag in ("article", "main") else best), threshold
 
 
 def main_text(page: str | None) -> str:
