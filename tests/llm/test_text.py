@@ -254,6 +254,15 @@ def test_plan_uses_every_length_once():
     assert packing.plan({50: 3}, 100) == [(1, (50, 50)), (1, (50,))]
 
 
+def test_every_exact_triple_is_found():
+    stock = packing.Stock({**{n: 1 for n in range(1911, 2000)}, 700: 1, 698: 2}, 4096)
+    assert sorted(stock.triple(2096)) == [698, 698, 700]
+    assert packing.Stock({10: 1, 6: 1, 4: 1, 5: 1}, 32).triple(15) == (6, 5, 4) and packing.Stock({5: 2, 1: 9}, 32).triple(15) is None
+    stock = packing.Stock({5: 3}, 32)
+    assert stock.triple(15) == (5, 5, 5) and stock.count[5] == 3 and stock.one == 1 << 5
+    assert packing.Stock({n: 1 for n in [2000, 700, *range(1911, 2000)]} | {698: 2}, 4096).triple(2096)
+
+
 def test_encoder_gives_the_ids_of_the_whole_text(tokenizer, small):
     import pyarrow as pa
 

@@ -69,15 +69,20 @@ class Stock:
             both &= ~(1 << n)
         return None
 
-    def triple(self, gap: int, tries: int = 64) -> tuple[int, int, int] | None:
+    def triple(self, gap: int) -> tuple[int, int, int] | None:
+        """Three available lengths with this sum; the first one, the longest, is tried from the longest down."""
         n = gap - 1
-        while tries and (n := self.longest(n)):
+        while 3 * n >= gap and (n := self.longest(n)) and 3 * n >= gap:
+            only = self.count[n] == 1
+            self.take(n, 1)
             rest = self.pair(gap - n) if gap - n > 1 else None
+            self.count[n] += 1
+            if only:
+                self.one |= 1 << n
+                self.mirror |= 1 << (self.size - n)
             if rest:
-                need = (n, *rest)
-                if all(self.count[x] >= need.count(x) for x in need):
-                    return need
-            n, tries = n - 1, tries - 1
+                return (n, *rest)
+            n -= 1
         return None
 
 
