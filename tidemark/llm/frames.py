@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from tidemark.storage import settled
 
 BATCH_ROWS = 2_000
+BATCH_BYTES = 8 << 20
 
-__all__ = ["settled", "id_lot", "lot_of", "in_batches", "carried", "read_table", "only"]
+__all__ = ["settled", "id_lot", "lot_of", "in_batches", "in_streams", "carried", "read_table", "only"]
 
 
 def id_lot(column: str, n: int) -> Column:
@@ -40,6 +41,8 @@ def _prepare(spark: SparkSession) -> None:
     """Small batches, as rows are whole texts. Workers look for this package where the driver has it."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # not set by the user
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     paths = known.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -59,12 +62,16 @@ def in_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     Without ``keeps_words`` a worker first drops the table of words that other steps may have left in it.
     """
 
+    return in_streams(df, lambda batches: map(work, batches), schema, keeps_words)
+
+
+def in_streams(df: DataFrame, work: Callable[[Iterator], Iterator], schema: str | T.StructType, keeps_words: bool = False) -> DataFrame:
+    """Like ``in_batches``, for work that needs the batches of a partition one after another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not keeps_words and (words := sys.modules.get("tidemark.llm.word_tokens")):
             words.encoder.cache_clear()
-        for batch in batches:
-            if batch.num_rows:
-                yield work(batch)
+        yield from work(batch for batch in batches if batch.num_rows)
         _given_back()
 
     _prepare(df.sparkSession)

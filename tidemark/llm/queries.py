@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import contamination
 from tidemark.llm.frames import read_table
+from tidemark.llm.hard_negatives import hard_negatives
 from tidemark.llm.html_extraction import main_texts
 from tidemark.llm.language_id import languages
 from tidemark.llm.lm_scoring import scored_texts
@@ -125,3 +127,29 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_
   sha256(coalesce(t.listed, '')) as items_sha256, coalesce(h.n_hit > 0 and 20 * h.n_hit >= len(d.w), false) as contaminated
 from dw d left join hit_words h on h.doc_id = d.doc_id left join items t on t.doc_id = d.doc_id
 """
+
+
+@query("op11_hard_negatives")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, folder, "embeddings").withColumn("label", label), "vec_id % 50 = 0")
+
+
+SQL["op11_hard_negatives"] = r"""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.e, r.e)::bigint as score
+  from v a join v r on a.vec_id != r.vec_id and len(a.e) = len(r.e) where a.vec_id % 50 = 0
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.positive_id, (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id))::int as rank,
+  s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same
+where 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+qualify rank <= 3
+"""
