@@ -17,6 +17,7 @@ from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import packed
 from tidemark.llm.quality_classifier import quality_scores
 from tidemark.llm.quality_rules import cleaned
+from tidemark.llm.source_mixing import mixed
 from tidemark.llm.suffix_dedup import without_repeats
 from tidemark.llm.token_counts import edited_counts, masking_edits
 
@@ -153,3 +154,8 @@ from p join s on s.anchor_id = p.anchor_id and not s.same
 where 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
 qualify rank <= 3
 """
+
+
+@query("op13_source_mixing")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(read_table(spark, folder, "documents"))
