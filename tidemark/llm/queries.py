@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontamination import contamination
-from tidemark.llm.frames import read_table
+from tidemark.llm.frames import read_table, settled
 from tidemark.llm.hard_negatives import hard_negatives
 from tidemark.llm.html_extraction import main_texts
 from tidemark.llm.language_id import languages
 from tidemark.llm.lm_scoring import scored_texts
 from tidemark.llm.minhash_dedup import near_duplicates
 from tidemark.llm.packing import packed
+from tidemark.llm.prefix_trie import conversation_paths, prefix_trie, with_shared_heads
 from tidemark.llm.quality_classifier import quality_scores
 from tidemark.llm.quality_rules import cleaned
 from tidemark.llm.source_mixing import mixed
@@ -156,6 +157,41 @@ qualify rank <= 3
 """
 
 
+@query("op12_prefix_trie")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    paths = settled(conversation_paths(read_table(spark, folder, "conversations")))
+    head = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4).cast("int")
+    return prefix_trie(with_shared_heads(paths, F.col("conv_id") - F.col("conv_id") % 20, head))
+
+
+SQL["op12_prefix_trie"] = r"""
+with turns as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, role, text) as k,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} as x
+  from conversations where conv_id is not null
+), own as (select conv_id, list(x order by k) as xs from turns group by conv_id),
+headed as (
+  select conv_id, xs, conv_id - conv_id % 20 as base, xor(4294967295, list_reduce(
+    [4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda ch: ascii(ch)::bigint),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, 3988292384 * (r & 1))))) % 4 as h
+  from own
+), paths as (
+  select a.conv_id, list_concat(coalesce(b.xs[1 : a.h], []), a.xs[a.h + 1 :]) as p from headed a left join own b on b.conv_id = a.base
+), prefixes as (select conv_id, len(p) as total, d, p[1 : d] as node from (select conv_id, p, unnest(range(0, len(p) + 1)) as d from paths)
+), nodes as (
+  select node, d, min(conv_id) as id, count(*) as n, string_agg(conv_id::varchar, ',' order by conv_id) filter (where total = d) as ends,
+    case when d > 0 then len(regexp_extract_all(node[d].text, '[^ 	-]+')) else 0 end as words
+  from prefixes group by node, d
+), children as (select node[1 : d - 1] as node, count(*) as c from nodes where d > 0 group by 1),
+facts as (select n.*, coalesce(c.c, 0) as c from nodes n left join children c on c.node = n.node),
+above as (select node[1 : e] as node, e, c, (n - 1) * words as saved from (select *, unnest(range(0, d + 1)) as e from facts)),
+sums as (select node, sum((c = 0)::int)::bigint as leaves, sum(saved)::bigint as saved from above group by node)
+select f.id as conv_id, f.d::bigint as depth, u.id as parent_conv_id, f.n::bigint as n_convs, f.c::bigint as n_children,
+  s.leaves as n_leaves, s.saved as saved_tokens, sha256(coalesce(f.ends, '')) as ends_sha256
+from facts f join sums s on s.node = f.node left join facts u on f.d > 0 and u.d = f.d - 1 and u.node = f.node[1 : f.d - 1]
+"""
+
+
 @query("op13_source_mixing")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(read_table(spark, folder, "documents"))
