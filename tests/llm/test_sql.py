@@ -12,7 +12,7 @@ from tidemark.llm.queries import QUERIES, SQL
 @pytest.mark.parametrize("name", SQL)
 def test_query(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
         db.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     cursor = db.execute(SQL[name])
     names = [c[0] for c in cursor.description]

@@ -41,6 +41,7 @@ from tidemark.llm.frames import in_streams, settled
 ROWS, ANCHORS = 4096, 1024
 _BLOCK = "block long, n int, dims int, kind string, ids binary, labels binary, cells binary"
 _LONG = (-(2**63), 2**63 - 1)
+_exact = np.frompyfunc(int, 1, 1)
 
 
 def packed_scores(anchors: np.ndarray, rows: np.ndarray, room: int = 53) -> np.ndarray:
@@ -52,7 +53,7 @@ def packed_scores(anchors: np.ndarray, rows: np.ndarray, room: int = 53) -> np.n
     high = dims * (int(anchors.max()) - int(low_a)) * (int(rows.max()) - int(low_r))
     width = max(1, high.bit_length())
     if width > room or max(abs(low_a), abs(low_r), float(anchors.max()), float(rows.max())) >= 2**24:
-        whole = anchors.astype(object) @ rows.astype(object).T
+        whole = _exact(anchors) @ _exact(rows).T
         return np.clip(whole, *_LONG).astype(np.int64)
     fields = room // width
     a = anchors - low_a
