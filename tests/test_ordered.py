@@ -237,3 +237,54 @@ def test_facts_per_group_do_not_shuffle_the_rows(spark, ragged):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "hashpartitioning(coalesce(k" not in plan
+
+
+# ---- hot keys
+
+SPLIT_EARLY = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+}
+
+
+@pytest.fixture
+def split_early(spark):
+    before = {k: spark.conf.get(k) for k in SPLIT_EARLY}
+    for k, v in SPLIT_EARLY.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def is_split(df) -> bool:
+    df.collect()
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+HOT_FORMS = {
+    "join_facts": lambda rows: O.join_facts(rows, rows.groupBy("k").agg(F.count("*").alias("n")), ["k"]),
+    "attach": lambda rows: O.attach(rows, rows.groupBy("k").agg(F.count("*").alias("n")), ["k"]),
+    "with_ranks": lambda rows: W.with_ranks(rows, ["k"], "v", rank="r", percent_rank="p", limit=5_000),
+    "with_ntile": lambda rows: W.with_ntile(rows, ["k"], ["id"], 4, "t", limit=5_000),
+    "with_running_mean": lambda rows: W.with_running_mean(rows, ["k"], "v", "m", limit=5_000),
+    "with_group_stats": lambda rows: W.with_group_stats(rows, ["k"], n=F.count("*")),
+}
+
+
+@pytest.mark.parametrize("form", HOT_FORMS)
+def test_a_hot_key_is_split_at_run_time(spark, split_early, form):
+    id_ = F.col("id")
+    rows = O.settled(spark.range(60_000).select("id", F.when(id_ % 2 == 0, F.lit(7)).otherwise(id_ % 1000).alias("k"), F.when(id_ % 2 == 0, F.lit(0)).otherwise(id_ % 50).alias("v")))
+    assert is_split(HOT_FORMS[form](rows))
+
+
+def test_a_plain_join_with_an_aggregate_is_not_split(spark, split_early):
+    """Why join_facts writes the facts first."""
+    id_ = F.col("id")
+    rows = O.settled(spark.range(60_000).select("id", F.when(id_ % 2 == 0, F.lit(7)).otherwise(id_ % 1000).alias("k")))
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    assert not is_split(rows.join(facts, "k"))
+    assert sorted(map(tuple, rows.join(facts, "k").collect())) == sorted(map(tuple, O.join_facts(rows, facts, ["k"]).collect()))

@@ -39,7 +39,11 @@ def same_keys(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column
 
 
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join per-key columns back onto the rows, keeping the rows' own key columns."""
+    """Join per-key columns back onto the rows, keeping the rows' own key columns. Null keys meet.
+
+    A hot key is split at run time, also where ``stats`` is an aggregate over the keys: null-safe equality is
+    planned on derived keys, so both sides are shuffled for the join itself (``join_facts`` has the other case).
+    """
     if not keys:
         whole = stats.select(F.struct(*stats.columns)).scalar()  # the one row of a global aggregate
         return df.withColumn("_whole", whole).select(
@@ -52,6 +56,16 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inn
     return df.join(renamed, on, how).drop(*[f"_{k}" for k in keys])
 
 
+def join_facts(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Plain equi-join of rows with facts per key, such that a hot key among the rows is split at run time.
+
+    The planner leaves out the shuffle of a side that an aggregate over the keys has already dealt out, and only
+    joins with a shuffle right below each side are split. So the facts are written first. ``df`` must not
+    be dealt out by the keys either: give it as it was read, or after another shuffle.
+    """
+    return df.join(settled(facts), list(keys), how)
+
+
 def _order_columns(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
