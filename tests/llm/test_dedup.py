@@ -185,3 +185,80 @@ def test_ranges_of_a_group_against_all_pairs():
                 if i != j:
                     want |= set(range(length - shared(s, t), shared(left[::-1], other[::-1]) + 1))
             assert got[i] == want
+
+
+# ---- hot keys are split at run time
+
+SPLIT_EARLY = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+}
+
+
+@pytest.fixture
+def split_early(spark):
+    before = {k: spark.conf.get(k) for k in SPLIT_EARLY}
+    for k, v in SPLIT_EARLY.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def is_split(df) -> bool:
+    df.collect()
+    return "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def splits_of(monkeypatch, module, work) -> dict[str, bool]:
+    """For each join_facts of the module: its keys, and whether it was split."""
+    seen, real = {}, module.join_facts
+
+    def spied(df, facts, keys, how="inner"):
+        joined = real(df, facts, keys, how)
+        seen[",".join(keys)] = seen.get(",".join(keys), False) or is_split(joined)
+        return joined
+
+    monkeypatch.setattr(module, "join_facts", spied)
+    work()
+    return seen
+
+
+def test_a_hub_of_many_links_is_split(spark, split_early):
+    links = spark.range(1, 6000).selectExpr("id as hi", "0L as lo").unionAll(spark.range(7000, 7300).selectExpr("id + 1 as hi", "id as lo"))
+    from tidemark.llm.components import _stars
+    from tidemark.llm.frames import settled
+
+    links = settled(links)
+    mirrored = settled(links.selectExpr("10000L - lo as hi", "10000L - hi as lo"))
+    assert is_split(_stars(links, True)) and is_split(_stars(mirrored, False))
+    assert {r.component for r in components(links.selectExpr("hi as a", "lo as b")).where("id < 6000").collect()} == {0}
+
+
+def test_hot_classes_and_passages_are_split(spark, make_docs, split_early, monkeypatch):
+    rng = random.Random(21)
+    copies = ["one two three four five six seven"] * 4000 + [sentence(rng, 8) for _ in range(200)]
+    seen = splits_of(monkeypatch, minhash_dedup, lambda: minhash_dedup.near_duplicates(make_docs(copies)).collect())
+    assert seen["k1,k2,n_shingles"]
+    passage = sentence(rng, 60)
+    shared_by_all = [f"{sentence(rng, 2)} {passage} {sentence(rng, 2)}" for _ in range(600)] + [sentence(rng, 90) for _ in range(40)] * 2
+    seen = splits_of(monkeypatch, suffix_dedup, lambda: suffix_dedup.without_repeats(make_docs(shared_by_all)).collect())
+    assert seen["core"]
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(make_docs):
+    rng = random.Random(22)
+    a, b = sentence(rng, 30), sentence(rng, 30)
+    for texts in ([a, a, b], [b, a, a]):
+        ids = [3 if (t == a and i < 2) else 7 for i, t in enumerate(texts)] if texts[0] == a else [7, 7, 3]
+        rows = minhash_dedup.near_duplicates(make_docs(texts, ids).withColumnRenamed("lang", "mine").withColumn("mine", texts_hash()), carry=("mine",)).collect()
+        kept = {(r.doc_id, r.mine) for r in rows if r.kept}
+        assert len(kept) == 2 and {i for i, _ in kept} == {3, 7}
+
+
+def texts_hash():
+    from pyspark.sql import functions as F
+
+    return F.xxhash64("text")

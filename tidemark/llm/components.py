@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating star contraction.
 
-Each round is two grouped minima joined back to the links. The grouped side has one row per node,
-so a node with very many links repeats on one side of the join only, and adaptive execution splits it.
+Each round is two grouped minima joined back to the links. The minima are written before the join: the
+links are then shuffled for the join alone, and a node with very many links, which repeats on one side only,
+is split at run time.
 Rounds are cut by a written table, so a lost executor never replays earlier rounds.
 """
 
@@ -24,7 +25,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
         )
     else:
         sides = links.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-    least = sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = settled(sides.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     joined = sides.join(least, "u")
     moved = joined.where(F.col("v") > F.col("u")) if large else joined.where(F.col("v") != F.col("m"))
     out = moved.select(F.col("v").alias("hi"), F.col("m").alias("lo"))

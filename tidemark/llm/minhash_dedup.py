@@ -16,8 +16,8 @@ out at five standard deviations below 0.75.
 
 Chance of missing a link of similarity 0.75: (1 - 0.75**5)**48 = 2e-6.
 
-Scale. Bucket keys are aggregated before the join back, and hot keys are on one side only. Nothing
-is collected. In the second look a bucket's members stream past blocks of at most some hundred others,
+Scale. Bucket keys are aggregated and written before the join back, hot keys are on one side only, and such
+joins are split at run time. Nothing is collected. In the second look a bucket's members stream past blocks of at most some hundred others,
 so a bucket of any size is spread over tasks and never held as a whole; only possible pairs are rows.
 
 Defined cases. Null, empty and blank texts have an empty set and link with nothing. Fewer than five
@@ -27,16 +27,18 @@ of them counts. A null doc_id takes part in no link and keeps itself. Extra colu
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import kernels as K
 from tidemark.llm.components import components
-from tidemark.llm.frames import in_batches, only, settled
+from tidemark.llm.frames import carried, in_batches, in_streams, only, settled
+from tidemark.operators.ordered import join_facts
 
 SHINGLE, ROWS, BANDS, PERCENT = 5, 5, 48, 75
 BINS = ROWS * BANDS
@@ -84,19 +86,10 @@ def _band_keys(bins: np.ndarray) -> np.ndarray:
     return keys
 
 
-_PRINTS = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_shingles", T.LongType()),
-        T.StructField("k1", T.LongType()),
-        T.StructField("k2", T.LongType()),
-        T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("sketch", T.BinaryType()),
-    ]
-)
+_PRINTS = "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, sketch binary"
 
 
-def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _fingerprints(batch: pa.RecordBatch, carry: tuple[str, ...] = ()) -> pa.RecordBatch:
     n, sizes, k1, k2, keys, prints = batch.num_rows, [], [], [], [], []
     for part in K.slices(batch["text"]):
         for found in shingle_sets(part):
@@ -113,8 +106,8 @@ def _fingerprints(batch: pa.RecordBatch) -> pa.RecordBatch:
     flat = K.signed(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays(
         [batch["doc_id"].cast(pa.int64()), pa.array(sizes), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(prints, pa.binary())],
-        ["doc_id", "n_shingles", "k1", "k2", "keys", "sketch"],
+         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(prints, pa.binary()), *(batch[c] for c in carry)],
+        ["doc_id", "n_shingles", "k1", "k2", "keys", "sketch", *carry],
     )
 
 
@@ -154,7 +147,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     ends = F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side")), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side")))
     rows = pairs.select("a", "b", F.explode(ends).alias("end")).select("a", "b", "end.doc_id", "end.side")
     held = rows.hint("merge").join(texts, "doc_id").select("a", "b", "side", "text")
-    return held.repartition(F.col("a"), F.col("b")).sortWithinPartitions("a", "b", "side").mapInArrow(_measure, "a long, b long")
+    return in_streams(held.repartition(F.col("a"), F.col("b")).sortWithinPartitions("a", "b", "side"), _measure, "a long, b long")
 
 
 class Others:
@@ -189,8 +182,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held, others = None, [], None
     for batch in batches:
         rows, out = batch.num_rows, []
-        if not rows:
-            continue
         keys, blocks, member, part, rep, n = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "block", "member", "part", "rep", "n"))
         sketches = batch["sketch"].to_pylist()
         change = np.flatnonzero((np.diff(keys) != 0) | (np.diff(blocks) != 0) | (np.diff(member.astype(int)) != 0)) + 1
@@ -214,28 +205,31 @@ def _second_look(members: DataFrame, labels: DataFrame, tested: DataFrame, print
     mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     mixed = mixed.where("all > most and all > 2").select("key", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("blocks"))
     slim = prints.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["rep"])
-    inside = settled(placed.join(mixed, "key").join(slim, "rep"))
+    inside = settled(join_facts(placed, mixed, ["key"]).join(slim, "rep"))
     rows = ("key", "block", "member", "part", "rep", "n", "sketch")
     others = inside.where("part != main").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("member", F.lit(False))
     all_members = inside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("member", F.lit(True))
     dealt = others.select(*rows).unionAll(all_members.select(*rows)).repartition("key", "block").sortWithinPartitions("key", "block", "member")
-    return dealt.mapInArrow(_meet, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+    return in_streams(dealt, _meet, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+
 
+def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
+    The (small) columns named in ``carry`` come along unchanged; rows of one doc_id are judged each by its own text.
+    """
     texts = only(docs, "doc_id", "text")
-    prints = settled(in_batches(texts, _fingerprints, _PRINTS))
+    prints = settled(in_batches(only(docs, "doc_id", "text", *carry), functools.partial(_fingerprints, carry=carry), carried(docs, carry, _PRINTS)))
     full = prints.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     # Only one row of a class goes into the buckets: the copies of a text never meet there.
     chosen = full.groupBy("k1", "k2", "n_shingles").agg(F.min_by(F.struct("doc_id", "keys"), "doc_id").alias("row"))
     buckets = settled(chosen.select(F.col("row.doc_id").alias("rep"), F.explode("row.keys").alias("key")))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = settled(buckets.join(shared, "key"))
+    met = settled(join_facts(buckets, shared, ["key"]))
     popular = met.groupBy("rep").agg(F.sum("n").alias("meets"))
     hubs = met.join(popular, "rep").groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
-    members = settled(met.select("key", "rep").join(hubs, "key"))
+    members = settled(join_facts(met.select("key", "rep"), hubs, ["key"]))
     held = settled(texts.hint("merge").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
     stars = members.where("hub != rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     tested = settled(stars)
@@ -245,6 +239,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         labels = settled(components(links.unionAll(more)))
     named = classes.join(labels, classes["rep"] == labels["id"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    joined = prints.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left")
+    joined = join_facts(prints.select("doc_id", "n_shingles", "k1", "k2", *carry), named, ["k1", "k2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    judged = joined.select("doc_id", "n_shingles", component.alias("component_id"), *carry)
+    return judged.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

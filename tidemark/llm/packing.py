@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.frames import in_batches, settled
+from tidemark.llm.frames import in_batches, in_streams, settled
 from tidemark.llm.word_tokens import encoder, vocabulary_path
 
 SIZE, END = 4096, 1
@@ -233,8 +233,6 @@ def packed(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
     # A window per length, of one row per bucket at most.
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = shares.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("base"))
-    numbered = (
-        cut.join(bases, ["length", "bucket"]).repartition("bucket").sortWithinPartitions("bucket", "length", "doc_id", "piece")
-        .mapInArrow(_numbered, "doc_id long, piece int, start long, length long, ids_crc32 long, number long")
-    )
-    return in_batches(numbered, _placed(slots(plan(counts, size))), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    dealt = cut.join(bases, ["length", "bucket"]).repartition("bucket").sortWithinPartitions("bucket", "length", "doc_id", "piece")
+    place = _placed(slots(plan(counts, size)))
+    return in_streams(dealt, lambda batches: map(place, _numbered(batches)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.frames import carried, in_batches, settled
+from tidemark.llm.frames import carried, in_batches, in_streams, settled
+from tidemark.operators.ordered import join_facts
 
 LENGTH, HEAD = 200, 32
 RUN_ITEMS, PIECE = 60_000, 1 << 22
@@ -406,7 +407,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, most_in_task: int = M
     spark = keyed.sparkSession
     named = in_batches(keyed.select("text", "k1", "k2"), _heads(length), "core long, k1 long, k2 long, at long, head binary")
     common = named.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
-    found = settled(named.join(common, "core").select("k1", "k2", "at", "head", "n"))
+    found = settled(join_facts(named, common, ["core"]).select("k1", "k2", "at", "head", "n"))
     shown = [bytes(r.head) for r in found.where("head is not null").select("head").distinct().orderBy(F.xxhash64("head")).limit(20_000).collect()]
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // 60_000)
     shown.sort()
@@ -416,9 +417,9 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, most_in_task: int = M
     def with_texts(rows):
         return rows.groupBy("k1", "k2").agg(F.collect_set("at").alias("places")).join(texts, ["k1", "k2"])
 
-    runs = with_texts(found.where(F.col("n") <= most_in_task)).mapInArrow(_sent_runs(splitters, length), "part int, run binary")
+    runs = in_streams(with_texts(found.where(F.col("n") <= most_in_task)), _sent_runs(splitters, length), "part int, run binary")
     dealt = runs.repartition(len(splitters) + 1, "part").sortWithinPartitions("part")
-    spans = dealt.mapInArrow(_merged_spans(length), "k1 long, k2 long, start long, stop long")
+    spans = in_streams(dealt, _merged_spans(length), "k1 long, k2 long, start long, stop long")
     hot = found.where(F.col("n") > most_in_task)
     if not hot.isEmpty():
         windows = settled(in_batches(with_texts(hot).dropDuplicates(["k1", "k2"]), _windows(length), "w1 long, w2 long, k1 long, k2 long, start long"))
@@ -443,7 +444,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, most_in_task: int = M
     cut = whole.unionAll(spans.join(whole, ["k1", "k2"], "left_anti"))
     rows = keyed.select("doc_id", "k1", "k2", size, "text", *carry)
     zipped = in_batches(rows, _zipped, carried(docs, carry, "doc_id long, k1 long, k2 long, n_bytes long").add("z", "binary"))
-    joined = zipped.join(cut, ["k1", "k2"], "left").select("doc_id", "n_bytes", "z", "spans", *carry)
+    joined = join_facts(zipped, cut, ["k1", "k2"], "left").select("doc_id", "n_bytes", "z", "spans", *carry)
     return in_batches(joined, _kept(carry), carried(docs, carry, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
 
 
