@@ -9,14 +9,17 @@ Each stage works on all that the one before kept, and its decisions take effect:
 4. benchmark passages: contaminated documents go;
 5. packing: token pieces with their sequences and places.
 
-Stages 1 to 4 return the columns of documents. Rows with a null doc_id go through like any others; of
-rows with the same doc_id one stays after stage 2. Empty tables give empty tables.
+Stages 1 to 4 return the columns of documents. Rows with a null doc_id go through like any others. Rows that
+share a doc_id are judged each by its own text in stage 2: of those with one text the first by lang, source
+and n_chars stays, and a different text under the same id stays or goes on its own merits. Empty tables give
+empty tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.decontamination import contamination
 from tidemark.llm.frames import read_table
@@ -37,10 +40,13 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    stay = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    marked = docs.select(*COLUMNS, F.xxhash64("text", F.lit(1)).alias("own"))
+    judged = near_duplicates(marked, carry=("own",)).where("kept and doc_id is not null")
+    stay = judged.select("doc_id", "own").distinct()
+    # Rows of one id and text: nearly always one, so the window sees no large group (copies have ids of their own).
+    first = F.row_number().over(Window.partitionBy("doc_id", "own").orderBy("lang", "source", "n_chars"))
+    named = marked.join(stay, ["doc_id", "own"], "left_semi").withColumn("nth", first).where("nth = 1")
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
