@@ -71,3 +71,14 @@ def test_stages_take_nulls_and_repeated_rows(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = spark.createDataFrame(stage(spark, docs, where).collect(), docs.schema)
     assert sorted((r.doc_id is None, r.text) for r in docs.collect()) == [(False, "abc def ghi jkl mno pqr"), (True, "abc def ghi jkl mno pqr")]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_two_texts_under_one_id(spark, turned):
+    """The copy goes and the clean text stays, in whatever order they come."""
+    rng = random.Random(31)
+    a, b = sentence(rng, 40), sentence(rng, 40)
+    rows = [(3, a, "en", "s", 1), (7, a, "en", "s", 1), (7, b, "en", "s", 1), (7, b, "de", "s", 1), (None, a, None, None, None)]
+    docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or -1, r.text, r.lang or "") for r in got) == sorted([(3, a, "en"), (7, b, "de"), (-1, a, "")])
