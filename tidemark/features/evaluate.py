@@ -55,6 +55,14 @@ def area_under_roc(predictions: DataFrame, label: str) -> float:
     return steps.agg(F.try_divide(won, (F.sum("hit") * F.sum("miss")).cast("double"))).head()[0]
 
 
+def areas_under_roc(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, area_under_roc) for rows (keys, score, label, n), each counting n times; exact for every key at once."""
+    sums = {"hit": F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)), "miss": F.sum(F.when(F.col("label") != 1, F.col("n")).otherwise(0))}
+    steps = ladder(scored, keys, "score", sums, descending=True)
+    won = F.sum(F.col("miss") * (F.col("hit_upto") - F.col("hit") / 2))
+    return steps.groupBy(*keys).agg(F.try_divide(won, (F.sum("hit") * F.sum("miss")).cast("double")).alias("area_under_roc"))
+
+
 class ExactArea(Evaluator):
     """area_under_roc as the measure of a search."""
 

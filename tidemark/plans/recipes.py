@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.features import evaluate as E
+from tidemark.features import newton as N
 from tidemark.features.prepare import preparation_stages, with_ratios
 from tidemark.features.stages import ExtremeValueCapper, ScalarNAFiller
 from tidemark.functions.numbers import capped
@@ -17,7 +18,7 @@ from tidemark.functions.text import is_number
 from tidemark.operators.columns import with_tidy_names
 from tidemark.operators.profile import percentiles, rare_columns
 from tidemark.operators.reuse import reused
-from tidemark.operators.rowsets import split_rows
+from tidemark.operators.rowsets import row_lot, split_rows
 from tidemark.storage import new_folder, settled
 
 # Energy in kilocalories per gram, and the caps set for a data set by looking at it.
@@ -112,6 +113,49 @@ def fitted(rows: DataFrame, stages: Pipeline, roles: Roles = ROLES, share: float
     return model, model.transform(test)
 
 
+def model_columns(kept: list[str], roles: Roles = ROLES) -> list[str]:
+    """The features in the order of the vector that ``model_stages`` assembles, on their own scale."""
+    return [*kept, *roles.ratios, *[c for c in roles.continuous if c not in roles.imputed], *roles.imputed]
+
+
+def newton_fitted(rows: DataFrame, kept: list[str], roles: Roles = ROLES, share: float = 0.7, seed: int = 13) -> tuple[N.Fit, DataFrame]:
+    """A model of the training part by Newton steps, and its predictions for the other."""
+    train, test = parts(rows, roles, share, seed)
+    names = model_columns(kept, roles)
+    fit = N.fitted(N.weighted_cells(train, roles.target, names), names, [N.Wanted()])[0]
+    return fit, N.predicted(test, fit)
+
+
+@dataclass(frozen=True)
+class Search:
+    """Every grid point on every fold, and the best point fitted to all training rows."""
+
+    points: tuple[tuple[float, float], ...]
+    areas: DataFrame
+    best: int
+    fit: N.Fit
+
+
+def searched(train: DataFrame, kept: list[str], points=((0.01, 0.0), (0.01, 1.0)), folds: int = 3, seed: int = 13, roles: Roles = ROLES) -> Search:
+    """Cross-validate (strength, mix) points; a row's fold follows from its key. One read of ``train``.
+
+    All models, those for the folds and one of all rows for each point, are fitted in the same passes over
+    the cells, and all held-back folds are scored in one. ``areas`` has (point, fold, n_rows, area_under_roc).
+    """
+    names = model_columns(kept, roles)
+    cells = N.weighted_cells(train, roles.target, names, row_lot([roles.identifier], seed, folds))
+    tried = [(p, f) for p in range(len(points)) for f in range(folds)]
+    fits = N.fitted(cells, names, [N.Wanted(*points[p], f) for p, f in tried] + [N.Wanted(*p) for p in points])
+    held = cells.select("fold", "label", "n", *[F.col("x")[i].alias(n) for i, n in enumerate(names)])
+    scores = [F.struct(F.lit(p).alias("point"), F.coalesce(*[F.when(F.col("fold") == f, fit.score()) for (q, f), fit in zip(tried, fits) if q == p]).alias("score")) for p in range(len(points))]
+    scored = held.select("fold", "label", "n", F.inline(F.array(*scores)))
+    sizes = cells.groupBy("fold").agg(F.sum("n").alias("n_rows"))
+    areas = settled(E.areas_under_roc(scored, ["point", "fold"]).join(sizes, "fold").select("point", "fold", "n_rows", "area_under_roc"))
+    means = {r.point: r.mean for r in areas.groupBy("point").agg(F.avg("area_under_roc").alias("mean")).collect()}
+    best = max(sorted(means), key=lambda p: means[p])
+    return Search(tuple(points), areas, best, fits[len(tried) + best])
+
+
 def custom_stages(kept: list[str], roles: Roles = ROLES, boundary: float = 2.0) -> Pipeline:
     """The same model with filling and capping learned inside the pipeline."""
     continuous = list(roles.imputed)

@@ -15,7 +15,7 @@ from tidemark.plans.shows import episodes, show_spans
 from tidemark.plans.weather import coldest_by_semi_join
 from tidemark.registry import query
 from tidemark.registry.aggregates import LETTERS_SQL
-from tidemark.registry.features import custom_rows
+from tidemark.registry.features import AREA_SQL, LABEL_RATES_SQL, PLAIN_SQL, STEPS_SQL, custom_rows
 from tidemark.registry.rowsets import RATES_SQL
 from tidemark.registry.scans import WORDS_SQL
 from tidemark.storage import settled
@@ -333,10 +333,10 @@ def verdict(t: Tables, predictions):
     )
 
 
-@query("job_recipe_model")
+@query("job_recipe_model", f"{PLAIN_SQL}, {STEPS_SQL} SELECT *, (SELECT {AREA_SQL} FROM stepped) AS area_under_roc FROM ({LABEL_RATES_SQL})")
 def job_recipe_model(t: Tables):
     rows, kept = R.featured(recipes(t.customer, t.orders))
-    return verdict(t, R.fitted(rows, R.model_stages(kept))[1])
+    return verdict(t, R.newton_fitted(rows, kept)[1])
 
 
 @query("job_recipe_model_custom")
