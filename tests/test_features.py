@@ -199,7 +199,7 @@ def test_folds_do_not_depend_on_the_partitioning(spark):
 
 
 def test_registered_measures_follow_from_the_predictions(spark, tables):
-    """The classifier queries without a SQL text, rebuilt from the predictions one by one."""
+    """Rebuilt from the predictions one by one, beside the SQL texts."""
     from tidemark.registry.features import ml_auc, ml_confusion, ml_logistic, ml_precision_recall, ml_roc_points, model_and_predictions
 
     seen = [(r.dessert, r.prediction) for r in ml_logistic(tables).collect()]

@@ -169,7 +169,7 @@ def custom_stages(kept: list[str], roles: Roles = ROLES, boundary: float = 2.0)
             VectorAssembler(inputCols=["rating", *[f"{c}_i" for c in continuous]], outputCol="continuous"),
             MinMaxScaler(inputCol="continuous", outputCol="continuous_scaled"),
             VectorAssembler(inputCols=[*kept, "continuous_scaled", *[f"{c}_i" for c in ratios]], outputCol="features"),
-            E.logistic(roles.target),
+            E.logistic(roles.target, maxIter=300, tol=1e-12),
         ]
     )
 

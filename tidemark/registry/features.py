@@ -138,14 +138,30 @@ MODEL_ROWS_SQL = (
 )
 
 
-def newton_sql(models: str, steps: int = 8, sweeps: int = 60) -> str:
+# Those of the pipeline with own stages: ratios of the plain values, unknown where undefined, and values capped at two
+# spreads around the mean of the training rows.
+CUSTOM_ROWS_SQL = (
+    MODEL_ROWS_SQL[: MODEL_ROWS_SQL.index("bounds AS")]
+    + "hashed AS (SELECT *, ('0x' || substr(md5('13|' || title), 1, 8))::BIGINT AS hash FROM readable), sides AS (SELECT "
+    + ", ".join(f"avg({c}) - 2 * stddev_samp({c}) AS {c}_low, avg({c}) + 2 * stddev_samp({c}) AS {c}_top" for c in IMPUTED)
+    + " FROM hashed WHERE rating IS NOT NULL AND hash % 10000 < 7000), flagged AS (SELECT "
+    + ", ".join(f"(sum({c}) >= 10 AND sum({c}) <= count(*) - 10) AS {c}_kept" for c in FLAGS)
+    + " FROM readable), model_rows AS (SELECT title, dessert AS y, hash % 10000 < 7000 AS learned, hash % 3 AS fold, ["
+    + ", ".join(f"CASE WHEN {c}_kept THEN {c} ELSE 0.0::DOUBLE END" for c in FLAGS)
+    + ", protein * 4 / nullif(calories, 0), fat * 9 / nullif(calories, 0), rating, "
+    + ", ".join(f"CASE WHEN {c} > {c}_top THEN {c}_top WHEN {c} < {c}_low THEN {c}_low ELSE {c} END" for c in IMPUTED)
+    + "] AS x FROM hashed, sides, flagged WHERE rating IS NOT NULL)"
+)
+
+
+def newton_sql(models: str, rows: str = MODEL_ROWS_SQL, steps: int = 8, sweeps: int = 60) -> str:
     """CTEs up to ``fit``: (m, b) for models (m, left_out, strength, mix); b has the intercept first, on spreads of one.
 
     Each step adds up gradient and Hessian over the rows, then improves one coefficient after another.
     """
     w = WIDTH
     return (
-        MODEL_ROWS_SQL
+        rows
         + f""", models(m, left_out, strength, mix) AS (VALUES {models}),
     seen AS MATERIALIZED (SELECT m, x, y FROM models JOIN model_rows ON learned AND fold IS DISTINCT FROM left_out),
     long AS (SELECT m, i, x[i] AS v FROM seen, range(1, {w}) AS r(i)),
@@ -180,7 +196,10 @@ def score_sql(rows: str) -> str:
     return f"(SELECT *, b[1] + {parts} AS score FROM {rows})"
 
 
-PLAIN_SQL = newton_sql("(0, NULL::INT, 0.0::DOUBLE, 0.0::DOUBLE)") + f", predicted AS (SELECT title, y AS dessert, score, CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM {score_sql('(SELECT * FROM model_rows, fit WHERE NOT learned)')})"
+PREDICTED_SQL = f"predicted AS (SELECT title, y AS dessert, score, CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM {score_sql('(SELECT * FROM model_rows, fit WHERE NOT learned)')})"
+NO_PENALTY = "(0, NULL::INT, 0.0::DOUBLE, 0.0::DOUBLE)"
+PLAIN_SQL = f"{newton_sql(NO_PENALTY)}, {PREDICTED_SQL}"
+CUSTOM_SQL = f"{newton_sql(NO_PENALTY, CUSTOM_ROWS_SQL)}, {PREDICTED_SQL}"
 # Per score, highest first: rows of each label with it and down to it.
 STEPS_SQL = """stepped AS (SELECT score, hit, miss, sum(hit) OVER w AS hit_upto, sum(miss) OVER w AS miss_upto, sum(hit) OVER () AS hits, sum(miss) OVER () AS misses
     FROM (SELECT score, count(*) FILTER (WHERE dessert = 1) AS hit, count(*) FILTER (WHERE dessert <> 1) AS miss FROM predicted GROUP BY score)
@@ -359,7 +378,7 @@ def custom_rows(t: Tables):
     return P.with_ratios(clean, R.RATIOS, filler=None), R.telling_binaries(clean)
 
 
-@query("ml_pipeline_custom")
+@query("ml_pipeline_custom", CUSTOM_SQL + " SELECT title, dessert, prediction FROM predicted")
 def ml_pipeline_custom(t: Tables):
     rows, kept = custom_rows(t)
     _, predictions = R.fitted(rows, R.custom_stages(kept))

@@ -15,7 +15,7 @@ from tidemark.plans.shows import episodes, show_spans
 from tidemark.plans.weather import coldest_by_semi_join
 from tidemark.registry import query
 from tidemark.registry.aggregates import LETTERS_SQL
-from tidemark.registry.features import AREA_SQL, LABEL_RATES_SQL, PLAIN_SQL, STEPS_SQL, custom_rows
+from tidemark.registry.features import AREA_SQL, CUSTOM_SQL, LABEL_RATES_SQL, PLAIN_SQL, STEPS_SQL, custom_rows
 from tidemark.registry.rowsets import RATES_SQL
 from tidemark.registry.scans import WORDS_SQL
 from tidemark.storage import settled
@@ -339,7 +339,7 @@ def job_recipe_model(t: Tables):
     return verdict(t, R.newton_fitted(rows, kept)[1])
 
 
-@query("job_recipe_model_custom")
+@query("job_recipe_model_custom", f"{CUSTOM_SQL}, {STEPS_SQL} SELECT *, (SELECT {AREA_SQL} FROM stepped) AS area_under_roc FROM ({LABEL_RATES_SQL})")
 def job_recipe_model_custom(t: Tables):
     rows, kept = custom_rows(t)
     return verdict(t, R.saved_and_loaded(t.spark, *R.fitted(rows, R.custom_stages(kept)), rows))
