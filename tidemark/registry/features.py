@@ -198,8 +198,9 @@ def score_sql(rows: str) -> str:
 
 PREDICTED_SQL = f"predicted AS (SELECT title, y AS dessert, score, CASE WHEN score > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction FROM {score_sql('(SELECT * FROM model_rows, fit WHERE NOT learned)')})"
 NO_PENALTY = "(0, NULL::INT, 0.0::DOUBLE, 0.0::DOUBLE)"
-PLAIN_SQL = f"{newton_sql(NO_PENALTY)}, {PREDICTED_SQL}"
-CUSTOM_SQL = f"{newton_sql(NO_PENALTY, CUSTOM_ROWS_SQL)}, {PREDICTED_SQL}"
+# Without a penalty, features that go together need more rounds.
+PLAIN_SQL = f"{newton_sql(NO_PENALTY, steps=14, sweeps=100)}, {PREDICTED_SQL}"
+CUSTOM_SQL = f"{newton_sql(NO_PENALTY, CUSTOM_ROWS_SQL, steps=14, sweeps=100)}, {PREDICTED_SQL}"
 # Per score, highest first: rows of each label with it and down to it.
 STEPS_SQL = """stepped AS (SELECT score, hit, miss, sum(hit) OVER w AS hit_upto, sum(miss) OVER w AS miss_upto, sum(hit) OVER () AS hits, sum(miss) OVER () AS misses
     FROM (SELECT score, count(*) FILTER (WHERE dessert = 1) AS hit, count(*) FILTER (WHERE dessert <> 1) AS miss FROM predicted GROUP BY score)
