@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.functions.arrow_groups import GrowingMean, GrowingMedian, grown
 from tidemark.operators.ordered import attach, exact_quantiles, fits_one_task, group_sizes, ladder, number_rows, same_keys
 from tidemark.storage import settled
 
@@ -111,6 +112,39 @@ def growing(df: DataFrame, keys: Sequence[str], order: Sequence[str], measure: C
     return df.withColumns({n: measure(F.collect_list(v).over(w)) for n, v in columns.items()})
 
 
+def with_grown(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    name: str,
+    state: Callable,
+    whole: str | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """A Python aggregate over the group's values so far (peers included), and over the whole group as ``whole``.
+
+    ``state`` is a class of functions.arrow_groups. Each row goes to Python once. Groups above the limit, which
+    would keep one task busy, take built-in ways to the same results: GrowingMean from running totals,
+    GrowingMedian from value buckets. Any other state has none and streams.
+    """
+    step = "_step"
+    marked = df.withColumn(step, F.struct(*order))
+    if state in (GrowingMean, GrowingMedian) and not fits_one_task(df, keys, limit):
+        if state is GrowingMedian:
+            found = settled(_growing_medians(marked, keys, step, value, name, 100))
+        else:
+            sums = ladder(marked, keys, step, {"_sum": F.sum(value), "_known": F.count(value)}, limit)
+            found = settled(sums.select(*keys, step, F.try_divide("_sum_upto", "_known_upto").cast("double").alias(name)))
+    else:
+        found = settled(grown(df, keys, order, value, name, state).select(*keys, F.struct(*order).alias(step), name))
+    rows = attach(marked, found, [*keys, step], "left").drop(step)
+    if whole is None:
+        return rows
+    last = found.groupBy(*keys).agg(F.max_by(name, step).alias(whole))
+    return attach(rows, settled(last) if keys else last, keys, "left")
+
+
 def with_growing_median(
     df: DataFrame, keys: Sequence[str], step: str, value: str, name: str, limit: int = 500, buckets: int = 100
 ) -> DataFrame:

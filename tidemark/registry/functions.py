@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from tidemark.functions import mixed as M
 from tidemark.functions import udfs as U
+from tidemark.functions.arrow_groups import GrowingMedian, fitted_lines
 from tidemark.functions.numbers import ratio
+from tidemark.operators import windows as W
 from tidemark.registry import query
 from tidemark.registry.windows import CENTS, cents
 from tidemark.sources.tables import WEATHER_SQL, Tables, weather
@@ -121,19 +122,21 @@ def pudf_multi_iterator(t: Tables):
 SLOPE_SQL = WEATHER + "SELECT stn, year, mo, round(regr_slope(temp, CAST(da AS INT)), 6) AS slope{} FROM weather GROUP BY 1, 2, 3 HAVING count(*) > 1"
 
 
+def monthly_lines(t: Tables) -> DataFrame:
+    """Temperature by day for each station and month; moments leave Python, not readings."""
+    readings = weather(t.events).select("stn", "year", "mo", F.col("da").cast("int").alias("day"), "temp")
+    lines = fitted_lines(readings, ["stn", "year", "mo"], "day", "temp").where("slope is not null")
+    return lines.select("stn", "year", "mo", *[F.round(c, 6).alias(c) for c in ("slope", "intercept")])
+
+
 @query("pudf_agg", SLOPE_SQL.format(""))
 def pudf_agg(t: Tables):
-    day = F.col("da").cast("int")
-    fitted = weather(t.events).groupBy("stn", "year", "mo").agg(U.slope_of_group(day, F.col("temp")).alias("slope"))
-    return fitted.where("slope is not null").withColumn("slope", F.round("slope", 6))
+    return monthly_lines(t).drop("intercept")
 
 
 @query("pudf_agg_array", SLOPE_SQL.format(", round(regr_intercept(temp, CAST(da AS INT)), 6) AS intercept"))
 def pudf_agg_array(t: Tables):
-    day = F.col("da").cast("int")
-    fitted = weather(t.events).groupBy("stn", "year", "mo").agg(U.line_of_group(day, F.col("temp")).alias("fit"))
-    parts = fitted.select("stn", "year", "mo", F.round(F.col("fit")[0], 6).alias("slope"), F.round(F.col("fit")[1], 6).alias("intercept"))
-    return parts.where("slope is not null")
+    return monthly_lines(t)
 
 
 @query(
@@ -157,15 +160,7 @@ def pudf_group_map(t: Tables):
          median(temp) OVER (PARTITION BY stn, year ORDER BY mo, da) AS median_so_far FROM cents""",
 )
 def pudf_window(t: Tables):
-    whole = Window.partitionBy("stn", "year")
-    return cents(t).select(
-        "stn",
-        "mo",
-        "da",
-        "temp",
-        U.median_of_frame("temp").over(whole).alias("median_temp"),
-        U.median_of_frame("temp").over(whole.orderBy("mo", "da")).alias("median_so_far"),
-    )
+    return W.with_grown(cents(t).select("stn", "year", "mo", "da", "temp"), ["stn", "year"], ["mo", "da"], "temp", "median_so_far", GrowingMedian, "median_temp").drop("year")
 
 
 MIXED_SQL = """WITH mixed AS (SELECT event_id, CASE event_type WHEN 'click' THEN CAST((event_id % 7) AS VARCHAR)

@@ -13,6 +13,7 @@ from tidemark.operators.columns import filled_counts
 from tidemark.operators.ordered import collect_pages
 from tidemark.registry import query
 from tidemark.sources import files
+from tidemark.sources.json_arrays import read_json_arrays
 from tidemark.sources.tables import SHOWS_SQL, Tables, shows
 from tidemark.storage import new_folder
 
@@ -107,6 +108,15 @@ def scan_json_multiline(t: Tables):
     return files.read_json(t.spark, f"{path}/*.txt", whole_files=True)
 
 
+@query("scan_json_array_parallel", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+def scan_json_array_parallel(t: Tables):
+    path = new_folder(t.spark, "json-arrays")
+    document = F.struct("o_orderkey", "o_totalprice", "o_orderpriority")
+    pages = collect_pages(t.orders, ["o_orderpriority"], ["o_orderkey"], document, page_rows=100_000)
+    pages.select(F.to_json("items", {"pretty": "true"})).write.option("maxRecordsPerFile", 1).text(path)
+    return read_json_arrays(t.spark, f"{path}/*.txt", t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority").schema)
+
+
 EPISODE = T.StructType(
     [
         T.StructField("id", T.LongType()),

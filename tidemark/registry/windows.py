@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.udfs import mean_of_frame
+from tidemark.functions.arrow_groups import GrowingMean
 from tidemark.operators import windows as W
 from tidemark.operators.ordered import attach, number_rows
 from tidemark.plans.weather import READING, rows_at_extreme, rows_at_sliding_max
@@ -254,5 +254,4 @@ def win_median_growing(t: Tables):
     CENTS + "SELECT stn, mo, da, temp, avg(temp) OVER (PARTITION BY stn, year ORDER BY mo, da) AS mean_v FROM cents",
 )
 def win_mean_udaf(t: Tables):
-    upto = Window.partitionBy("stn", "year").orderBy("mo", "da")
-    return cents(t).select("stn", "mo", "da", "temp", mean_of_frame("temp").over(upto).alias("mean_v"))
+    return W.with_grown(cents(t).select("stn", "year", "mo", "da", "temp"), ["stn", "year"], ["mo", "da"], "temp", "mean_v", GrowingMean).drop("year")
