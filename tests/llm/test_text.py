@@ -464,6 +464,37 @@ def test_main_text_of_odd_pages(page):
     assert html_extraction.main_text("<div>" * 3000 + "deep") == "deep" and html_extraction.main_text("<p>a<p>b") == "a\n\nb"
 
 
+def test_named_containers_inside_the_text_need_more_than_a_word():
+    body = "".join(f"<p>Sentence number {k} has a good number of words in it.</p>" for k in range(6))
+    inner = "<section class='search'><p>How a search works is told at some length in this part of the article.</p></section>"
+    links = "<div class='related'><a href='/1'>One more</a> <a href='/2'>And another</a></div>"
+    page = f"""<body><article><div class="entry-header"><h1>Head</h1><span>by us, five minutes</span></div>{body}{inner}
+    <div class="ad">Buy</div><div class="share"><span>Tell</span> <span>all</span></div>{links}</article></body>"""
+    blocks = html_extraction.main_text(page).split("\n\n")
+    assert blocks[0] == "Head" and "five minutes" in blocks[1] and blocks[-1].startswith("How a search works") and len(blocks) == 9
+
+
+@pytest.mark.parametrize(
+    "bit", ["<a ", '<a "', "<a '\"", '<a ">"', "<a \">'>", "<div>", "</x", "</div>", "<b>", "<p", "<", "<!--", "<! ", "<script", "<script></script", "<td><div><b>", "<li><b>", '<div class="ad">', "<p><i></p>"]
+)
+def test_malformed_pages_take_linear_time(bit):
+    import time
+
+    began = time.process_time()
+    assert isinstance(html_extraction.main_text(bit * (300_000 // len(bit))), str)
+    for opened, later in [("<div>", "</x>"), ("<b>", "<p></p>"), ("<b>", "<td></td>")]:
+        html_extraction.main_text("<td><div>" + opened * 10_000 + bit * 100 + later * 10_000)
+    assert time.process_time() - began < 10
+
+
+def test_main_texts_of_rows_that_share_ids(spark):
+    rows = [(1, "u", "<p>One two three.</p>", "x"), (1, "u", "<p>Other text.</p>", "y"), (None, None, "<p>No id.</p>", None), (2, "u", None, "z"), (3, None, "", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extraction.main_texts(pages).collect())
+    assert got == [(0, "No id.", 6), (1, "One two three.", 14), (1, "Other text.", 11), (2, "", 0), (3, "", 0)]
+    assert html_extraction.main_texts(pages).columns == ["page_id", "url", "text", "n_chars"]
+
+
 def test_main_texts_on_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     import html

@@ -14,8 +14,12 @@ mostly links.
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments take no
 part: they are known by their tag or, for block containers that do not hold the densest element of the
 whole page, by a word of their class, id or role. Headings, paragraphs and inline elements have no words.
+Inside the main element only words for adverts, notices, comments and the like decide alone. A container with another
+of the words is part of the text if it is not mostly links and either as dense as the element around it, or holds the
+headline, or is mostly headings.
 
-Each page is worked alone, in Arrow batches, with an explicit stack (no recursion, any depth).
+Each page is worked alone, in Arrow batches, with an explicit stack (no recursion, any depth), in time linear in
+its length, however malformed it is.
 
 Defined cases. Null or empty html, and pages without text, give an empty text. Unclosed and stray tags
 are closed or skipped as browsers do for paragraphs, list items and cells. Rows are independent, so
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from math import e, log
 
 import pyarrow as pa
@@ -34,18 +39,20 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.frames import in_batches
 
-_MARK = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(?P<odd>/?[a-zA-Z][^\s/>]*)[^>]*>",
-    re.S,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:(?<=\s)|^)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _LEFT_OUT = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "object", "canvas", "audio", "video", "map"}
-_OUT_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
-    "disqus", "footer", "header", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo",
-    "related", "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "complementary", "contentinfo",
+# Words that say what a container is: adverts, notices, comments and page furniture, whatever their text is like.
+_SURE_WORDS = {
+    "ad", "ads", "advert", "adverts", "advertisement", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary", "consent", "contentinfo", "cookie",
+    "cookies", "disqus", "navbar", "newsletter", "notice", "pagination", "popup", "promo", "sidebar", "sponsor", "sponsored",
+}
+# Words that a part of an article may have too.
+_OUT_WORDS = _SURE_WORDS | {
+    "banner", "footer", "header", "login", "menu", "modal", "nav", "navigation", "related", "search", "share", "sharing", "social", "subscribe", "toolbar", "widget",
 }
 _BLOCKS = {
     "address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4",
@@ -66,91 +73,160 @@ _BARRIER = {"ul", "ol", "dl", "table", "body", "article", "main", "section", "di
 
 
 class Node:
-    __slots__ = ("tag", "parent", "out", "link", "chars", "tags", "link_chars", "link_tags", "children", "parts", "density", "named", "void")
+    __slots__ = ("tag", "parent", "out", "link", "chars", "tags", "link_chars", "link_tags", "head_chars", "headline", "children", "parts", "density", "named", "sure", "void")
 
     def __init__(self, tag: str, parent: "Node | None", out: bool, named: bool = False):
         self.tag, self.parent, self.out, self.named = tag, parent, out, named
         self.link = tag == "a" or bool(parent and parent.link)
-        self.chars = self.tags = self.link_chars = self.link_tags = self.void = 0
-        self.children, self.parts, self.density = [], [], 0.0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.head_chars = self.void = 0
+        self.children, self.parts, self.density, self.headline, self.sure = [], [], 0.0, False, False
 
 
-def _is_named(tag: str, rest: str) -> bool:
-    """A block container whose class, id or role has one of the words."""
+def _words(tag: str, rest: str) -> set[str]:
+    """Those words of class, id and role that may take out a block container."""
     if tag not in _CONTAINERS or "=" not in rest:
-        return False
-    return any(not _OUT_WORDS.isdisjoint(re.split(r"[^a-z]+", "".join(found).lower())) for found in _NAMES.findall(rest))
+        return set()
+    return {w for found in _NAMES.findall(rest) for w in re.split(r"[^a-z]+", "".join(found).lower())} & _OUT_WORDS
+
+
+class Marks:
+    """The marks of a page, one after another; nothing is looked at more than a fixed number of times.
+
+    What cannot follow is remembered: where the last ``>`` is, and the opening quotes from which no tag ends.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.endless = page, page.rfind(">"), set()
+
+    def after(self, at: int) -> tuple[int, int, str, str, bool] | None:
+        """(start, end, tag, attributes, whether it is an end tag) of the next mark; no tag for comments and the like."""
+        page = self.page
+        start = page.find("<", at)
+        while 0 <= start:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, (end + 3 if end >= 0 else len(page)), "", "", False
+            if start > self.last:  # only a comment can follow
+                start = page.find("<!--", start)
+                continue
+            found = _TAG.match(page, start)
+            if found:
+                end = self._close(found.end())
+                rest = page[found.end() : end] if end >= 0 else ""
+                return start, (end if end >= 0 else page.find(">", found.end())) + 1, found[2].lower(), rest, bool(found[1])
+            if page[start + 1] in "!?/":
+                return start, page.find(">", start) + 1, "", "", False
+            start = page.find("<", start + 1)
+        return None
+
+    def _close(self, at: int) -> int:
+        """Where the tag ends whose attributes begin here: the first ``>`` outside of quotes, or -1."""
+        seen = []
+        while found := _STOP.search(self.page, at):
+            if found[0] == ">":
+                return found.start()
+            if found.start() in self.endless:
+                break
+            seen.append(found.start())
+            at = self.page.find(found[0], found.end()) + 1
+            if not at:
+                break
+        self.endless.update(seen)
+        return -1
+
+    def past(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no markup."""
+        close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(self.page, at)
+        return self.page.find(">", close.end()) + 1 if close and close.end() <= self.last else len(self.page)
+
+
+class Path:
+    """The open elements, with the places of each tag and of the barriers among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places, self.barriers = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in _BARRIER:
+            self.barriers.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            node = self.nodes.pop()
+            self.places[node.tag].pop()
+            if node.tag in _BARRIER:
+                self.barriers.pop()
+
+    def end(self, tag: str) -> None:
+        """Close the innermost element of that tag; a stray end tag closes nothing."""
+        if self.places.get(tag):
+            self.cut(self.places[tag][-1])
+
+    def end_before(self, tags: set[str]) -> None:
+        """Close the outermost element of those tags inside the nearest barrier."""
+        lists = [self.places[t] for t in tags if self.places.get(t)]
+        inside = [places[k] for places in lists if (k := bisect_right(places, self.barriers[-1])) < len(places)]
+        if inside:
+            self.cut(min(inside))
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
-    """The root and all elements in page order; a part of an element is a text or a child."""
+    """The root and all elements in page order; a part of an element is a text or a child. Linear in the page."""
     root = Node("#root", None, False)
-    nodes, top, at = [root], root, 0
+    nodes, path, marks, at = [root], Path(root), Marks(page), 0
     while True:
-        found = _MARK.search(page, at)
-        text = page[at : found.start()] if found else page[at:]
+        found, top = marks.after(at), path.nodes[-1]
+        text = page[at : found[0]] if found else page[at:]
         if text and not top.out:
             top.parts.append(html.unescape(text))
         if not found:
             return root, nodes
-        at = found.end()
-        tag = found["tag"]
-        if tag is None:
-            tag = found["odd"]
-            if tag is None:
-                continue
-            end, rest = tag[0] == "/", ""
-            tag = tag.lstrip("/")
-        else:
-            end, rest = bool(found["end"]), found["rest"]
-        tag = tag.lower()
-        if end:
-            node = top
-            while node.parent and node.tag != tag:
-                node = node.parent
-            if node.parent:
-                top = node.parent
-            continue
-        if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+        _, at, tag, rest, is_end = found
+        if not tag:
             continue
-        if tag in _VOID:
+        if is_end:
+            path.end(tag)
+        elif tag in _RAW:
+            at = marks.past(tag, at)
+        elif tag in _VOID:
             if not top.out:
                 top.void += 1
                 top.parts.append(" " if tag != "hr" else "\n\n")
-            continue
-        closes = _ENDS.get(tag) or ({"p"} if tag in _BLOCKS else None)
-        if closes:
-            node, last = top, None
-            while node.parent and (node.tag in closes or node.tag not in _BARRIER and node.tag not in ("ul", "ol")):
-                if node.tag in closes:
-                    last = node
-                node = node.parent
-            if last:
-                top = last.parent
-        out = top.out or tag in _LEFT_OUT
-        node = Node(tag, top, out, not out and _is_named(tag, rest))
-        if not node.out:
-            top.children.append(node)
-            top.parts.append(node)
-            nodes.append(node)
-        top = node
+        else:
+            closes = _ENDS.get(tag) or ({"p"} if tag in _BLOCKS else None)
+            if closes:
+                path.end_before(closes)
+                top = path.nodes[-1]
+            out = top.out or tag in _LEFT_OUT
+            words = set() if out else _words(tag, rest)
+            node = Node(tag, top, out, bool(words))
+            node.sure = not words.isdisjoint(_SURE_WORDS)
+            if not out:
+                top.children.append(node)
+                top.parts.append(node)
+                nodes.append(node)
+            path.push(node)
 
 
 def _measure(nodes: list[Node]) -> None:
     """Counts from the leaves up, then densities."""
     for node in nodes:
-        node.chars = node.link_chars = node.link_tags = 0
+        node.chars = node.link_chars = node.link_tags = node.head_chars = 0
         node.tags = node.void
-        node.density = 0.0
+        node.density, node.headline = 0.0, False
     for node in reversed(nodes):
         own = sum(len("".join(p.split())) for p in node.parts if isinstance(p, str))
         node.chars += own
         node.link_chars += own if node.link else 0
+        node.head_chars = node.chars if node.tag in _HEADINGS else node.head_chars
+        node.headline = node.headline or (node.tag == "h1" and node.chars > 0)
         if node.parent:
             up = node.parent
             up.chars += node.chars
+            up.head_chars += node.head_chars
+            up.headline = up.headline or node.headline
             up.link_chars += node.link_chars
             up.tags += node.tags + 1
             up.link_tags += node.link_tags + (node.tag == "a")
@@ -166,7 +242,10 @@ def _measure(nodes: list[Node]) -> None:
 
 
 def _without_named(nodes: list[Node]) -> list[Node]:
-    """The elements outside named containers, but those that hold the densest element stay."""
+    """The elements outside named containers, but those that hold the densest element stay.
+
+    The others remain among the parts of their elements, with the measures they have.
+    """
     node = _densest(nodes)
     while node:
         node.named, node = False, node.parent
@@ -178,10 +257,14 @@ def _without_named(nodes: list[Node]) -> list[Node]:
     for node in left:
         if any(x.out for x in node.children):
             node.children = [x for x in node.children if not x.out]
-            node.parts = ["\n\n" if isinstance(x, Node) and x.out else x for x in node.parts]
     return left
 
 
+def _belongs(node: Node, top: Node) -> bool:
+    """Whether a named container inside the main element is part of the text after all."""
+    return not node.sure and 2 * node.link_chars <= node.chars and (node.density >= top.density or node.headline or 2 * node.head_chars >= node.chars)
+
+
 def _densest(nodes: list[Node]) -> Node:
     """The element with the largest sum of its children's densities; paragraphs, headings and inline elements are not asked."""
     return max((n for n in nodes if n.tag not in _LINES), key=lambda n: sum(x.density for x in n.children))
@@ -232,6 +315,8 @@ def main_text(page: str | None) -> str:
             now.append(part)
             if part == "\n\n":
                 end()
+        elif part.named and not _belongs(part, top):
+            end()
         elif not (part.tag in _BLOCKS and 2 * part.link_chars > part.chars and part.density < threshold):
             if part.tag in _BLOCKS:
                 end()
