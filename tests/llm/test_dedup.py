@@ -79,6 +79,46 @@ def test_sketch_agrees_with_similarity():
     assert abs((minhash_dedup.sketch(a) == minhash_dedup.sketch(b)).mean() - 0.75) < 0.12
 
 
+def test_second_look_leaves_out_no_similar_text():
+    """Sets longer than the list of least hashes, similarity around the limit: similar ones always stay."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    cut = lambda found: (found[: minhash_dedup.LEAST] >> np.uint64(32)).astype(np.uint32).tobytes()
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    left_out = 0
+    for n in (3, 40, 900, 4096, 4097, 9000, 30_000):
+        base = np.unique(draw(n))
+        sets = [base]
+        for share in (1.0, 0.99, 0.9, 0.87, 0.86, 0.855, 0.85, 0.84, 0.8, 0.7, 0.5, 0.0):
+            kept = base[rng.permutation(n)[: round(n * share)]]
+            sets += [np.unique(np.concatenate((kept, draw(n - len(kept))))), np.sort(kept)] if len(kept) else [np.unique(draw(n))]
+        parts, reps = np.arange(len(sets)), np.arange(len(sets)) + 100
+        others = minhash_dedup.Others(parts, reps, np.array([len(x) for x in sets]), [cut(x) for x in sets])
+        for i, x in enumerate(sets):
+            got = set(others.possible(i, len(x), cut(x)).tolist())
+            want = {100 + j for j, y in enumerate(sets) if j != i and 100 * (both := len(np.intersect1d(x, y))) >= 75 * (len(x) + len(y) - both)}
+            assert want <= got and 100 + i not in got
+            left_out += len(sets) - 1 - len(got)
+            if n == 900:
+                assert len(got - want) <= 2
+    assert left_out > 500
+
+
+def test_near_duplicates_of_long_template_texts(make_docs):
+    """Texts of 6,000 words from one template, at similarities just below and just above the limit."""
+    rng = random.Random(31)
+    base = sentence(rng, 6000).split(" ")
+    texts = [" ".join(base)]
+    for k in range(5):
+        for changed in (165, 170, 178, 186):  # each changed word replaces five shingles
+            words = list(base)
+            for at in rng.sample(range(0, 6000, 5), changed):
+                words[at] = f"w{k}x{at}"
+            texts.append(" ".join(words))
+    check_near(make_docs, texts)
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 460)] + [(None, 3), (5, None), (7, 7)]

@@ -10,9 +10,10 @@ as a rule the text that the others were made from. Candidates are measured on fu
 
 No link is lost to the stars. Buckets that hold several components after the first round are looked at
 again: their members outside the main component meet all members of other components, in blocks, and
-pairs that cannot be similar enough go no further. For this a text brings its 256 least shingle hashes:
-all of a shorter text, which gives a bound without error; of a longer one a sample, and a pair is ruled
-out at five standard deviations below 0.75.
+pairs that cannot be similar enough go no further. For this a text brings its 4,096 least shingle hashes.
+Below the least hash at which either list ends, what two texts share is known; above it they share at
+most what the smaller one has left. A pair goes no further only if even that is not enough, so no text,
+however long, loses a link here, and pairs of texts within the 4,096 are judged almost exactly.
 
 Chance of missing a link of similarity 0.75: (1 - 0.75**5)**48 = 2e-6.
 
@@ -42,7 +43,7 @@ from tidemark.operators.ordered import join_facts
 
 SHINGLE, ROWS, BANDS, PERCENT = 5, 5, 48, 75
 BINS = ROWS * BANDS
-LEAST = 256
+LEAST = 4096
 _EDGES = (np.arange(1, BINS, dtype=object) * 2**64 // BINS).astype(np.uint64)
 _PROBES = np.random.default_rng(6).integers(0, BINS, (2048, BINS))
 _BAND = K.mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -154,27 +155,42 @@ class Others:
     """Members of a block that others are compared with, by their least shingle hashes."""
 
     def __init__(self, part: np.ndarray, rep: np.ndarray, n: np.ndarray, sketches: list[bytes]):
-        self.part, self.rep, self.n = part, rep, n
         own = [np.frombuffer(x, np.uint32) for x in sketches]
-        self.first = np.cumsum([0, *(len(x) for x in own[:-1])])
-        self.hashes = np.concatenate(own)
+        order = np.argsort(n, kind="stable")  # members of like size stand together
+        self.part, self.rep, self.n = part[order], rep[order], n[order].astype(np.int64)
+        own = [own[i] for i in order.tolist()]
         self.sizes = np.array([len(x) for x in own])
-        self.last = np.array([int(x[-1]) if n > len(x) else 2**32 for x, n in zip(own, n)])
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+        self.hashes = np.concatenate(own)
+        self.end = np.array([_known_below(x, n) for x, n in zip(own, self.n.tolist())])
         self.mark = np.zeros(1 << 20, bool)
 
     def possible(self, part, n: int, sketch: bytes) -> np.ndarray:
-        """The members in other parts that sizes and least hashes do not rule out."""
+        """The members in other parts that may be similar enough; none that is similar is left out."""
+        n = int(n)
+        lo = int(np.searchsorted(100 * self.n, PERCENT * n))
+        hi = int(np.searchsorted(PERCENT * self.n, 100 * n, side="right"))
+        if lo == hi:
+            return self.rep[:0]
         mine = np.frombuffer(sketch, np.uint32)
-        upto = np.minimum(self.last, int(mine[-1]) if n > len(mine) else 2**32)
+        below = np.minimum(self.end[lo:hi], _known_below(mine, n))
+        hashes = self.hashes[self.first[lo] : self.first[hi]]
+        starts = self.first[lo:hi] - self.first[lo]
+        inside = hashes < np.repeat(below, self.sizes[lo:hi])
         self.mark[mine >> 12] = True
-        inside = self.hashes <= np.repeat(upto, self.sizes)
-        both = np.add.reduceat(self.mark[self.hashes >> 12] & inside, self.first, dtype=np.int64)  # equal leading bits: no less than the truth
+        both = np.add.reduceat(self.mark[hashes >> 12] & inside, starts, dtype=np.int64)  # equal leading bits: no less than the truth
         self.mark[mine >> 12] = False
-        either = np.maximum(1, np.add.reduceat(inside, self.first, dtype=np.int64) + np.searchsorted(mine, upto, side="right") - both)
-        share = PERCENT / 100
-        slack = np.where(upto == 2**32, 0, 5 * np.sqrt(share * (1 - share) / either))
-        sizes = 100 * np.minimum(n, self.n) >= PERCENT * np.maximum(n, self.n)
-        return self.rep[sizes & (self.part != part) & (both >= (share - slack) * either - 1e-9)]
+        known = np.add.reduceat(inside, starts, dtype=np.int64)
+        own = np.searchsorted(mine, below)
+        sizes = self.n[lo:hi]
+        most = np.minimum(both, own) + np.minimum(sizes - known, n - own)
+        near = (100 + PERCENT) * most >= PERCENT * (sizes + n)
+        return self.rep[lo:hi][near & (self.part[lo:hi] != part)]
+
+
+def _known_below(least: np.ndarray, n: int) -> int:
+    """The value below which a sorted list of least hashes holds all of a set of ``n``."""
+    return 2**32 if n <= len(least) else int(least[-1])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
