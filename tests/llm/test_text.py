@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -289,15 +290,58 @@ def test_edits_follow_the_text(tokenizer):
             tree.replace(a, b, new)
             assert tree.text == want and tree.total == len(tokenizer.encode(want, add_special_tokens=False).ids)
             pieces = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", want)]
-            assert list(zip(tree.begins, tree.ends)) == pieces
+            assert spans_of(tree) == pieces
             k = rng.randint(0, len(pieces))
-            assert tree.tokens_before(k) == sum(tree.sums[tree.size : tree.size + k])
+            assert tree.tokens_before(k) == len(tokenizer.encode(want[: pieces[k - 1][1]] if k else "", add_special_tokens=False).ids)
+
+
+def spans_of(tree):
+    base, out = 0, []
+    for leaf in tree.leaves:
+        out += [(a + base, b + base) for a, b in zip(*leaf.spans)]
+        base += len(leaf.text)
+    return out
+
+
+def test_edits_over_many_leaves(tokenizer, monkeypatch):
+    """Small leaves that are emptied, joined and split; edits that meet their borders and the text's ends."""
+    monkeypatch.setattr(token_counts, "LEAF", 2)
+    rng, coder = random.Random(14), encoder(vocabulary_path())
+    for _ in range(40):
+        text = "".join(rng.choice(["the", "éa", "x", " ", "  ", "\n", "don't", " a b "]) for _ in range(rng.randint(0, 60)))
+        tree = token_counts.TokenTree(text, coder)
+        for _ in range(25):
+            a = rng.choice([0, len(text), rng.randint(0, len(text)), sum(len(x.text) for x in tree.leaves[: rng.randint(0, len(tree.leaves))])])
+            b = min(len(text), a + rng.choice([0, 0, 1, 2, 5, 30]))
+            new = rng.choice(["", "", " ", "q", " ü ", "one two three four five six"])
+            text = text[:a] + new + text[b:]
+            tree.replace(a, b, new)
+            pieces = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+            assert tree.text == text and spans_of(tree) == pieces
+            assert tree.total == len(tokenizer.encode(text, add_special_tokens=False).ids)
+            k = rng.randint(0, len(pieces))
+            assert tree.tokens_before(k) == len(tokenizer.encode(text[: pieces[k - 1][1]] if k else "", add_special_tokens=False).ids)
+
+
+def test_ten_thousand_edits_of_a_long_text(tokenizer):
+    rng, coder = random.Random(15), encoder(vocabulary_path())
+    text = " ".join(rng.choice(["the", "thonation", "x", "don't", "a,b"]) for _ in range(240_000))
+    tree, begin = token_counts.TokenTree(text, coder), time.perf_counter()
+    size = len(text)
+    for _ in range(10_000):
+        a = rng.randint(0, size)
+        b = min(size, a + rng.randint(0, 9))
+        new = rng.choice(["", "q", " new words "])
+        tree.replace(a, b, new)
+        size += len(new) - (b - a)
+    assert time.perf_counter() - begin < 10 and tree.encoded < 60_000
+    assert len(tree.text) == size and tree.total == len(tokenizer.encode(tree.text, add_special_tokens=False).ids)
 
 
 def test_masking_edits(spark, make_docs, tokenizer):
     texts = [*ODD, "mail a.b@c.org and 10.0.0.1, twice: a.b@c.org!", "id 1234567890 1234567890 " + "ab" * 20, "no-one@nowhere x"]
     docs = make_docs(texts)
-    rows = {r.doc_id: r for r in token_counts.edited_counts(docs.select("doc_id", "text", token_counts.masking_edits("text").alias("edits"))).collect()}
+    rows = {r.doc_id: r for r in token_counts.masked_counts(docs).collect()}
     for i, text in enumerate(texts):
         new, n = re.subn(token_counts.PRIVATE, "[masked]", text or "")
         size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)

@@ -20,7 +20,7 @@ from tidemark.llm.quality_classifier import quality_scores
 from tidemark.llm.quality_rules import cleaned
 from tidemark.llm.source_mixing import mixed
 from tidemark.llm.suffix_dedup import without_repeats
-from tidemark.llm.token_counts import edited_counts, masking_edits
+from tidemark.llm.token_counts import masked_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,8 +97,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op8_token_counts")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    docs = read_table(spark, folder, "documents")
-    return edited_counts(docs.select("doc_id", "text", masking_edits("text").alias("edits")))
+    return masked_counts(read_table(spark, folder, "documents"))
 
 
 @query("op3_lm_scoring")
@@ -180,7 +179,8 @@ headed as (
 ), prefixes as (select conv_id, len(p) as total, d, p[1 : d] as node from (select conv_id, p, unnest(range(0, len(p) + 1)) as d from paths)
 ), nodes as (
   select node, d, min(conv_id) as id, count(*) as n, string_agg(conv_id::varchar, ',' order by conv_id) filter (where total = d) as ends,
-    case when d > 0 then len(regexp_extract_all(node[d].text, '[^ 	-]+')) else 0 end as words
+    case when d > 0 then len(regexp_extract_all(node[d].text, '[^ 	-
+]+')) else 0 end as words
   from prefixes group by node, d
 ), children as (select node[1 : d - 1] as node, count(*) as c from nodes where d > 0 group by 1),
 facts as (select n.*, coalesce(c.c, 0) as c from nodes n left join children c on c.node = n.node),
