@@ -134,7 +134,7 @@ def learn(labelled: DataFrame, most_docs: int = MOST_DOCS, rarest: int = RAREST)
     drawn = usable.where(spread < share[F.col("lang")]).select("text", "lang")
     counts = in_batches(drawn, _gram_counts, "lang string, n int, gram long, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("c"))
     totals = counts.groupBy("lang", "n").agg(F.sum("c").alias("total"))
-    rows = counts.join(totals, ["lang", "n"]).where((F.col("c") * rarest >= F.col("total")) & ((F.col("c") > 2) | (F.col("total") < 100_000))).select("lang", "gram").collect()
+    rows = counts.join(totals, ["lang", "n"]).where(F.col("c") * rarest >= F.col("total")).select("lang", "gram").collect()
     sets: dict[str, list] = {lang: [] for lang in sizes}
     for r in rows:
         sets[r.lang].append(r.gram)
