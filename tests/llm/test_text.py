@@ -409,6 +409,22 @@ def test_attention_learns_from_every_window_of_long_texts(spark):
     assert (net.embed[30_000] == before["embed"][30_000]).all()
 
 
+def test_attention_takes_a_step_for_every_block_without_a_start(spark):
+    ids = np.array([5, 6, 7, 900, 6, 30_000] * 700, np.uint16)  # the class behind 6 depends on the id before it
+    rows = [(k, lm_scoring._squeezed(ids[k % 6 :])) for k in range(64)]
+    _, _, model = small_model()
+    losses = lm_scoring.learn_from_all(model.attention, np.arange(lm_scoring.VOCABULARY) % lm_scoring.CLASSES, spark.createDataFrame(rows, "key long, ids binary").repartition(1))
+    assert losses[-1] < 0.4 * losses[0]
+
+
+def test_scores_come_from_the_attention_whatever_the_parameters(make_docs):
+    docs = make_docs([" ".join(["the", "sea", "of", "rare%d" % (i % 9)] * (i % 30)) for i in range(80)])
+    with pytest.raises(TypeError):
+        lm_scoring.scored_texts(docs, attention=False)
+    rows = lm_scoring.scored_texts(docs, drawn_windows=0).collect()
+    assert len(rows) == 80 and all(r.score < 0 and math.isfinite(r.score) for r in rows)
+
+
 def small_model():
     rng = np.random.default_rng(0)
     docs = [np.array(rng.choice([5, 6, 7, 900], size=n), np.uint16) for n in (0, 1, 15, 16, 17, 40, 200)]

@@ -17,10 +17,12 @@ Every pair counts. At most four million pairs (those with at least that part of
 the others add to a text comes by a shuffle join of their counts with the text's own pairs. The driver
 gets tables that the vocabulary bounds: ids, pairs behind the 96 commonest ids, ids by class.
 
-The attention learns in two parts. ``drawn_windows`` windows, drawn from those of all training documents
-whatever their length, give it a start on the driver (``steps`` batches); rows of ids that were not drawn
-begin at the mean row. Then every training window is used ``PASSES`` times: documents are dealt into
-``SLICES`` by hash, tasks add up the gradients of a slice, and the driver takes one step for it.
+The attention learns from every training window. ``drawn_windows`` windows, drawn from those of all training
+documents whatever their length, only give it a start on the driver (``steps`` batches); rows of ids that were
+not drawn begin at the mean row. Then every training window is used ``PASSES`` times: documents are dealt into
+``SLICES`` by hash; over a slice each task moves its own weights block by block, so the number of steps grows
+with the documents, and the driver takes the mean of the tasks' moves, by positions, of an id's row by how often
+each task met the id.
 
 Bounds. ``COMMON`` common words, the four million pairs and the weights (one row per id) are broadcast; the
 drawn windows are gathered. Counts and gradients cover all training documents.
@@ -32,6 +34,8 @@ documents counts are zero and the weights stay as drawn. Extra columns are ignor
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -371,6 +375,20 @@ class Attention:
         self.embed[seen == 0] = seen @ self.embed / seen.sum()
         return losses
 
+    def copied(self) -> Attention:
+        """The same weights in arrays that may be moved in place."""
+        own = copy.copy(self)
+        for n in self.NAMES:
+            setattr(own, n, getattr(self, n).copy())
+        return own
+
+    def move(self, grads: dict, squares: dict, rate: float) -> None:
+        """One step in place by sparse gradients; ``squares`` holds the sums of their squares so far (Adagrad)."""
+        for n, g in grads.items():
+            at, g = g if n == "embed" else (slice(None), g)
+            squares[n][at] += g * g
+            getattr(self, n)[at] -= rate * g / (np.sqrt(squares[n][at]) + 1e-8)
+
     def flat(self, arrays: dict) -> np.ndarray:
         return np.concatenate([np.asarray(arrays[n], float).reshape(-1) for n in self.NAMES])
 
@@ -437,11 +455,16 @@ def _drawn(share: float):
     return work
 
 
-def _gradient_sums(sent, group):
-    """Gradients of all windows of the task, added up, in chunks; the last values are positions and loss."""
+def _gradient_sums(sent, group, rate: float = 0.0):
+    """Gradients of all windows of the task, added up, in chunks; behind them positions, loss, occurrences of ids.
+
+    With a ``rate`` the weights move after each block, and instead of gradients come the task's moves: those of
+    an id's row times its occurrences, all others times the positions.
+    """
 
     def run(batches):
-        net, own, total, loss_sum, positions = sent.value, group.value, None, 0.0, 0
+        net, own, total, loss_sum, positions = sent.value.copied() if rate else sent.value, group.value, None, 0.0, 0
+        squares, seen = {k: np.zeros_like(getattr(net, k)) for k in net.NAMES}, np.zeros(VOCABULARY)
         for batch in batches:
             blobs = batch["ids"].to_pylist()
             for i in range(0, len(blobs), 200):
@@ -452,13 +475,19 @@ def _gradient_sums(sent, group):
                     loss, grads = net.gradients(here[:, :-1], own[here[:, 1:]], m, sparse=True)
                     n = int(m.sum())
                     total = total or {k: np.zeros(getattr(net, k).shape) for k in net.NAMES}
-                    at, rows = grads.pop("embed")
-                    total["embed"][at] += rows * n
-                    for k, g in grads.items():
-                        total[k] += g * n
+                    if rate:
+                        net.move(grads, squares, rate)
+                        seen += np.bincount(here[:, :-1][m], minlength=VOCABULARY)
+                    else:
+                        at, rows = grads.pop("embed")
+                        total["embed"][at] += rows * n
+                        for k, g in grads.items():
+                            total[k] += g * n
                     loss_sum, positions = loss_sum + loss * n, positions + n
         if total:
-            whole = np.append(net.flat(total), (positions, loss_sum))
+            if rate:
+                total = {k: (getattr(net, k).astype(float) - getattr(sent.value, k)) * (seen[:, None] if k == "embed" else positions) for k in net.NAMES}
+            whole = np.concatenate((net.flat(total), (positions, loss_sum), seen))
             parts = np.append(whole, np.zeros(-len(whole) % CHUNK)).reshape(-1, CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([_squeezed(x) for x in parts], pa.binary())], ["chunk", "counts"])
 
@@ -466,22 +495,25 @@ def _gradient_sums(sent, group):
 
 
 def learn_from_all(net: Attention, group: np.ndarray, trained: DataFrame) -> list[float]:
-    """One step for the summed gradients of each slice of ``trained`` (key, ids); mean losses before the steps."""
-    context, adam, losses = trained.sparkSession.sparkContext, Adam(net), []
+    """The mean moves of tasks over each slice of ``trained`` (key, ids); mean losses on the way."""
+    context, losses = trained.sparkSession.sparkContext, []
     groups, schema = context.broadcast(group), "chunk long, counts binary"
-    # A step uses a sixteenth of each split, and each task sends a gradient of all ids: four splits share a task.
+    # A round uses a sixteenth of each split, and each task sends moves of all ids: four splits share a task.
     tasks = max(context.defaultParallelism, trained.rdd.getNumPartitions() // 4)
     for step in range(PASSES * SLICES):
         part = trained.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(SLICES)) == step % SLICES).select("ids").coalesce(tasks)
-        sent = context.broadcast(net)
-        found = part.mapInArrow(_gradient_sums(sent, groups), schema).repartition("chunk").mapInArrow(_added_up(float), schema).collect()
+        sent, rate = context.broadcast(net), RATE * (1 - step / (PASSES * SLICES))
+        found = part.mapInArrow(_gradient_sums(sent, groups, rate), schema).repartition("chunk").mapInArrow(_added_up(float), schema).collect()
         sent.destroy()
         if found:
             values = np.concatenate([np.frombuffer(bytes(r["counts"]), float) for r in sorted(found, key=lambda r: r.chunk)])
             end = sum(getattr(net, n).size for n in net.NAMES)
             positions, loss = values[end : end + 2]
+            seen = values[end + 2 : end + 2 + VOCABULARY]
             losses.append(loss / positions)
-            adam.move(net.unflat(values[:end] / positions), RATE * (1 - step / (PASSES * SLICES)))
+            for n, moves in net.unflat(values[:end]).items():
+                weight = np.maximum(seen, 1)[:, None] if n == "embed" else positions
+                setattr(net, n, (getattr(net, n) + moves / weight).astype(np.float32))
     return losses
 
 
@@ -499,8 +531,7 @@ class Scorer:
         if totals is None:
             totals = np.bincount((pairs >> 16) * CLASSES + self.group[pairs & 0xFFFF], counts, (1 << 16) * CLASSES)
         self.totals = totals.astype(np.float32)
-        self.shares = np.bincount(self.group, smooth, CLASSES) / smooth.sum()
-        self.attention: Attention | None = Attention()
+        self.attention = Attention()
         self._table = None
 
     def __getstate__(self):
@@ -535,7 +566,7 @@ class Scorer:
         ids, first, doc, at, scored = self.inputs(blobs)
         out = np.zeros(len(blobs))
         # In all windows but a text's first, the positions of the overlap are context only.
-        for start, some in ((0, np.flatnonzero(scored[:, 0])), (OVERLAP, np.flatnonzero(~scored[:, 0]))) if self.attention else ():
+        for start, some in ((0, np.flatnonzero(scored[:, 0])), (OVERLAP, np.flatnonzero(~scored[:, 0]))):
             for a in range(0, len(some), block):
                 pick = some[a : a + block]
                 here, mask = at[pick], scored[pick, start:]
@@ -548,10 +579,6 @@ class Scorer:
         of = np.repeat(np.arange(len(blobs)), np.diff(first) - 1)
         before, ids = ids[:-1][ok], ids[1:][ok]
         out += np.bincount(of, self.inside(before, ids), len(blobs))
-        if not self.attention:
-            seen, own = self.totals.reshape(-1, CLASSES)[before], self.group[ids]
-            classes = (seen[np.arange(len(own)), own] + PAIR_WEIGHT * self.shares[own]) / (seen.sum(axis=1) + PAIR_WEIGHT)
-            out += np.bincount(of, np.log(classes), len(blobs))
         return out / np.log(10)
 
 
@@ -583,11 +610,8 @@ def _table_of(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return number.to_numpy().astype(np.int64), n.to_numpy().astype(float)
 
 
-def scored_texts(docs: DataFrame, path: str | None = None, drawn_windows: int = DRAWN_WINDOWS, steps: int = STEPS, attention: bool = True) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``.
-
-    Without ``attention`` the class of an id comes from counts behind the last id, to tell what attention adds.
-    """
+def scored_texts(docs: DataFrame, path: str | None = None, drawn_windows: int = DRAWN_WINDOWS, steps: int = STEPS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``docs``."""
     spark = docs.sparkSession
     held = F.coalesce(id_lot("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out")
     text = F.coalesce("text", F.lit("")).alias("text")
@@ -631,9 +655,7 @@ def scored_texts(docs: DataFrame, path: str | None = None, drawn_windows: int =
     totals[place] = n
     held_pairs, held_counts = _table_of(pairs.where(F.col("n") * PAIR_SHARE >= total).orderBy("pair"))
     model = Scorer(single, held_pairs, held_counts, group, totals)
-    if not attention:
-        model.attention = None
-    elif total:
+    if total:
         share = min(1.0, drawn_windows / (total / WINDOW + n_train))
         drawn = in_batches(trained.select("key", "ids"), _drawn(share), "window binary, positions long").orderBy("window", "positions").toArrow()
         ids = np.frombuffer(b"".join(drawn["window"].to_pylist()), np.uint16).astype(np.int32).reshape(-1, WINDOW + 1)
