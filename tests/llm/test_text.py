@@ -409,6 +409,24 @@ def test_attention_learns_from_every_window_of_long_texts(spark):
     assert (net.embed[30_000] == before["embed"][30_000]).all()
 
 
+def test_words_with_marks_are_encoded_by_parts(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import word_tokens
+
+    coder, met = word_tokens.WordEncoder(word_tokens.vocabulary_path()), []
+    encoded = coder._encoded
+    monkeypatch.setattr(coder, "_encoded", lambda pieces: met.extend(pieces) or encoded(pieces))
+    rng = random.Random(6)
+    odd = ["sea", "Sea", "'s", "'", "l", "é", "É", "\u0301", "İ", "ſ", "Σ", "<|endoftext|>", "<|", "|>", "!", "...", "=\u0338", "7", "中", "»", "\x1c", "#" * 12]
+    texts = ["sea sea, sea,", *(" ".join("".join(rng.choices(odd, k=rng.randint(1, 6))) for _ in range(4)) for _ in range(3000))]
+    for text in texts:
+        part = next(kernels.slices(pa.array([text])))
+        found = coder.spread(coder.words(part.data, part.offsets)[1])
+        assert found.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert b"sea" in met and b"sea," not in met and len(set(met)) == len(met)
+
+
 def test_attention_takes_a_step_for_every_block_without_a_start(spark):
     ids = np.array([5, 6, 7, 900, 6, 30_000] * 700, np.uint16)  # the class behind 6 depends on the id before it
     rows = [(k, lm_scoring._squeezed(ids[k % 6 :])) for k in range(64)]

@@ -38,13 +38,13 @@ import copy
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
 from tidemark.llm.frames import id_lot, in_batches, settled
 from tidemark.llm.word_tokens import encoder, vocabulary_path
+from tidemark.storage import new_folder
 
 FOLDS, HELD_OUT = 7, 2
 END, VOCABULARY = 49407, 49408
@@ -71,11 +71,12 @@ def _sample_words(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _squeezed(array: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(array.tobytes())
+    """Plain bytes: Parquet and the shuffle compress many rows at once for much less than each row by itself."""
+    return array.tobytes()
 
 
 def _unsqueezed(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+    return np.frombuffer(blob, kind)
 
 
 def _tokens(path: str, common):
@@ -96,8 +97,8 @@ def _tokens(path: str, common):
             known = place >= 0
             pairs, n = np.unique((text[known] << 32) | place[known], return_counts=True)
             cuts = np.searchsorted(pairs, np.arange(len(part) + 1) << 32)
-            both = np.stack((pairs & 0xFFFFFFFF, n)).astype(np.uint32)
-            often += [_squeezed(np.ascontiguousarray(both[:, a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+            both = np.stack((pairs & 0xFFFFFFFF, n), axis=1).astype(np.uint32)
+            often += [_squeezed(both[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
             left = np.flatnonzero(~known)
             _, first, n = np.unique(K.mixed(hashes[left] ^ K.mixed(text[left].astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
             order = np.argsort(text[left][first], kind="stable")
@@ -156,13 +157,19 @@ def _rare_shares(batches):
         yield shares(*held)
 
 
+def _often(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, times, row) of the common words of all documents of the batch."""
+    blobs = batch["often"].to_pylist()
+    place, n = _unsqueezed(b"".join(blobs), np.uint32).reshape(-1, 2).T.astype(np.int64)
+    return place, n, np.repeat(np.arange(len(blobs)), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 8)
+
+
 def _common_counts(size: int):
     def run(batches):
         total = np.zeros(-(-max(1, size) // CHUNK) * CHUNK, np.int64)
         for batch in batches:
-            for blob in batch["often"].to_pylist():
-                place, n = _unsqueezed(blob, np.uint32).reshape(2, -1)
-                total[place] += n
+            place, n, _ = _often(batch)
+            total += np.bincount(place, n, len(total)).astype(np.int64)
         parts = total.reshape(-1, CHUNK)
         seen = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([_squeezed(parts[i]) for i in seen], pa.binary())], ["chunk", "counts"])
@@ -183,11 +190,9 @@ def _added_up(kind=np.int64):
 
 def _sequences(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of documents in a row, each between two ends; and where each document begins."""
-    parts, mark = [], np.array([END], np.uint16)
-    for blob in blobs:
-        parts += [mark, _unsqueezed(blob, np.uint16), mark]
-    sizes = np.array([len(parts[i + 1]) + 2 for i in range(0, len(parts), 3)], np.int64)
-    return np.concatenate(parts).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
+    mark = np.array([END], np.uint16).tobytes()
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 2 + 2
+    return _unsqueezed(mark + (mark + mark).join(blobs) + mark, np.uint16).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
 
 
 def _pair_counts(batches):
@@ -306,18 +311,18 @@ class Attention:
 
     def forward(self, ids: np.ndarray, keep: bool = False, start: int = 0):
         """Logits of the class behind each position from ``start`` on; ids: (windows, WINDOW)."""
-        x = self.embed[ids] + self.place
-        flat = x.reshape(-1, WIDTH)
-        k, v = ((flat @ w).reshape(x.shape) for w in (self.wk, self.wv))
-        asked = np.ascontiguousarray(x[:, start:]) if start else x
-        q = (asked.reshape(-1, WIDTH) @ (self.wq * np.float32(WIDTH**-0.5))).reshape(asked.shape)
+        x = self.embed.take(ids, axis=0)
+        x += self.place
+        projected = (x.reshape(-1, WIDTH) @ np.hstack((self.wq * np.float32(WIDTH**-0.5), self.wk, self.wv))).reshape(*ids.shape, 3 * WIDTH)
+        q, k, v = projected[:, start:, :WIDTH], projected[:, :, WIDTH : 2 * WIDTH], projected[:, :, 2 * WIDTH :]
+        asked = x[:, start:]
         a = _exponentials(np.matmul(q, k.transpose(0, 2, 1)))
         a *= self.seen[start:]
         a /= _row_sums(a)
         mixed = np.matmul(a, v)
-        h = asked + (mixed.reshape(-1, WIDTH) @ self.wo).reshape(asked.shape)
-        logits = (h.reshape(-1, WIDTH) @ self.out).reshape(*asked.shape[:2], CLASSES)
-        logits += self.bias
+        h = np.ones((*asked.shape[:2], WIDTH + 1), x.dtype)  # the last column is for the bias
+        np.add(asked, (mixed.reshape(-1, WIDTH) @ self.wo).reshape(asked.shape), out=h[:, :, :WIDTH])
+        logits = (h.reshape(-1, WIDTH + 1) @ np.vstack((self.out, self.bias))).reshape(*asked.shape[:2], CLASSES)
         return (logits, (x, q, k, v, a, mixed, h)) if keep else logits
 
     def gradients(self, ids: np.ndarray, goal: np.ndarray, weight: np.ndarray, sparse: bool = False) -> tuple[float, dict]:
@@ -336,25 +341,27 @@ class Attention:
         d = p
         d *= scale * share[:, :, None]
         d.reshape(-1)[at] -= share.reshape(-1)
-        out = {"out": flat(h).T @ flat(d), "bias": np.ones(goal.size, np.float32) @ flat(d)}
+        both = flat(h).T @ flat(d)
+        out = {"out": both[:-1], "bias": both[-1]}
         dh = (flat(d) @ self.out.T).reshape(x.shape)
         out["wo"] = flat(mixed).T @ flat(dh)
         dmixed = (flat(dh) @ self.wo.T).reshape(x.shape)
-        dv = np.matmul(a.transpose(0, 2, 1), dmixed)
+        turned = np.empty((*x.shape[:2], 3 * WIDTH), x.dtype)  # gradients of q, k and v side by side
+        np.matmul(a.transpose(0, 2, 1), dmixed, out=turned[:, :, 2 * WIDTH :])
         ds = np.matmul(dmixed, v.transpose(0, 2, 1))
         ds -= _row_sums(dmixed * mixed)  # the same as the sums of the gradient of a times a
         ds *= a
         # q holds the scale of the products already.
-        dq, dk = np.matmul(ds, k) * np.float32(WIDTH**-0.5), np.matmul(ds.transpose(0, 2, 1), q)
+        np.matmul(ds, k * np.float32(WIDTH**-0.5), out=turned[:, :, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=turned[:, :, WIDTH : 2 * WIDTH])
+        out["wq"], out["wk"], out["wv"] = np.split(flat(x).T @ flat(turned), 3, axis=1)
         dx = dh
-        for name, grad in (("wq", dq), ("wk", dk), ("wv", dv)):
-            out[name] = flat(x).T @ flat(grad)
-            dx = dx + (flat(grad) @ getattr(self, name).T).reshape(x.shape)
+        dx += (flat(turned) @ np.hstack((self.wq, self.wk, self.wv)).T).reshape(x.shape)
         out["place"] = dx.sum(axis=0)
         order = np.argsort(ids.astype(np.uint16), axis=None, kind="stable")
-        own = ids.reshape(-1)[order]
-        heads = np.flatnonzero(np.diff(own, prepend=-1))
-        rows = own[heads], np.add.reduceat(flat(dx)[order], heads, axis=0)
+        own = ids.reshape(-1).take(order)
+        heads = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        rows = own.take(heads), np.add.reduceat(flat(dx).take(order, axis=0), heads, axis=0)
         if sparse:
             out["embed"] = rows
         else:
@@ -385,9 +392,10 @@ class Attention:
     def move(self, grads: dict, squares: dict, rate: float) -> None:
         """One step in place by sparse gradients; ``squares`` holds the sums of their squares so far (Adagrad)."""
         for n, g in grads.items():
-            at, g = g if n == "embed" else (slice(None), g)
-            squares[n][at] += g * g
-            getattr(self, n)[at] -= rate * g / (np.sqrt(squares[n][at]) + 1e-8)
+            at, g = g if n == "embed" else (..., g)
+            so_far = squares[n][at] + g * g
+            squares[n][at] = so_far
+            getattr(self, n)[at] -= np.float32(rate) * g / (np.sqrt(so_far) + np.float32(1e-8))
 
     def flat(self, arrays: dict) -> np.ndarray:
         return np.concatenate([np.asarray(arrays[n], float).reshape(-1) for n in self.NAMES])
@@ -470,6 +478,7 @@ def _gradient_sums(sent, group, rate: float = 0.0):
             for i in range(0, len(blobs), 200):
                 ids, n, _ = training_windows(blobs[i : i + 200])
                 mask = np.arange(WINDOW) < n[:, None]
+                seen += np.bincount(ids[:, :-1][mask], minlength=VOCABULARY)
                 for a in range(0, len(ids), BLOCK):
                     here, m = ids[a : a + BLOCK], mask[a : a + BLOCK]
                     loss, grads = net.gradients(here[:, :-1], own[here[:, 1:]], m, sparse=True)
@@ -477,7 +486,6 @@ def _gradient_sums(sent, group, rate: float = 0.0):
                     total = total or {k: np.zeros(getattr(net, k).shape) for k in net.NAMES}
                     if rate:
                         net.move(grads, squares, rate)
-                        seen += np.bincount(here[:, :-1][m], minlength=VOCABULARY)
                     else:
                         at, rows = grads.pop("embed")
                         total["embed"][at] += rows * n
@@ -498,10 +506,13 @@ def learn_from_all(net: Attention, group: np.ndarray, trained: DataFrame) -> lis
     """The mean moves of tasks over each slice of ``trained`` (key, ids); mean losses on the way."""
     context, losses = trained.sparkSession.sparkContext, []
     groups, schema = context.broadcast(group), "chunk long, counts binary"
-    # A round uses a sixteenth of each split, and each task sends moves of all ids: four splits share a task.
+    # Each task sends moves of all ids: four splits share one.
     tasks = max(context.defaultParallelism, trained.rdd.getNumPartitions() // 4)
+    folder = new_folder(trained.sparkSession, "slices")
+    trained.select("ids", F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(SLICES)).alias("slice")).write.partitionBy("slice").parquet(folder)
+    slices = trained.sparkSession.read.schema("ids binary, slice long").parquet(folder)
     for step in range(PASSES * SLICES):
-        part = trained.where(F.pmod(F.xxhash64(F.lit(3), "key"), F.lit(SLICES)) == step % SLICES).select("ids").coalesce(tasks)
+        part = slices.where(F.col("slice") == step % SLICES).select("ids").coalesce(tasks)
         sent, rate = context.broadcast(net), RATE * (1 - step / (PASSES * SLICES))
         found = part.mapInArrow(_gradient_sums(sent, groups, rate), schema).repartition("chunk").mapInArrow(_added_up(float), schema).collect()
         sent.destroy()
@@ -591,13 +602,11 @@ def _scored(scorer, common_logs, common_known):
         for a, b in zip(cuts[:-1], cuts[1:]):
             if a < b:
                 scores.append(model.score(blobs[a:b]))
-        base, seen = [], []
-        for blob in batch["often"].to_pylist():
-            place, n = _unsqueezed(blob, np.uint32).reshape(2, -1)
-            base.append(float((logs[place] * n).sum()))
-            seen.append(int(n[known[place]].sum()))
+        place, n, of = _often(batch)
+        base = np.bincount(of, logs[place] * n, len(blobs)).astype(float)  # of nothing, whole numbers come back
+        seen = np.bincount(of, n * known[place], len(blobs)).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["held_out"], batch["key"], batch["n_tokens"], pa.array(seen, pa.int64()), pa.array(base), pa.array(np.concatenate(scores))],
+            [batch["doc_id"], batch["held_out"], batch["key"], batch["n_tokens"], pa.array(seen), pa.array(base), pa.array(np.concatenate(scores))],
             ["doc_id", "held_out", "key", "n_tokens", "seen", "logs_common", "score"],
         )
 

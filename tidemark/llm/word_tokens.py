@@ -4,11 +4,17 @@ The tokenizer's splits never cross white space, so a text's ids are those of its
 a row. A piece is encoded when it is first met by a Python worker; afterwards its ids come from a
 table, found by a 64-bit hash for a whole slice of texts at once. The table starts anew beyond
 ``MOST_WORDS`` pieces, so its memory is bounded; results do not depend on what it holds.
+
+With the normalizer and splits of ``KNOWN_STEPS`` much of the tokenizer's work can be left out. A split always
+stands between an ASCII letter and ASCII punctuation, so marks behind a word are pieces by themselves. And
+lower-case Latin letters go through normalizer and splits unchanged, so such a piece goes straight to the merges.
+Any other tokenizer, and any other piece, takes the whole way.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 
 import numpy as np
@@ -17,6 +23,23 @@ from tidemark.llm import kernels as K
 
 TOKENIZER = "word_bpe_49k.json"
 MOST_WORDS = 1_000_000
+MARKS = np.isin(np.arange(256), np.frombuffer(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""", np.uint8))
+LETTERS = np.isin(np.arange(256) | 32, np.arange(97, 123))
+LONGEST_MARKS = 8
+KNOWN_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
 
 
 def vocabulary_path(name: str = TOKENIZER) -> str:
@@ -25,12 +48,30 @@ def vocabulary_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def marks_behind(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the ASCII punctuation behind a piece's last ASCII letter begins; its end where there is none to cut off.
+
+    A piece with more than ``LONGEST_MARKS`` marks, or with "<" before them (special tokens), is left whole.
+    """
+    cut = ends.copy()
+    for _ in range(LONGEST_MARKS):
+        cut -= (cut > starts) & MARKS[data[cut - 1]]
+    angles = np.flatnonzero(data == ord("<"))
+    good = (cut > starts) & LETTERS[data[cut - 1]] & (np.searchsorted(angles, starts) == np.searchsorted(angles, cut))
+    return np.where(good, cut, ends)
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())
+        known = all(steps[k] == v for k, v in KNOWN_STEPS.items())
+        known = known and all(t["content"].startswith("<|") and t["content"].endswith("|>") for t in steps["added_tokens"])
+        self.merges = Tokenizer(self.tokenizer.model) if known else None
+        self.letters = _byte_letters()
         self._reset()
 
     def _reset(self):
@@ -39,11 +80,23 @@ class WordEncoder:
         self.ends = np.zeros(1 << 16, np.int64)  # of word i; word i begins where word i - 1 ends
         self.used = 0
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        lists = [e.ids for e in found]
+    def _encoded(self, pieces: list[bytes]) -> list[list[int]]:
+        texts = [p.decode() for p in pieces]
+        if not self.merges:
+            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # Letters below U+0250 in lower case: composed already, and one piece.
+        plain = [t.isalpha() and (t.isascii() or (t == t.lower() and max(t) < "\u0250")) for t in texts]
+        short = iter(self.merges.encode_batch_fast([p.lower().decode("latin-1").translate(self.letters) for p, x in zip(pieces, plain) if x], add_special_tokens=False))
+        full = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, plain) if not x], add_special_tokens=False))
+        return [next(short if x else full).ids for x in plain]
+
+    def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encode distinct new pieces and put them into the table."""
+        lists = self._encoded([data[a:b].tobytes() for a, b in zip(starts, ends)])
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.int64, int(sizes.sum()))
+        self._add(hashes, sizes, np.fromiter((i for ids in lists for i in ids), np.int64, int(sizes.sum())))
+
+    def _add(self, hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         before = self.table.size
         self.table.add(hashes)
         n = self.used + len(flat)
@@ -55,6 +108,24 @@ class WordEncoder:
         self.ends[before : self.table.size] = self.used + np.cumsum(sizes)
         self.used = n
 
+    def _meet(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Put distinct new pieces into the table; those with marks behind a letter by way of their two parts."""
+        cut = marks_behind(data, starts, ends) if self.merges else ends
+        two = cut < ends
+        sizes = (ends - starts)[two]
+        first = np.cumsum(sizes) - sizes
+        near = data[np.repeat(starts[two] - first, sizes) + np.arange(int(sizes.sum()))]
+        cuts, last = first + (cut - starts)[two], first + sizes
+        parts = K.span_hashes(K.prefix_sums(near), np.concatenate((first, cuts)), np.concatenate((cuts, last)))
+        where = np.concatenate((starts[~two], starts[two], cut[two])), np.concatenate((ends[~two], cut[two], ends[two]))
+        every, at = np.unique(np.concatenate((hashes[~two], parts)), return_index=True)
+        new = self.table.find(every) < 0
+        self._learn(every[new], data, where[0][at[new]], where[1][at[new]])
+        left = np.flatnonzero(two)[self.table.find(hashes[two]) < 0]
+        if len(left):
+            numbers = self.table.find(parts).reshape(2, -1).T
+            self._add(hashes[left], self.counts(numbers.reshape(-1)).reshape(-1, 2).sum(axis=1), self.spread(numbers.reshape(-1)))
+
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[K.Words, np.ndarray]:
         """The white-space pieces of a slice and their numbers in the table."""
         words = K.word_spans(data, offsets, K.NOT_SPACE)
@@ -69,7 +140,7 @@ class WordEncoder:
         if len(new):
             distinct, first = np.unique(hashes[new], return_index=True)
             at = new[first]
-            self._learn(distinct, [data[a:b].tobytes().decode() for a, b in zip(words.starts[at], words.ends[at])])
+            self._meet(distinct, data, words.starts[at], words.ends[at])
             numbers[new] = self.table.find(hashes[new])
         return numbers
 
