@@ -427,6 +427,59 @@ def test_words_with_marks_are_encoded_by_parts(monkeypatch):
     assert b"sea" in met and b"sea," not in met and len(set(met)) == len(met)
 
 
+def test_latin_words_go_to_the_merges_many_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import word_tokens
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += texts
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    whole = word_tokens.WordEncoder(word_tokens.vocabulary_path()).tokenizer
+    latin = [chr(c) for c in range(0x80, 0x250) if chr(c).isalpha()]
+    rng = random.Random(7)
+    words = ["".join(rng.choices([*latin, *"aeiouAEIOU"], k=rng.randint(1, 9))) + rng.choice(["", ",", "!?"]) for _ in range(1500)]
+    other = ["x1", "a\u0301b", "İs", "l'é", "3", "<|endoftext|>", "中é"]
+    part = next(kernels.slices(pa.array([" ".join([*words, *other])])))
+    want = whole.encode(" ".join([*words, *other]), add_special_tokens=False).ids
+    for suffix_known in (True, False):
+        coder = word_tokens.WordEncoder(word_tokens.vocabulary_path())
+        coder.merges, coder.tokenizer = Counted(coder.merges), Counted(coder.tokenizer)
+        coder.last &= suffix_known  # without ids that end a piece, all pieces take the whole way
+        assert coder.spread(coder.words(part.data, part.offsets)[1]).tolist() == want
+        assert len(coder.merges.texts) <= 2 and "İs" in coder.tokenizer.texts
+        if suffix_known:
+            assert {t for t in coder.tokenizer.texts if "İ" not in t} <= {*other, ",", "!?"}
+
+
+def test_places_of_common_words_when_the_word_table_starts_anew(monkeypatch):
+    from tidemark.llm import word_tokens
+
+    words = [f"w{i % 37}x" for i in range(300)]
+    monkeypatch.setattr(word_tokens, "MOST_WORDS", 20)
+    coder, looked_up = word_tokens.WordEncoder(word_tokens.vocabulary_path()), []
+    import pyarrow as pa
+
+    parts = [next(kernels.slices(pa.array([" ".join(words[i : i + 30])]))) for i in range(0, 300, 30)]
+    found = [lm_scoring._word_hashes(part) for part in parts]
+    common = np.unique(np.concatenate([h for _, _, h in found]))[::2]
+    places = lm_scoring._Places(common)
+    find = places.table.find
+    monkeypatch.setattr(places.table, "find", lambda keys: looked_up.extend(keys.tolist()) or find(keys))
+    for again in (False, True):
+        for data, spans, hashes in found:
+            want = [int(np.flatnonzero(common == h)[0]) if h in common else -1 for h in hashes]
+            numbers = coder.numbers(data, spans, hashes)
+            assert places.find(coder, numbers, hashes).tolist() == want
+            looked_up.clear()
+            assert places.find(coder, numbers, hashes).tolist() == want and not looked_up
+
+
 def test_attention_takes_a_step_for_every_block_without_a_start(spark):
     ids = np.array([5, 6, 7, 900, 6, 30_000] * 700, np.uint16)  # the class behind 6 depends on the id before it
     rows = [(k, lm_scoring._squeezed(ids[k % 6 :])) for k in range(64)]

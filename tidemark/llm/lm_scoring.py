@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.frames import id_lot, in_batches, settled
-from tidemark.llm.word_tokens import encoder, vocabulary_path
+from tidemark.llm.frames import id_lot, in_batches, in_streams, settled
+from tidemark.llm.word_tokens import WordEncoder, encoder, vocabulary_path
 from tidemark.storage import new_folder
 
 FOLDS, HELD_OUT = 7, 2
@@ -79,40 +79,63 @@ def _unsqueezed(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(blob, kind)
 
 
+class _Places:
+    """Places of words among the common ones, looked up once for each word of the encoder's table."""
+
+    def __init__(self, common: np.ndarray):
+        self.table = K.WordTable()
+        self.table.add(common)
+        self.known_to, self.places = None, np.zeros(0, np.int64)
+
+    def find(self, coder: WordEncoder, numbers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """-1 for words that are not common; the numbers are those of the encoder."""
+        if self.known_to is not coder.table:  # it starts anew now and then
+            self.known_to, self.places = coder.table, np.zeros(0, np.int64)
+        self.places = np.concatenate((self.places, np.full(coder.table.size - len(self.places), -2)))
+        place = self.places[numbers]
+        new = np.flatnonzero(place == -2)
+        place[new] = self.places[numbers[new]] = self.table.find(hashes[new])
+        return place
+
+
 def _tokens(path: str, common):
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = encoder(path)
-        table = K.WordTable()
-        table.add(common.value)
-        n_words, ids, often, rare_of, rare, times = [], [], [], [], [], []
-        for part in K.slices(batch["text"]):
-            data, words, hashes = _word_hashes(part)
-            text = words.text_of()
-            numbers = coder.numbers(data, words, hashes)
-            flat = coder.spread(numbers)
-            edges = np.concatenate(([0], np.cumsum(coder.counts(numbers))))[words.first]
-            n_words.append(np.diff(words.first))
-            ids += [_squeezed(flat[a:b]) for a, b in zip(edges[:-1], edges[1:])]
-            place = table.find(hashes)
-            known = place >= 0
-            pairs, n = np.unique((text[known] << 32) | place[known], return_counts=True)
-            cuts = np.searchsorted(pairs, np.arange(len(part) + 1) << 32)
-            both = np.stack((pairs & 0xFFFFFFFF, n), axis=1).astype(np.uint32)
-            often += [_squeezed(both[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-            left = np.flatnonzero(~known)
-            _, first, n = np.unique(K.mixed(hashes[left] ^ K.mixed(text[left].astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
-            order = np.argsort(text[left][first], kind="stable")
-            rare_of.append(np.bincount(text[left][first], minlength=len(part)))
-            rare.append(hashes[left][first][order])
-            times.append(n[order])
-        ends = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(rare_of)))).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (K.signed(np.concatenate(rare)), np.concatenate(times).astype(np.int32))]
-        return pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["held_out"], batch["key"], pa.array(np.concatenate(n_words) + 1), pa.array(ids, pa.binary()), pa.array(often, pa.binary()), *lists],
-            ["doc_id", "held_out", "key", "n_tokens", "ids", "often", "rare", "times"],
-        )
+    def run(batches):
+        coder, places = encoder(path), _Places(common.value)
+        for batch in batches:
+            yield _tokens_of(batch, coder, places)
+
+    return run
 
-    return work
+
+def _tokens_of(batch: pa.RecordBatch, coder: WordEncoder, places: _Places) -> pa.RecordBatch:
+    n_words, ids, often, rare_of, rare, times = [], [], [], [], [], []
+    for part in K.slices(batch["text"]):
+        data, words, hashes = _word_hashes(part)
+        text = words.text_of()
+        numbers = coder.numbers(data, words, hashes)
+        sizes = coder.counts(numbers)
+        flat = coder.spread(numbers, sizes)
+        edges = np.concatenate(([0], np.cumsum(sizes)))[words.first]
+        n_words.append(np.diff(words.first))
+        ids += [_squeezed(flat[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+        place = places.find(coder, numbers, hashes)
+        known = place >= 0
+        pairs, n = np.unique((text[known] << 32) | place[known], return_counts=True)
+        cuts = np.searchsorted(pairs, np.arange(len(part) + 1) << 32)
+        both = np.stack((pairs & 0xFFFFFFFF, n), axis=1).astype(np.uint32)
+        often += [_squeezed(both[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        left = np.flatnonzero(~known)
+        _, first, n = np.unique(K.mixed(hashes[left] ^ K.mixed(text[left].astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+        order = np.argsort(text[left][first], kind="stable")
+        rare_of.append(np.bincount(text[left][first], minlength=len(part)))
+        rare.append(hashes[left][first][order])
+        times.append(n[order])
+    ends = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(rare_of)))).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (K.signed(np.concatenate(rare)), np.concatenate(times).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(
+        [batch["doc_id"], batch["held_out"], batch["key"], pa.array(np.concatenate(n_words) + 1), pa.array(ids, pa.binary()), pa.array(often, pa.binary()), *lists],
+        ["doc_id", "held_out", "key", "n_tokens", "ids", "often", "rare", "times"],
+    )
 
 
 def _postings(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -204,7 +227,7 @@ def _pair_counts(batches):
             ids, first = _sequences(blobs[i : i + 500])
             ok = np.ones(len(ids) - 1, bool)
             ok[first[1:-1] - 1] = False
-            new, m = np.unique((ids[:-1][ok] << 16) | ids[1:][ok], return_counts=True)
+            new, m = np.unique(((ids[:-1] << 16) | ids[1:])[ok].astype(np.uint32), return_counts=True)
             pairs, back = np.unique(np.concatenate((pairs, new)), return_inverse=True)
             n = np.bincount(back, np.concatenate((n, m)), len(pairs)).astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
@@ -293,6 +316,11 @@ def _row_sums(a: np.ndarray) -> np.ndarray:
     return (a.reshape(-1, a.shape[-1]) @ np.ones(a.shape[-1], a.dtype)).reshape(*a.shape[:-1], 1)
 
 
+def _turned(a: np.ndarray) -> np.ndarray:
+    """The last two axes exchanged, by a copy: products along the last axis of both sides are slower than it."""
+    return np.ascontiguousarray(a.transpose(0, 2, 1))
+
+
 class Attention:
     """One causal self-attention layer that predicts the class of the next id."""
 
@@ -316,7 +344,7 @@ class Attention:
         projected = (x.reshape(-1, WIDTH) @ np.hstack((self.wq * np.float32(WIDTH**-0.5), self.wk, self.wv))).reshape(*ids.shape, 3 * WIDTH)
         q, k, v = projected[:, start:, :WIDTH], projected[:, :, WIDTH : 2 * WIDTH], projected[:, :, 2 * WIDTH :]
         asked = x[:, start:]
-        a = _exponentials(np.matmul(q, k.transpose(0, 2, 1)))
+        a = _exponentials(np.matmul(q, _turned(k)))
         a *= self.seen[start:]
         a /= _row_sums(a)
         mixed = np.matmul(a, v)
@@ -348,7 +376,7 @@ class Attention:
         dmixed = (flat(dh) @ self.wo.T).reshape(x.shape)
         turned = np.empty((*x.shape[:2], 3 * WIDTH), x.dtype)  # gradients of q, k and v side by side
         np.matmul(a.transpose(0, 2, 1), dmixed, out=turned[:, :, 2 * WIDTH :])
-        ds = np.matmul(dmixed, v.transpose(0, 2, 1))
+        ds = np.matmul(dmixed, _turned(v))
         ds -= _row_sums(dmixed * mixed)  # the same as the sums of the gradient of a times a
         ds *= a
         # q holds the scale of the products already.
@@ -564,7 +592,7 @@ class Scorer:
         place = self.place((before << 16) | ids)
         seen = np.where(place >= 0, self.counts[place] if len(self.counts) else 0.0, 0.0)
         total = self.totals[before * CLASSES + self.group[ids]]
-        return np.log((seen + weight * np.exp(self.alone[ids])) / (total + weight))
+        return np.log((seen + weight * np.exp(self.alone)[ids]) / (total + weight))
 
     def inputs(self, blobs: list[bytes]):
         ids, first = _sequences(blobs)
@@ -575,13 +603,13 @@ class Scorer:
     def score(self, blobs: list[bytes], block: int = BLOCK) -> np.ndarray:
         """log10 P of each document's ids and end."""
         ids, first, doc, at, scored = self.inputs(blobs)
-        out = np.zeros(len(blobs))
+        out, goals = np.zeros(len(blobs)), self.group[ids[1:]]
         # In all windows but a text's first, the positions of the overlap are context only.
         for start, some in ((0, np.flatnonzero(scored[:, 0])), (OVERLAP, np.flatnonzero(~scored[:, 0]))):
             for a in range(0, len(some), block):
                 pick = some[a : a + block]
                 here, mask = at[pick], scored[pick, start:]
-                goal = self.group[ids[here[:, start:] + 1]]
+                goal = goals[here[:, start:]]
                 p = _exponentials(self.attention.forward(ids[here], start=start))
                 hit = p.reshape(-1)[np.arange(goal.size) * CLASSES + goal.reshape(-1)].reshape(goal.shape) / _row_sums(p)[:, :, 0]
                 out += np.bincount(doc[pick], (np.log(hit) * mask).sum(axis=1), len(blobs))
@@ -632,7 +660,7 @@ def scored_texts(docs: DataFrame, path: str | None = None, drawn_windows: int =
     top = drawn.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(COMMON).select("word").toPandas()
     common = top["word"].to_numpy(np.int64).view(np.uint64)
     schema = "doc_id long, held_out boolean, key long, n_tokens long, ids binary, often binary, rare array<long>, times array<int>"
-    tokens = settled(in_batches(rows, _tokens(path or vocabulary_path(), spark.sparkContext.broadcast(common)), schema, keeps_words=True))
+    tokens = settled(in_streams(rows, _tokens(path or vocabulary_path(), spark.sparkContext.broadcast(common)), schema, keeps_words=True))
     trained = tokens.where("not held_out")
 
     # Base score: common words in arrays, all others by their postings.

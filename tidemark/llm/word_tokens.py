@@ -6,14 +6,15 @@ table, found by a 64-bit hash for a whole slice of texts at once. The table star
 ``MOST_WORDS`` pieces, so its memory is bounded; results do not depend on what it holds.
 
 With the normalizer and splits of ``KNOWN_STEPS`` much of the tokenizer's work can be left out. A split always
-stands between an ASCII letter and ASCII punctuation, so marks behind a word are pieces by themselves. And
-lower-case Latin letters go through normalizer and splits unchanged, so such a piece goes straight to the merges.
-Any other tokenizer, and any other piece, takes the whole way.
+stands between a letter and ASCII punctuation, so marks behind a word are pieces by themselves. And of Latin
+letters normalizer and splits change only the case, so such pieces go straight to the merges, many at a time: the
+ids that end a piece are known by the vocabulary's suffix. Any other tokenizer, and any other piece, takes the whole way.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 
@@ -35,11 +36,31 @@ KNOWN_STEPS = {
 }
 
 
-def _byte_letters() -> dict[int, int]:
-    """The letter that stands for each byte in a byte-level vocabulary."""
+def _byte_letters() -> np.ndarray:
+    """The letter that stands for each byte in a byte-level vocabulary; a space stays one."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]
-    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+    letters = np.arange(256)
+    letters[others] = 256 + np.arange(len(others))
+    letters[32] = 32
+    return letters.astype("<u4")
+
+
+def _plain_bytes() -> np.ndarray:
+    """For each byte and the next (byte << 8 | next): a piece with it may still be a plain one.
+
+    Plain pieces are letters below U+0250 whose lower case is one letter: all but U+0130.
+    """
+    good = np.zeros((256, 256), bool)
+    good[:128] = LETTERS[:128, None]
+    good[0x80:0xC0] = True  # not the first byte of a character, which decides
+    for c in map(chr, range(0x80, 0x250)):
+        good[tuple(c.encode())] = c.isalpha() and len(c.lower()) == 1
+    return good.reshape(-1)
+
+
+PLAIN = _plain_bytes()
+TWO_BYTES = PLAIN & (np.arange(1 << 16) >= 0xC000)  # letters of two bytes
 
 
 def vocabulary_path(name: str = TOKENIZER) -> str:
@@ -49,7 +70,7 @@ def vocabulary_path(name: str = TOKENIZER) -> str:
 
 
 def marks_behind(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where the ASCII punctuation behind a piece's last ASCII letter begins; its end where there is none to cut off.
+    """Where the ASCII punctuation behind a piece's last letter below U+0250 begins; its end where there is none to cut off.
 
     A piece with more than ``LONGEST_MARKS`` marks, or with "<" before them (special tokens), is left whole.
     """
@@ -57,20 +78,33 @@ def marks_behind(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     for _ in range(LONGEST_MARKS):
         cut -= (cut > starts) & MARKS[data[cut - 1]]
     angles = np.flatnonzero(data == ord("<"))
-    good = (cut > starts) & LETTERS[data[cut - 1]] & (np.searchsorted(angles, starts) == np.searchsorted(angles, cut))
+    letter = LETTERS[data[cut - 1]] | ((cut > starts + 1) & TWO_BYTES[(data[cut - 2].astype(np.uint16) << 8) | data[cut - 1]])
+    good = (cut > starts) & letter & (np.searchsorted(angles, starts) == np.searchsorted(angles, cut))
     return np.where(good, cut, ends)
 
 
+def _row(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of lists, and all of them in a row."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return sizes, np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         steps = json.loads(self.tokenizer.to_str())
         known = all(steps[k] == v for k, v in KNOWN_STEPS.items())
         known = known and all(t["content"].startswith("<|") and t["content"].endswith("|>") for t in steps["added_tokens"])
-        self.merges = Tokenizer(self.tokenizer.model) if known else None
+        suffix = steps["model"].get("end_of_word_suffix")
+        self.merges = Tokenizer(self.tokenizer.model) if known and suffix else None
+        if self.merges:
+            self.merges.pre_tokenizer = WhitespaceSplit()
+            self.last = np.zeros(1 << 16, bool)  # ids that end a piece
+            self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.letters = _byte_letters()
         self._reset()
 
@@ -80,21 +114,50 @@ class WordEncoder:
         self.ends = np.zeros(1 << 16, np.int64)  # of word i; word i begins where word i - 1 ends
         self.used = 0
 
-    def _encoded(self, pieces: list[bytes]) -> list[list[int]]:
-        texts = [p.decode() for p in pieces]
-        if not self.merges:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        # Letters below U+0250 in lower case: composed already, and one piece.
-        plain = [t.isalpha() and (t.isascii() or (t == t.lower() and max(t) < "\u0250")) for t in texts]
-        short = iter(self.merges.encode_batch_fast([p.lower().decode("latin-1").translate(self.letters) for p, x in zip(pieces, plain) if x], add_special_tokens=False))
-        full = iter(self.tokenizer.encode_batch_fast([t for t, x in zip(texts, plain) if not x], add_special_tokens=False))
-        return [next(short if x else full).ids for x in plain]
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each piece, and the ids of all in a row."""
+        plain = self._plain(pieces) if self.merges else np.zeros(len(pieces), bool)
+        short = self._merged([pieces[i] for i in np.flatnonzero(plain)]) if plain.any() else None
+        if short is None:
+            plain[:] = False
+        full = self.tokenizer.encode_batch_fast([pieces[i].decode() for i in np.flatnonzero(~plain)], add_special_tokens=False)
+        others = _row([e.ids for e in full])
+        if short is None:
+            return others
+        sizes = np.empty(len(pieces), np.int64)
+        sizes[plain], sizes[~plain] = short[0], others[0]
+        flat, mine = np.empty(int(sizes.sum()), np.int64), np.repeat(plain, sizes)
+        flat[mine], flat[~mine] = short[1], others[1]
+        return sizes, flat
+
+    def _plain(self, pieces: list[bytes]) -> np.ndarray:
+        """Pieces of letters below U+0250: composed already, and one piece of the splits."""
+        if not pieces:
+            return np.zeros(0, bool)  # reduceat wants a row
+        data = np.frombuffer(b" ".join(pieces) + b" ", np.uint8)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1
+        first = np.cumsum(sizes) - sizes
+        bad = ~PLAIN[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        bad[first[1:] - 1] = False  # the spaces between pieces
+        return ~np.logical_or.reduceat(bad, first)
+
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Like ``_encoded``, for plain pieces: many in one text, cut apart behind the ids that end a piece.
+
+        None if not every piece has one such id.
+        """
+        lower = (b" ".join(pieces[i : i + 1000]).decode().lower().encode() for i in range(0, len(pieces), 1000))
+        texts = [self.letters[np.frombuffer(x, np.uint8)].tobytes().decode("utf-32-le") for x in lower]
+        flat = _row([e.ids for e in self.merges.encode_batch_fast(texts, add_special_tokens=False)])[1]
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(flat):
+            return None
+        return np.diff(ends, prepend=0), flat
 
     def _learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encode distinct new pieces and put them into the table."""
-        lists = self._encoded([data[a:b].tobytes() for a, b in zip(starts, ends)])
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        self._add(hashes, sizes, np.fromiter((i for ids in lists for i in ids), np.int64, int(sizes.sum())))
+        whole = data.tobytes()
+        self._add(hashes, *self._encoded([whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())]))
 
     def _add(self, hashes: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         before = self.table.size
@@ -147,9 +210,9 @@ class WordEncoder:
     def counts(self, numbers: np.ndarray) -> np.ndarray:
         return self.ends[numbers] - np.where(numbers > 0, self.ends[numbers - 1], 0)
 
-    def spread(self, numbers: np.ndarray) -> np.ndarray:
-        """The ids of all the pieces in a row."""
-        sizes = self.counts(numbers)
+    def spread(self, numbers: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """The ids of all the pieces in a row; ``sizes`` are their counts, where these are known already."""
+        sizes = self.counts(numbers) if sizes is None else sizes
         total = int(sizes.sum())
         begin = np.repeat(self.ends[numbers] - sizes - (np.cumsum(sizes) - sizes), sizes)
         return self.ids[begin + np.arange(total)]
