@@ -138,6 +138,48 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def written_tables(monkeypatch, *modules) -> list:
+    """Gets an entry for every table that the modules write from now on."""
+    written = []
+    for module in modules:
+        monkeypatch.setattr(module, "settled", lambda df, real=module.settled: written.append(df.columns) or real(df))
+    return written
+
+
+def test_stars_are_known_without_another_round(spark, monkeypatch):
+    from tidemark.llm import components as module
+
+    for links in ([(k, 0) for k in range(1, 40)] * 2 + [(60, 50)], [(k, 90) for k in range(5, 40)]):
+        written = written_tables(monkeypatch, module)
+        got = sorted(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
+        least = {x: 50 if x in (50, 60) else min(map(min, links)) for pair in links for x in pair}
+        assert got == sorted(least.items())
+        assert len(written) <= (3 if (60, 50) in links else 5)
+        monkeypatch.undo()
+
+
+def test_links_of_the_second_look_join_settled_components(make_docs, monkeypatch):
+    """Chains of edits: neighbours are similar, others not. A third of the links are left to the second look."""
+    from tidemark.llm import components as module
+
+    rng = random.Random(41)
+    texts = []
+    for _ in range(6):
+        words = sentence(rng, 100).split(" ")
+        for k in range(0, 60, 12):
+            texts.append(" ".join(words))
+            words[k] = f"w{k}"
+            words[k + 6] = f"v{k}"
+    looks, real = [], minhash_dedup.linked
+    late = "(a + b) % 3 = 0"
+    monkeypatch.setattr(minhash_dedup, "linked", lambda pairs, held: looks.append(real(pairs, held)) or (looks[0].where(f"not {late}") if len(looks) == 1 else looks[1]))
+    monkeypatch.setattr(minhash_dedup, "_second_look", lambda members, forest, tested, prints: tested.where(late))
+    written = written_tables(monkeypatch, minhash_dedup, module)
+    check_near(make_docs, texts)
+    assert looks[1].count() > 5
+    assert ["id", "component"] not in written and len(written) <= 24
+
+
 def check_repeats(make_docs, texts, **more):
     docs = make_docs(texts)
     rows = sorted(suffix_dedup.without_repeats(docs, **more).collect(), key=lambda r: r.doc_id)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import kernels as K
-from tidemark.llm.components import components
+from tidemark.llm.components import star_forest
 from tidemark.llm.frames import carried, in_batches, in_streams, only, settled
 from tidemark.operators.ordered import join_facts
 
@@ -214,9 +214,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(out)
 
 
-def _second_look(members: DataFrame, labels: DataFrame, tested: DataFrame, prints: DataFrame, block: int = 256) -> DataFrame:
+def _roots(rows: DataFrame, node: str, forest: DataFrame) -> DataFrame:
+    """``rows`` with the smallest node that ``node`` reaches in its place."""
+    found = rows.join(forest, rows[node] == forest["hi"], "left")
+    return found.select(*[F.coalesce("lo", node).alias(node) if c == node else c for c in rows.columns])
+
+
+def _second_look(members: DataFrame, forest: DataFrame, tested: DataFrame, prints: DataFrame, block: int = 256) -> DataFrame:
     """Untested pairs between components of one bucket that sizes and sketches do not rule out."""
-    placed = members.join(labels, members["rep"] == labels["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+    placed = _roots(members.select("key", "rep", F.col("rep").alias("part")), "part", forest)
     sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     mixed = mixed.where("all > most and all > 2").select("key", "main", F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("blocks"))
@@ -245,16 +251,16 @@ def near_duplicates(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     met = settled(join_facts(buckets, shared, ["key"]))
     popular = met.groupBy("rep").agg(F.sum("n").alias("meets"))
     hubs = met.join(popular, "rep").groupBy("key").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
-    members = settled(join_facts(met.select("key", "rep"), hubs, ["key"]))
+    members = met.select("key", "rep")
     held = settled(texts.hint("merge").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"))
-    stars = members.where("hub != rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    stars = join_facts(members, hubs, ["key"]).where("hub != rep").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     tested = settled(stars)
     links = settled(linked(tested, held))
-    labels = settled(components(links))
-    more = settled(linked(settled(_second_look(members, labels, tested, full)), held))
-    if not more.isEmpty():
-        labels = settled(components(links.unionAll(more)))
-    named = classes.join(labels, classes["rep"] == labels["id"], "left").select("k1", "k2", "n_shingles", F.coalesce("component", "rep").alias("c"))
+    forest = star_forest(links)
+    more = settled(linked(settled(_second_look(members, forest, tested, full)), held))
+    named = _roots(classes.withColumnRenamed("rep", "c"), "c", forest)
+    if not more.isEmpty():  # only the components that the new links join are left to settle
+        named = _roots(named, "c", star_forest(_roots(_roots(more, "a", forest), "b", forest)))
     joined = join_facts(prints.select("doc_id", "n_shingles", "k1", "k2", *carry), named, ["k1", "k2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
     judged = joined.select("doc_id", "n_shingles", component.alias("component_id"), *carry)
