@@ -63,6 +63,36 @@ def test_hard_negatives_of_large_and_negative_components(spark):
         H.hard_negatives(spark.createDataFrame([], VECTORS), "true", low=90, high=50)
 
 
+def test_hard_negatives_broadcast_no_blocks(spark, monkeypatch):
+    """However small the files of the blocks look, the driver gets no copies of them."""
+    plans, settled = [], H.settled
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(H, "settled", lambda df: (plans.append(plan(df)), settled(df))[1])
+    rng = random.Random(3)
+    rows = vectors(rng, 60)
+    found = H.hard_negatives(spark.createDataFrame([(*r, 1, 2, 3) for r in rows], VECTORS), "vec_id % 10 = 0", block_rows=7)
+    assert sorted(map(tuple, found.collect())) == plain_negatives(rows, lambda i: i % 10 == 0)
+    plans.append(plan(found))
+    assert sum("Join" in p or "CartesianProduct" in p for p in plans) == 2
+    assert not any("Broadcast" in p or "Generate" in p for p in plans)
+
+
+@pytest.mark.parametrize(
+    "settings, sizes",
+    [({"LANES": 1}, {}), ({"LANES": 2, "HELD": 1, "DENSE": 1, "LABELS": 1}, {"block_rows": 90, "block_anchors": 20}), ({"LANES": 1, "HELD": 3, "DENSE": 10**9, "CELLS": 300}, {"block_anchors": 20})],
+)
+def test_hard_negatives_of_many_blocks_in_a_task(spark, monkeypatch, settings, sizes):
+    for name, value in settings.items():
+        monkeypatch.setattr(H, name, value)
+    rng = random.Random(4)
+    rows = [(i, [rng.uniform(-0.2, 0.5) for _ in range(6)], rng.randrange(3)) for i in range(900)]
+    rows += [(i + 1000, v, lab) for i, v, lab in rows[:300]]  # ties across blocks
+    assert mined(spark, rows, **sizes) == plain_negatives(rows, lambda i: i % 10 == 0)
+
+
 @pytest.mark.parametrize("top", [1, 200, 4000, 10**6, 10**12])
 def test_packed_scores(top):
     rng = np.random.default_rng(top)

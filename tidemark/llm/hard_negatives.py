@@ -10,12 +10,16 @@ integers, one candidate a field.
 
 Anchors are a stated query set: each block of anchors meets each block of rows. Two passes: the first finds
 an anchor's best rows of its own label (positives), the second, for each positive, the best rows of other
-labels whose score lies between ``low`` and ``high`` percent of the positive's. Within a block the place in
-(vec_id) order is the lower part of one sort key, so ties fall to the smaller id.
+labels whose score lies between ``low`` and ``high`` percent of the positive's. A task holds the best few so
+far; of the next block only scores that reach the last of them are looked at. Where these are many, all scores
+are sorted: within a block the place in (vec_id) order is the lower part of one sort key, so ties fall to the
+smaller id.
 
-Scale. Rows are packed into blocks where they are read. Blocks of anchors are copied to lanes, about one lane
-for a block of rows, and joined by lane: no broadcast, and nothing reaches the driver but counts. A task
-keeps, per anchor, only the best few; ranks are windows over those few rows of a (anchor, positive).
+Scale. Rows are packed into blocks where they are read, of fewer rows where vectors are long. Blocks of rows
+are dealt to lanes, blocks of anchors to groups, and a task is the product of a lane and a group, which reads
+the two: no copies of blocks, no broadcast whatever the sizes are thought to be, and nothing reaches the
+driver but counts. A task hands on, per anchor, only the best few; ranks are windows over those few rows of a
+(anchor, positive), as many as lanes.
 
 Defined cases. A null label, id or vector, or a null or non-finite component: the row takes no part. An
 anchor meets rows of its own number of components only. A copy of an anchor's row (same id) is another row,
@@ -26,6 +30,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -39,35 +44,59 @@ from pyspark.sql.window import Window
 from tidemark.llm.frames import in_streams, settled
 
 ROWS, ANCHORS = 4096, 1024
+CELLS = 2**20  # components in a block at most
+TILE = 2**17  # scores looked at together
+LANES, HELD = 16, 8  # lanes of rows, unless a large cluster has few anchors; blocks of anchors in a group at most
+DENSE = 16  # one score in so many is near the best: sort them all
+FIRST = 256  # rows that anchors meet first, to know what is near
+LABELS = 32  # up to so many labels of anchors meet their rows one after another
 _BLOCK = "block long, n int, dims int, kind string, ids binary, labels binary, cells binary"
 _LONG = (-(2**63), 2**63 - 1)
 _exact = np.frompyfunc(int, 1, 1)
 
 
-def packed_scores(anchors: np.ndarray, rows: np.ndarray, room: int = 53) -> np.ndarray:
-    """All inner products (anchor, row) of integer-valued matrices, as int64."""
+def score_tiles(anchors: np.ndarray, rows: np.ndarray, room: int = 53) -> Iterator[tuple[int, np.ndarray]]:
+    """All inner products (anchor, row) of integer-valued matrices, as int64, some anchors at a time: the first of them, scores."""
     dims = anchors.shape[1]
     if not dims or not len(anchors) or not len(rows):
-        return np.zeros((len(anchors), len(rows)), np.int64)
+        yield 0, np.zeros((len(anchors), len(rows)), np.int64)
+        return
     low_a, low_r = float(anchors.min()), float(rows.min())
     high = dims * (int(anchors.max()) - int(low_a)) * (int(rows.max()) - int(low_r))
     width = max(1, high.bit_length())
     if width > room or max(abs(low_a), abs(low_r), float(anchors.max()), float(rows.max())) >= 2**24:
         whole = _exact(anchors) @ _exact(rows).T
-        return np.clip(whole, *_LONG).astype(np.int64)
+        yield 0, np.clip(whole, *_LONG).astype(np.int64)
+        return
     fields = room // width
+    side = -(-len(rows) // fields)  # row f * side + k is field f of the wide integer k
     a = anchors - low_a
-    r = np.zeros((-(-len(rows) // fields), fields, dims))
+    r = np.zeros((fields, side, dims))
     r.reshape(-1, dims)[: len(rows)] = rows - low_r
-    wide = np.einsum("kfd,f->kd", r, 2.0 ** (width * np.arange(fields)))
-    product = (a @ wide.T).astype(np.int64)  # sums below 2**53: exact
-    cut = (product[:, :, None] >> (width * np.arange(fields))) & ((1 << width) - 1)
-    biased = cut.reshape(len(a), -1)[:, : len(rows)]
-    return biased + (low_a * r.reshape(-1, dims)[: len(rows)].sum(1) + low_r * a.sum(1)[:, None] + dims * low_a * low_r).astype(np.int64)
+    wide = np.einsum("fkd,f->dk", r, 2.0 ** (width * np.arange(fields)))
+    of_rows = r.reshape(-1, dims)[: len(rows)].sum(1).astype(np.int64) * int(low_a) + dims * int(low_a) * int(low_r)
+    of_anchors = a.sum(1).astype(np.int64) * int(low_r)
+    step = max(1, TILE // len(rows))
+    for at in range(0, len(a), step):
+        product = (a[at : at + step] @ wide).astype(np.int64)  # sums below 2**53: exact
+        cut = np.empty((len(product), fields * side), np.int64)
+        for f in range(fields):
+            part = cut[:, f * side : (f + 1) * side]
+            np.right_shift(product, width * f, out=part)
+            part &= (1 << width) - 1
+        scores = cut[:, : len(rows)]
+        scores += of_rows
+        scores += of_anchors[at : at + step, None]
+        yield at, scores
+
+
+def packed_scores(anchors: np.ndarray, rows: np.ndarray, room: int = 53) -> np.ndarray:
+    """All inner products (anchor, row) of integer-valued matrices, as int64."""
+    return np.concatenate([scores for _, scores in score_tiles(anchors, rows, room)])
 
 
 def _packed(size: int, scale: float) -> Callable:
-    """Valid rows (id, label, vector) as blocks of at most ``size`` rows of one length, ids ascending."""
+    """Valid rows (id, label, vector) as blocks of at most ``size`` rows and CELLS components, of one length, ids ascending."""
 
     def block(at: int, held: list) -> pa.RecordBatch:
         ids, labels, cells = (np.concatenate(x) for x in zip(*held))
@@ -93,32 +122,72 @@ def _packed(size: int, scale: float) -> Callable:
             for dims in np.unique(lengths).tolist():
                 chosen = np.flatnonzero((lengths == dims) & fine)
                 cells = flat[(ends[chosen][:, None] + np.arange(dims)).astype(np.int64)]
-                for i in range(0, len(chosen), size):
-                    part = chosen[i : i + size]
+                most = max(1, min(size, CELLS // max(1, dims)))
+                for i in range(0, len(chosen), most):
+                    part = chosen[i : i + most]
                     mine = held.setdefault(dims, [])
-                    if mine and sum(len(x[0]) for x in mine) + len(part) > size:
+                    if mine and sum(len(x[0]) for x in mine) + len(part) > most:
                         yield block(next(numbers), held.pop(dims))
                         mine = held.setdefault(dims, [])
-                    mine.append((ids[part], labels[part], cells[i : i + size]))
+                    mine.append((ids[part], labels[part], cells[i : i + most]))
         for mine in held.values():
             yield block(next(numbers), mine)
 
     return work
 
 
-def _matrix(binary: bytes, kind: str, n: int, dims: int) -> np.ndarray:
-    return np.frombuffer(binary, kind).reshape(n, dims).astype(float)
+class Block:
+    """A block as arrays; ``known``: the positives of its anchors, if any, as (place, nth, id, score)."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int, prefix: str = ""):
+        n, dims, kind = (batch[prefix + c][i].as_py() for c in ("n", "dims", "kind"))
+        ids, labels, cells = (batch[prefix + c][i].as_buffer() for c in ("ids", "labels", "cells"))
+        self.ids, self.labels = np.frombuffer(ids, np.int64).copy(), np.frombuffer(labels, np.int64).copy()
+        self.cells = np.frombuffer(cells, kind).reshape(n, dims).astype(float)
+        if not prefix and "positives" in batch.schema.names:
+            self.known = [x.to_numpy().astype(np.int64) for x in batch["positives"][i].values.flatten()]
 
+    def of(self, some: np.ndarray | slice) -> Block:
+        part = copy.copy(self)
+        part.ids, part.labels, part.cells = self.ids[some], self.labels[some], self.cells[some]
+        return part
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each meeting of two blocks: its row, anchor ids, row ids, scores, and where labels are equal."""
+
+def _meetings(batches: Iterator[pa.RecordBatch], asked: dict[int, Block]) -> Iterator[tuple[int, Block, Block]]:
+    """For each meeting of two blocks: the number of the anchors' block, this (kept in ``asked``) and the rows'."""
+    at, rows = None, None
     for batch in batches:
-        for i in range(batch.num_rows):
-            x = {k: batch[k][i].as_py() for k in batch.schema.names}
-            a = _matrix(x["cells"], x["kind"], x["n"], x["dims"])
-            r = _matrix(x["r_cells"], x["r_kind"], x["r_n"], x["dims"])
-            same = np.frombuffer(x["labels"], np.int64)[:, None] == np.frombuffer(x["r_labels"], np.int64)
-            yield x, np.frombuffer(x["ids"], np.int64), np.frombuffer(x["r_ids"], np.int64), packed_scores(a, r), same
+        for i, (block, r_block) in enumerate(zip(batch["block"].to_pylist(), batch["r_block"].to_pylist())):
+            if block not in asked:
+                asked[block] = Block(batch, i)
+            if r_block != at:
+                at, rows = r_block, Block(batch, i, "r_")
+            yield block, asked[block], rows
+
+
+class Best:
+    """The best ``count`` entries of numbered lists: highest score first, then the smaller id.
+
+    ``floors``: for each list the score that a new entry has to reach.
+    """
+
+    def __init__(self, floors: np.ndarray, count: int):
+        self.floors, self.count = floors, count
+        self.lists, self.scores, self.ids = np.zeros((3, 0), np.int64)
+
+    def add(self, entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Entries (list, score, id)."""
+        if not any(len(x[0]) for x in entries):
+            return
+        lists, scores, ids = (np.concatenate(x) for x in zip((self.lists, self.scores, self.ids), *entries))
+        order = np.lexsort((ids, ~scores, lists))
+        lists = lists[order]
+        firsts = np.flatnonzero(np.diff(lists, prepend=-1))
+        nth = np.arange(len(lists)) - np.repeat(firsts, np.diff(firsts, append=len(lists)))
+        kept = nth < self.count
+        self.lists, self.scores, self.ids = lists[kept], scores[order[kept]], ids[order[kept]]
+        last = nth[kept] == self.count - 1
+        self.floors[self.lists[last]] = self.scores[last]
 
 
 class Ranked:
@@ -151,15 +220,42 @@ def _squares(cells: np.ndarray) -> np.ndarray:
     return np.array([min(sum(int(v) ** 2 for v in row), _LONG[1]) for row in cells], np.int64)
 
 
+def _in_turn(rows: Block, fresh: bool) -> list[Block]:
+    return [rows.of(slice(0, FIRST)), rows.of(slice(FIRST, None))] if fresh else [rows]
+
+
 def _best_same(count: int) -> Callable:
+    def near(asks: Block, rows: Block, floors: np.ndarray) -> Iterator[tuple]:
+        labels = np.unique(asks.labels)
+        lots = [np.flatnonzero(asks.labels == label) for label in labels] if len(labels) <= LABELS else [np.arange(len(asks.labels))]
+        for lot in lots:
+            those = rows.of(rows.labels == asks.labels[lot[0]]) if len(lots) == len(labels) else rows
+            for at, scores in score_tiles(asks.cells[lot], those.cells):
+                mine = lot[at : at + len(scores)]
+                fits = scores >= floors[mine, None]
+                if np.count_nonzero(fits) * DENSE > fits.size:
+                    ranked = Ranked(scores, asks.labels[mine, None] == those.labels)
+                    best = np.sort(ranked.keys, axis=1)[:, max(0, ranked.n - count) :]
+                    row, col = np.nonzero(best > _LONG[0])
+                    place, score = ranked.told(best[row, col])
+                    yield mine[row], score, those.ids[place]
+                else:
+                    row, col = np.divmod(np.flatnonzero(fits), max(1, fits.shape[1]))
+                    same = asks.labels[mine[row]] == those.labels[col]
+                    row, col = row[same], col[same]
+                    yield mine[row], scores[row, col], those.ids[col]
+
     def work(batches):
-        for x, anchors, ids, scores, same in _cells(batches):
-            ranked = Ranked(scores, same)
-            best = ranked.keys if ranked.n <= count else np.partition(ranked.keys, ranked.n - count, axis=1)[:, ranked.n - count :]
-            row, col = np.nonzero(best > _LONG[0])
-            at, score = ranked.told(best[row, col])
-            own = _squares(_matrix(x["cells"], x["kind"], x["n"], x["dims"]))
-            arrays = [np.full(len(row), x["block"]), row.astype(np.int32), anchors[row], own[row], ids[at], score]
+        asked: dict[int, Block] = {}
+        found: dict[int, Best] = {}
+        for block, asks, rows in _meetings(batches, asked):
+            fresh = block not in found
+            best = found.setdefault(block, Best(np.full(len(asks.ids), _LONG[0]), count))
+            for part in _in_turn(rows, fresh):
+                best.add([*near(asks, part, best.floors)])
+        for block, best in found.items():
+            place, asks = best.lists, asked[block]
+            arrays = [np.full(len(place), block), place.astype(np.int32), asks.ids[place], _squares(asks.cells)[place], best.ids, best.scores]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], ["block", "place", "anchor_id", "own", "id", "score"])
 
     return work
@@ -171,23 +267,50 @@ def _share(scores: np.ndarray, percent: int, up: bool) -> np.ndarray:
     return whole * percent + (-((-rest * percent) // 100) if up else rest * percent // 100)
 
 
-def _best_between(count: int, low: int, high: int) -> Callable:
+def _best_between(positives: int, count: int, low: int, high: int) -> Callable:
+    def near(asks: Block, rows: Block, floors: np.ndarray, tops: np.ndarray) -> Iterator[tuple]:
+        """A list for each positive: those of anchor i have the numbers from i * positives on."""
+        least, most = floors.reshape(-1, positives).min(1), tops.reshape(-1, positives).max(1)
+        for at, scores in score_tiles(asks.cells, rows.cells):
+            mine = slice(at, at + len(scores))
+            fits = (scores >= least[mine, None]) & (scores <= most[mine, None])
+            if np.count_nonzero(fits) * DENSE > fits.size:
+                ranked = Ranked(scores, asks.labels[mine, None] != rows.labels)
+                keys = np.sort(ranked.keys, axis=1)
+                for nth in range(positives):
+                    lists = np.arange(at, at + len(scores)) * positives + nth
+                    start, stop = (np.count_nonzero(keys < x[:, None], axis=1)[:, None] for x in ranked.bounds(floors[lists], tops[lists]))
+                    picked = stop - 1 - np.arange(count)
+                    row, k = np.nonzero(picked >= start)
+                    place, score = ranked.told(keys[row, picked[row, k]])
+                    yield lists[row], score, rows.ids[place]
+            else:
+                row, col = np.divmod(np.flatnonzero(fits), max(1, fits.shape[1]))
+                other = asks.labels[at + row] != rows.labels[col]
+                row, col = row[other], col[other]
+                score, lists = scores[row, col], (at + row)[:, None] * positives + np.arange(positives)
+                i, p = np.nonzero((score[:, None] >= floors[lists]) & (score[:, None] <= tops[lists]))
+                yield lists[i, p], score[i], rows.ids[col[i]]
+
     def work(batches):
-        for x, anchors, ids, scores, same in _cells(batches):
-            ranked = Ranked(scores, ~same)
-            keys = np.sort(ranked.keys, axis=1)
-            place, nth, known, score = (np.array([p[k] for p in x["positives"]], np.int64) for k in ("place", "nth", "id", "score"))
-            starts, stops = ranked.bounds(_share(score, low, True), _share(score, high, False))
-            mine, chosen = [], []
-            for p, (i, start, stop) in enumerate(zip(place, starts, stops)):
-                a, b = np.searchsorted(keys[i], (start, stop))
-                if a < b:
-                    picked = keys[i, max(a, b - count) : b]
-                    mine.append(np.full(len(picked), p)), chosen.append(picked)
-            mine, chosen = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (mine, chosen))
-            at, negative = ranked.told(chosen)
-            i = place[mine]
-            arrays = [np.full(len(i), x["block"]), i.astype(np.int32), anchors[i], nth[mine].astype(np.int32), known[mine], score[mine], ids[at], negative]
+        asked: dict[int, Block] = {}
+        found: dict[int, tuple[Best, np.ndarray, np.ndarray]] = {}
+        for block, asks, rows in _meetings(batches, asked):
+            if fresh := block not in found:
+                place, nth, *known = asks.known
+                floors, tops = (np.full(len(asks.ids) * positives, v) for v in _LONG[::-1])  # no positive: nothing between
+                lists = place * positives + nth - 1
+                floors[lists], tops[lists] = _share(known[1], low, True), _share(known[1], high, False)
+                of_list = np.zeros((2, len(floors)), np.int64)
+                of_list[:, lists] = known
+                found[block] = Best(floors, count), tops, of_list
+            best, tops, _ = found[block]
+            for part in _in_turn(rows, fresh):
+                best.add([*near(asks, part, best.floors, tops)])
+        for block, (best, _, of_list) in found.items():
+            place, nth = np.divmod(best.lists, positives)
+            known, score = of_list[:, best.lists]
+            arrays = [np.full(len(place), block), place.astype(np.int32), asked[block].ids[place], (nth + 1).astype(np.int32), known, score, best.ids, best.scores]
             names = ["block", "place", "anchor_id", "nth", "positive_id", "positive_score", "negative_id", "negative_score"]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], names)
 
@@ -208,13 +331,17 @@ def hard_negatives(
     known = known.where("id is not null and label is not null and vector is not null")
     blocks = settled(in_streams(known.drop("asks"), _packed(block_rows, scale), _BLOCK))
     asking = known.where("asks").drop("asks")
-    asking = settled(in_streams(asking.repartition(max(1, asking.count() // block_anchors)), _packed(block_anchors, scale), _BLOCK))
-    lanes = max(1, blocks.count())
-    right = blocks.select(F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane"), "dims", *[F.col(c).alias(f"r_{c}") for c in ("n", "kind", "ids", "labels", "cells")])
-    every_lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    asking = settled(in_streams(asking.repartition(max(1, asking.count() // (HELD * block_anchors))), _packed(block_anchors, scale), _BLOCK))
+    n, n_asking, cores = blocks.count(), asking.count(), rows.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n_asking // HELD), min(n_asking, -(-3 * cores // LANES)))
+    lanes = max(1, min(n, max(LANES, -(-3 * cores // groups))))
+
+    def met(asked: DataFrame) -> DataFrame:
+        """Each block of anchors beside each block of rows. The hint keeps Spark from a broadcast: files tell too little of the sizes."""
+        right = blocks.select(*[F.col(c).alias(f"r_{c}") for c in blocks.columns]).repartition(lanes)
+        return right.hint("shuffle_replicate_nl").join(asked.repartition(groups), F.col("r_dims") == F.col("dims"))
 
-    same = asking.select("*", every_lane).join(right, ["lane", "dims"])
-    best = in_streams(same, _best_same(positives + 1), "block long, place int, anchor_id long, own long, id long, score long")
+    best = in_streams(met(asking), _best_same(positives + 1), "block long, place int, anchor_id long, own long, id long, score long")
     of_anchor = Window.partitionBy("block", "place")
     best = best.withColumn("nth", F.row_number().over(of_anchor.orderBy(F.desc("score"), "id"))).where(F.col("nth") <= positives + 1)
     # The anchor is one of its own best rows, unless others are better: one row of its id and score goes.
@@ -224,9 +351,9 @@ def hard_negatives(
     found = best.withColumn("nth", F.when(F.col("nth") > F.col("self"), F.col("nth") - 1).otherwise(F.col("nth")))
     of_block = settled(found.groupBy("block").agg(F.collect_list(F.struct("place", "nth", "id", "score")).alias("positives")))
 
-    other = asking.join(of_block, "block").select("*", every_lane).join(right, ["lane", "dims"])
+    other = met(asking.join(of_block.hint("merge"), "block"))
     kinds = "block long, place int, anchor_id long, nth int, positive_id long, positive_score long, negative_id long, negative_score long"
-    mined = in_streams(other, _best_between(negatives, low, high), kinds)
+    mined = in_streams(other, _best_between(positives, negatives, low, high), kinds)
     of_pair = Window.partitionBy("block", "place", "nth").orderBy(F.desc("negative_score"), "negative_id")
     ranked = mined.withColumn("rank", F.row_number().over(of_pair)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
