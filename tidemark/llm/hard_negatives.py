@@ -56,7 +56,10 @@ _exact = np.frompyfunc(int, 1, 1)
 
 
 def score_tiles(anchors: np.ndarray, rows: np.ndarray, room: int = 53) -> Iterator[tuple[int, np.ndarray]]:
-    """All inner products (anchor, row) of integer-valued matrices, as int64, some anchors at a time: the first of them, scores."""
+    """All inner products (anchor, row) of integer-valued matrices, as int64, some anchors at a time: the first of them, scores.
+
+    The next scores may take the place of these.
+    """
     dims = anchors.shape[1]
     if not dims or not len(anchors) or not len(rows):
         yield 0, np.zeros((len(anchors), len(rows)), np.int64)
@@ -76,23 +79,25 @@ def score_tiles(anchors: np.ndarray, rows: np.ndarray, room: int = 53) -> Iterat
     wide = np.einsum("fkd,f->dk", r, 2.0 ** (width * np.arange(fields)))
     of_rows = r.reshape(-1, dims)[: len(rows)].sum(1).astype(np.int64) * int(low_a) + dims * int(low_a) * int(low_r)
     of_anchors = a.sum(1).astype(np.int64) * int(low_r)
-    step = max(1, TILE // len(rows))
+    step = min(len(a), max(1, TILE // len(rows)))
+    products, whole, cut = np.empty((step, side)), np.empty((step, side), np.int64), np.empty((step, fields * side), np.int64)
     for at in range(0, len(a), step):
-        product = (a[at : at + step] @ wide).astype(np.int64)  # sums below 2**53: exact
-        cut = np.empty((len(product), fields * side), np.int64)
+        n = min(step, len(a) - at)
+        np.matmul(a[at : at + n], wide, out=products[:n])
+        np.copyto(whole[:n], products[:n], casting="unsafe")  # sums below 2**53: exact
         for f in range(fields):
-            part = cut[:, f * side : (f + 1) * side]
-            np.right_shift(product, width * f, out=part)
+            part = cut[:n, f * side : (f + 1) * side]
+            np.right_shift(whole[:n], width * f, out=part)
             part &= (1 << width) - 1
-        scores = cut[:, : len(rows)]
+        scores = cut[:n, : len(rows)]
         scores += of_rows
-        scores += of_anchors[at : at + step, None]
+        scores += of_anchors[at : at + n, None]
         yield at, scores
 
 
 def packed_scores(anchors: np.ndarray, rows: np.ndarray, room: int = 53) -> np.ndarray:
     """All inner products (anchor, row) of integer-valued matrices, as int64."""
-    return np.concatenate([scores for _, scores in score_tiles(anchors, rows, room)])
+    return np.concatenate([scores.copy() for _, scores in score_tiles(anchors, rows, room)])
 
 
 def _packed(size: int, scale: float) -> Callable:
